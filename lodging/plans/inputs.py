@@ -3,34 +3,82 @@
 Analyses are written against ``Inputs`` and never against file paths, so the
 same code runs on the derived test tables, on CSV sheets or on the
 partitioned Parquet table.
+
+``Inputs`` also holds the shared intermediate frames (lookups joined,
+revenue, full enrichment).  DataFrames are immutable, lazy plans, so building
+each one once per session and reusing it for every query saves the
+driver-side plan construction without caching any data.
 """
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodging.operators.consolidate import with_lookups
+from lodging.operators.enrich import enrich, with_revenue, with_rooms
 from lodging.sources import files, testdata
 
 
-@dataclass(frozen=True)
 class Inputs:
-    bookings: DataFrame  # consolidated: every year, 32 columns
-    segments: DataFrame  # market_segment, Discount
-    meals: DataFrame  # meal, Cost
-    yearly: Callable[[], dict[int, DataFrame]]  # one table per arrival year
+    def __init__(
+        self,
+        bookings: DataFrame,
+        segments: DataFrame,
+        meals: DataFrame,
+        yearly: Callable[[], dict[int, DataFrame]],
+    ) -> None:
+        self.bookings = bookings  # consolidated: every year, 32 columns
+        self.segments = segments  # market_segment, Discount
+        self.meals = meals  # meal, Cost
+        self._yearly = yearly
+
+    def yearly(self) -> dict[int, DataFrame]:
+        """One table per arrival year."""
+        return self._yearly_tables
+
+    @cached_property
+    def _yearly_tables(self) -> dict[int, DataFrame]:
+        return self._yearly()
+
+    @cached_property
+    def joined(self) -> DataFrame:
+        """Bookings LEFT JOIN both lookups (lookup keys renamed)."""
+        return with_lookups(self.bookings, self.segments, self.meals)
+
+    @cached_property
+    def revenue_rows(self) -> DataFrame:
+        """``joined`` plus Number_of_Rooms_Sold and revenue."""
+        return self.joined.transform(with_rooms).transform(with_revenue)
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        """The 41-column export, money still exact decimal."""
+        return enrich(self.bookings, self.segments, self.meals)
+
+
+_TESTDATA: weakref.WeakKeyDictionary[SparkSession, dict[str, Inputs]] = weakref.WeakKeyDictionary()
 
 
 def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Bookings derived from ``orders``/``customer`` under ``sf_dir``."""
-    return Inputs(
-        bookings=testdata.bookings(spark, sf_dir),
-        segments=testdata.market_segments(spark),
-        meals=testdata.meal_costs(spark),
-        yearly=lambda: testdata.yearly_bookings(spark, sf_dir),
-    )
+    """Bookings derived from ``orders``/``customer`` under ``sf_dir``.
+
+    One ``Inputs`` per session and directory; the provided tables are
+    read-only, so the file listing taken when it is built stays valid.
+    """
+    per_session = _TESTDATA.setdefault(spark, {})
+    if sf_dir not in per_session:
+        per_session[sf_dir] = Inputs(
+            bookings=testdata.bookings(spark, sf_dir),
+            segments=testdata.market_segments(spark),
+            meals=testdata.meal_costs(spark),
+            yearly=lambda: testdata.yearly_bookings(spark, sf_dir),
+        )
+    return per_session[sf_dir]
 
 
 def from_parquet(spark: SparkSession, bookings_path: str, segments_path: str, meals_path: str) -> Inputs:
@@ -42,8 +90,7 @@ def from_parquet(spark: SparkSession, bookings_path: str, segments_path: str, me
     meals = files.checked_lookup(spark.read.schema(MEAL_COST).parquet(meals_path), "meal")
 
     def yearly() -> dict[int, DataFrame]:
-        from pyspark.sql import functions as F
-
+        # Distinct partition values: one row per year, read from the partition listing.
         years = [r[0] for r in bookings.select(files.PARTITION_COLUMN).distinct().collect()]
         return {y: bookings.where(F.col(files.PARTITION_COLUMN) == y) for y in sorted(years)}
 

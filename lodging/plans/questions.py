@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodging.operators.aggregates import sum_by
-from lodging.operators.enrich import enrich
 from lodging.plans.inputs import Inputs
 from lodging.functions.rules import CHECK_OUT
 
@@ -22,19 +21,15 @@ YEAR = "arrival_date_year"
 MONTH = "arrival_date_month"
 
 
-def _enriched(inp: Inputs) -> DataFrame:
-    return enrich(inp.bookings, inp.segments, inp.meals)
-
-
 def _revenue_by(inp: Inputs, *keys: str) -> DataFrame:
-    totals = sum_by(_enriched(inp), list(keys), "revenue", "revenue")
+    totals = sum_by(inp.enriched, list(keys), "revenue", "revenue")
     return totals.select(*keys, F.col("revenue").cast("double").alias("revenue"))
 
 
 def busiest_months(inp: Inputs) -> DataFrame:
     """Checked-out bookings per arrival month, busiest first."""
     return (
-        _enriched(inp)
+        inp.enriched
         .where(F.col("reservation_status") == CHECK_OUT)
         .groupBy(MONTH)
         .agg(F.count(F.lit(1)).alias("check_outs"))
@@ -45,7 +40,7 @@ def busiest_months(inp: Inputs) -> DataFrame:
 def average_stay(inp: Inputs) -> DataFrame:
     """Average nights of checked-out bookings, per hotel."""
     return (
-        _enriched(inp)
+        inp.enriched
         .where(F.col("reservation_status") == CHECK_OUT)
         .groupBy("hotel")
         .agg(F.avg("Number_of_Rooms_Sold").alias("average_nights"))
@@ -58,7 +53,7 @@ def weekday_by_guest_type(inp: Inputs) -> DataFrame:
 
     The window runs on the aggregate (at most 4 x 8 rows), not on bookings.
     """
-    counts = _enriched(inp).groupBy("guest_type", "day_of_week").agg(F.count(F.lit(1)).alias("bookings"))
+    counts = inp.enriched.groupBy("guest_type", "day_of_week").agg(F.count(F.lit(1)).alias("bookings"))
     rank = Window.partitionBy("guest_type").orderBy(F.desc("bookings"), F.asc("day_of_week"))
     return counts.withColumn("weekday_rank", F.row_number().over(rank)).orderBy("guest_type", "weekday_rank")
 
@@ -79,7 +74,7 @@ def top5_countries(inp: Inputs) -> DataFrame:
     A top-k: Spark plans it as TakeOrderedAndProject over the aggregate, each
     task keeps its best five and only those reach the final merge.
     """
-    totals = sum_by(_enriched(inp), ["country"], "revenue", "total")
+    totals = sum_by(inp.enriched, ["country"], "revenue", "total")
     top = totals.orderBy(F.desc_nulls_last("total"), F.asc_nulls_first("country")).limit(5)
     return top.select("country", F.col("total").cast("double").alias("revenue"))
 
@@ -89,7 +84,7 @@ def revenue_yoy(inp: Inputs) -> DataFrame:
 
     ``lag`` runs over the per-year aggregate (one row per year).
     """
-    totals = sum_by(_enriched(inp), [YEAR], "revenue", "total")
+    totals = sum_by(inp.enriched, [YEAR], "revenue", "total")
     by_year = Window.orderBy(YEAR)
     prev = F.lag("total").over(by_year)
     change = (F.col("total") - F.col("previous")).cast("double")

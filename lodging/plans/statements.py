@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lodging.functions import rules
 from lodging.operators.aggregates import partition_total, sum_by
-from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY, consolidate, with_lookups
-from lodging.operators.enrich import enrich, money_as_double, with_revenue, with_rooms
+from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY, consolidate
+from lodging.operators.enrich import money_as_double, with_rooms
 from lodging.plans.inputs import Inputs
 from lodging.schema import BOOKING_COLUMNS
 
@@ -27,10 +27,6 @@ YEAR = "arrival_date_year"
 ROOMS = "Number_of_Rooms_Sold"
 
 
-def _joined(inp: Inputs) -> DataFrame:
-    return with_lookups(inp.bookings, inp.segments, inp.meals)
-
-
 def _lookup_side() -> list[Column]:
     """meal / Cost / market_segment / Discount as the lookup side reports them."""
     return [
@@ -41,10 +37,6 @@ def _lookup_side() -> list[Column]:
     ]
 
 
-def _revenue_rows(inp: Inputs) -> DataFrame:
-    return _joined(inp).transform(with_rooms).transform(with_revenue)
-
-
 def _millions(total: DataFrame, total_col: str, value_name: str, text_name: str, *keys: str) -> DataFrame:
     return total.select(
         *keys,
@@ -68,7 +60,7 @@ def union_bookings(inp: Inputs) -> DataFrame:
 
 def baseline_join(inp: Inputs) -> DataFrame:
     """Consolidated bookings with both lookups: 32 columns + Discount, Cost."""
-    return money_as_double(_joined(inp).select(*BOOKING_COLUMNS, "Discount", "Cost"))
+    return money_as_double(inp.joined.select(*BOOKING_COLUMNS, "Discount", "Cost"))
 
 
 # --- revenue inputs and the ADR audit -------------------------------------------
@@ -76,7 +68,7 @@ def baseline_join(inp: Inputs) -> DataFrame:
 
 def revenue_inputs(inp: Inputs, as_written: bool = False) -> DataFrame:
     """Columns that feed revenue; ``as_written`` keeps week nights counted twice."""
-    joined = with_rooms(_joined(inp), as_written=as_written)
+    joined = with_rooms(inp.joined, as_written=as_written)
     if as_written:
         nights = [F.col("stays_in_week_nights"), F.col("stays_in_week_nights").alias("stays_in_week_nights_2")]
     else:
@@ -94,7 +86,7 @@ def adr_anomalies(inp: Inputs, as_written: bool = False) -> DataFrame:
     range partitioner of the global sort more distinct keys to split on when
     one rate value dominates.
     """
-    joined = with_rooms(_joined(inp), as_written=as_written)
+    joined = with_rooms(inp.joined, as_written=as_written)
     adr = F.col("adr")
     anomalies = joined.where(
         ((adr == 0) | (adr < 0)) & ~F.col(SEGMENT_KEY).isin("Complementary") & (F.col(ROOMS) > 0)
@@ -109,7 +101,7 @@ def adr_anomalies(inp: Inputs, as_written: bool = False) -> DataFrame:
 
 def booking_revenue(inp: Inputs) -> DataFrame:
     """Revenue per booking next to its inputs."""
-    rows = _revenue_rows(inp).select(
+    rows = inp.revenue_rows.select(
         "hotel",
         YEAR,
         "reservation_status",
@@ -128,7 +120,7 @@ def revenue_by_year(inp: Inputs) -> DataFrame:
 
     Partial sums per task, one shuffle of at most (tasks x years) rows.
     """
-    totals = sum_by(_revenue_rows(inp), [YEAR], "revenue", "total")
+    totals = sum_by(inp.revenue_rows, [YEAR], "revenue", "total")
     return _millions(totals, "total", "Revenue_by_Year", "Revenue_by_Year_FormattedInMillions", YEAR).orderBy(YEAR)
 
 
@@ -136,20 +128,20 @@ def revenue_by_year_window(inp: Inputs) -> DataFrame:
     """The same answer in the original's shape: a per-year window sum on every
     booking, then DISTINCT.  See ``partition_total`` for why the window is an
     aggregate joined back rather than a Window partitioned by year."""
-    rows = _revenue_rows(inp).select(YEAR, "revenue")
+    rows = inp.revenue_rows.select(YEAR, "revenue")
     totals = partition_total(rows, [YEAR], "revenue", "total").select(YEAR, "total").distinct()
     return _millions(totals, "total", "Revenue_by_Year", "Revenue_by_Year_FormattedInMillions", YEAR).orderBy(YEAR)
 
 
 def total_revenue(inp: Inputs) -> DataFrame:
     """Revenue over all years, value and '$x.xxM' text."""
-    total = _revenue_rows(inp).agg(F.sum("revenue").alias("total"))
+    total = inp.revenue_rows.agg(F.sum("revenue").alias("total"))
     return _millions(total, "total", "Total_Revenue", "Total_Revenue_FormattedInMillions")
 
 
 def revenue_columns(inp: Inputs) -> DataFrame:
     """Revenue with the status, rate, discount, cost and rooms behind it."""
-    rows = _revenue_rows(inp).select("reservation_status", "adr", "Discount", "Cost", ROOMS, "revenue")
+    rows = inp.revenue_rows.select("reservation_status", "adr", "Discount", "Cost", ROOMS, "revenue")
     return money_as_double(rows)
 
 
@@ -180,7 +172,7 @@ def arrival_day_of_week(inp: Inputs) -> DataFrame:
 
 def bookings_enriched(inp: Inputs) -> DataFrame:
     """Final export #1: 41 columns, one narrow stage (money as double)."""
-    return money_as_double(enrich(inp.bookings, inp.segments, inp.meals))
+    return money_as_double(inp.enriched)
 
 
 def reservation_count(inp: Inputs) -> DataFrame:

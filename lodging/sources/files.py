@@ -80,17 +80,36 @@ def write_bookings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def bounded_lookup(df: DataFrame, key: str, rows: Sequence[tuple]) -> DataFrame:
-    """Broadcast a lookup built from ``rows`` held on the driver.
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A small table given as rows on the driver, as a JVM-side inline table.
 
-    Its size is known without a Spark job: it is ``len(rows)``.
+    Built as a parameterized ``VALUES`` list, so it plans as a
+    LocalTableScan: no Python RDD, no Python worker when it is broadcast.
     """
+    names = ", ".join(f"`{f.name}`" for f in schema.fields)
+    args: dict[str, object] = {}
+    tuples = []
+    for i, row in enumerate(rows):
+        cells = []
+        for j, (value, field) in enumerate(zip(row, schema.fields)):
+            args[f"v{i}_{j}"] = value
+            cells.append(f"CAST(:v{i}_{j} AS {field.dataType.simpleString()})")
+        tuples.append("(" + ", ".join(cells) + ")")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
+
+
+def bounded_lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A lookup whose rows are held on the driver, broadcast when small.
+
+    Its size is known without a Spark job (``len(rows)``); the key (first
+    column) must be unique or a left join would multiply bookings.
+    """
+    key = schema.fields[0].name
     keys = [r[0] for r in rows if r[0] is not None]
     if len(keys) != len(set(keys)):
         raise DuplicateLookupKey(f"duplicate {key} in lookup rows")
-    if len(rows) > MAX_LOOKUP_ROWS:
-        return df
-    return F.broadcast(df)
+    df = literal_table(spark, rows, schema)
+    return df if len(rows) > MAX_LOOKUP_ROWS else F.broadcast(df)
 
 
 def checked_lookup(df: DataFrame, key: str, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:

@@ -21,6 +21,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodging.schema import BOOKING_COLUMNS, BOOKINGS, MARKET_SEGMENT, MEAL_COST
 from lodging.sources.files import bounded_lookup
@@ -75,18 +76,37 @@ def _mapped(column: Column, mapping: dict[str, str], default: str | None) -> Col
     return expr.otherwise(F.lit(default))
 
 
+# Schemas of the provided tables (only the columns the derivation reads).
+ORDERS = T.StructType(
+    [
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_custkey", T.LongType()),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", T.DoubleType()),
+        T.StructField("o_orderdate", T.TimestampNTZType()),
+        T.StructField("o_orderpriority", T.StringType()),
+    ]
+)
+CUSTOMER = T.StructType(
+    [
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]
+)
+
+
 def _orders(spark: SparkSession, sf_dir: str, years: tuple[int, ...]) -> DataFrame:
     first = dt.date(min(years) - YEAR_SHIFT, 1, 1)
     stop = dt.date(max(years) - YEAR_SHIFT + 1, 1, 1)
     return (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+        spark.read.schema(ORDERS)
+        .parquet(f"{sf_dir}/orders.parquet")
         .where((F.col("o_orderdate") >= F.lit(first)) & (F.col("o_orderdate") < F.lit(stop)))
     )
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    return spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
 
 
 def _as_bookings(joined: DataFrame) -> DataFrame:
@@ -157,11 +177,9 @@ def yearly_bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = Y
 
 def market_segments(spark: SparkSession) -> DataFrame:
     """Segment discount lookup; a literal table of 4 rows, so safe to broadcast."""
-    rows = [(name, Decimal(rate)) for name, rate in SEGMENT_DISCOUNTS]
-    return bounded_lookup(spark.createDataFrame(rows, MARKET_SEGMENT), "market_segment", rows)
+    return bounded_lookup(spark, [(name, Decimal(rate)) for name, rate in SEGMENT_DISCOUNTS], MARKET_SEGMENT)
 
 
 def meal_costs(spark: SparkSession) -> DataFrame:
     """Meal cost lookup; a literal table of 4 rows, so safe to broadcast."""
-    rows = [(meal, Decimal(cost)) for meal, cost in MEAL_COSTS]
-    return bounded_lookup(spark.createDataFrame(rows, MEAL_COST), "meal", rows)
+    return bounded_lookup(spark, [(meal, Decimal(cost)) for meal, cost in MEAL_COSTS], MEAL_COST)

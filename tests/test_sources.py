@@ -1,0 +1,98 @@
+"""CSV ingest, lookup validation and the literal lookup tables."""
+
+from __future__ import annotations
+
+import os
+from decimal import Decimal
+
+import pytest
+
+from lodging.operators.consolidate import consolidate
+from lodging.schema import BOOKING_COLUMNS, MARKET_SEGMENT
+from lodging.sources import files, testdata
+
+HEADER = ",".join(BOOKING_COLUMNS)
+
+
+def _csv_row(year: int, country: str, agent: str, adr: str) -> str:
+    values = {
+        "hotel": "City Hotel",
+        "is_canceled": "0",
+        "lead_time": "5",
+        "arrival_date_year": str(year),
+        "arrival_date_month": "July",
+        "arrival_date_week_number": "27",
+        "arrival_date_day_of_month": "1",
+        "stays_in_weekend_nights": "1",
+        "stays_in_week_nights": "2",
+        "adults": "2",
+        "children": "NULL",
+        "babies": "0",
+        "meal": "BB",
+        "country": country,
+        "market_segment": "Corporate",
+        "distribution_channel": "Direct",
+        "is_repeated_guest": "0",
+        "previous_cancellations": "0",
+        "previous_bookings_not_canceled": "0",
+        "reserved_room_type": "A",
+        "assigned_room_type": "A",
+        "booking_changes": "0",
+        "deposit_type": "No Deposit",
+        "agent": agent,
+        "company": "NULL",
+        "days_in_waiting_list": "0",
+        "customer_type": "Transient",
+        "adr": adr,
+        "required_car_parking_spaces": "0",
+        "total_of_special_requests": "1",
+        "reservation_status": "Check-Out",
+        "reservation_status_date": f"{year}-07-04",
+    }
+    return ",".join(values[c] for c in BOOKING_COLUMNS)
+
+
+def test_yearly_csv_ingest_keeps_null_text_country(spark, scratch):
+    paths = {}
+    for year in (2018, 2019):
+        p = os.path.join(scratch, f"{year}.csv")
+        with open(p, "w") as fh:
+            fh.write(HEADER + "\n" + _csv_row(year, "NULL", "NULL", "98.50") + "\n" + _csv_row(year, "PRT", "9", "0") + "\n")
+        paths[year] = p
+    yearly = files.read_yearly_csv(spark, paths)
+    df = consolidate(yearly.values())
+    rows = df.orderBy("arrival_date_year", "country").collect()
+    assert len(rows) == 4
+    assert rows[0].country == "NULL" and rows[0].agent is None and rows[0].children is None
+    assert rows[0].adr == Decimal("98.50")
+    assert rows[1].agent == 9
+    assert df.columns == BOOKING_COLUMNS
+
+
+def test_union_by_name_not_position(spark):
+    a = spark.createDataFrame([(1, "x")], "yr int, name string")
+    b = spark.createDataFrame([("y", 2)], "name string, yr int")
+    got = sorted(tuple(r) for r in consolidate([a, b]).collect())
+    assert got == [(1, "x"), (2, "y")]
+
+
+def test_literal_lookup_is_local_and_broadcast(spark):
+    seg = testdata.market_segments(spark)
+    assert "LocalTableScan" in seg._jdf.queryExecution().executedPlan().toString()
+    assert {r.market_segment: r.Discount for r in seg.collect()}["Corporate"] == Decimal("0.15")
+
+
+def test_duplicate_lookup_key_is_rejected(spark):
+    with pytest.raises(files.DuplicateLookupKey):
+        files.bounded_lookup(spark, [("A", Decimal("0.1")), ("A", Decimal("0.2"))], MARKET_SEGMENT)
+    df = spark.createDataFrame([("A", Decimal("0.1")), ("A", Decimal("0.2"))], MARKET_SEGMENT)
+    with pytest.raises(files.DuplicateLookupKey):
+        files.checked_lookup(df, "market_segment")
+
+
+def test_checked_lookup_over_bound_is_not_hinted(spark):
+    df = spark.range(20).selectExpr("CAST(id AS STRING) AS market_segment", "CAST(0.1 AS DECIMAL(4,2)) AS Discount")
+    small = files.checked_lookup(df, "market_segment", max_rows=100)
+    big = files.checked_lookup(df, "market_segment", max_rows=10)
+    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString() or small is not df
+    assert big is df
