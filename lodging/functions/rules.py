@@ -141,12 +141,12 @@ def arrival_date(
 
 
 def day_of_week(date: ColumnLike = "arrival_date") -> Column:
-    """English weekday name; dayofweek() numbers Sunday as 1."""
-    dow = F.dayofweek(_col(date))
-    expr = None
-    for number, name in enumerate(DAY_NAMES, start=1):
-        expr = F.when(dow == number, name) if expr is None else expr.when(dow == number, name)
-    return expr
+    """English weekday name; dayofweek() numbers Sunday as 1.
+
+    One array lookup by day number: the date is evaluated once per row (a
+    CASE over the day number would re-derive it in every arm).
+    """
+    return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), F.dayofweek(_col(date)))
 
 
 def millions_text(amount: ColumnLike) -> Column:

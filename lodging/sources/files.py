@@ -98,6 +98,21 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTy
     return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
 
 
+def spread_thin_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that yields fewer tasks than the session has cores.
+
+    A Parquet row group is the smallest unit a task can read, so a file with
+    one row group is scanned by one task however many cores wait.  Only then
+    are its rows spread over the cores, by hash of ``key`` (deterministic, so
+    a retried task rebuilds exactly the same partition).  On a large input
+    the scan already has more splits than cores and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def bounded_lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A lookup whose rows are held on the driver, broadcast when small.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodging.schema import BOOKING_COLUMNS, BOOKINGS, MARKET_SEGMENT, MEAL_COST
-from lodging.sources.files import bounded_lookup
+from lodging.sources.files import bounded_lookup, spread_thin_scan
 
 YEARS = (2018, 2019, 2020)
 YEAR_SHIFT = 20  # 1998-2000 in orders -> 2018-2020 as arrival years
@@ -159,7 +159,7 @@ def _as_bookings(joined: DataFrame) -> DataFrame:
 
 def bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -> DataFrame:
     """All bookings of ``years`` in one pass: the consolidated booking table."""
-    orders = _orders(spark, sf_dir, years)
+    orders = spread_thin_scan(_orders(spark, sf_dir, years), "o_orderkey")
     customers = _customers(spark, sf_dir)
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
     return _as_bookings(joined).select(*BOOKING_COLUMNS)

@@ -17,7 +17,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from lodging.session import configure
+    from lodging.session import JIT_OPTIONS, configure
 
     session = (
         SparkSession.builder.master("local[*]")
@@ -25,6 +25,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
