@@ -144,9 +144,12 @@ def day_of_week(date: ColumnLike = "arrival_date") -> Column:
     """English weekday name; dayofweek() numbers Sunday as 1.
 
     One array lookup by day number: the date is evaluated once per row (a
-    CASE over the day number would re-derive it in every arm).
+    CASE over the day number would re-derive it in every arm).  The NULL
+    guard is explicit: on Spark 4.1 a NULL index into a literal array was
+    seen to return the last element instead of NULL.
     """
-    return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), F.dayofweek(_col(date)))
+    dow = F.dayofweek(_col(date))
+    return F.when(dow.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), dow))
 
 
 def millions_text(amount: ColumnLike) -> Column:

@@ -14,7 +14,14 @@ def _null_safe_on(keys: Sequence[str], right_keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs)
 
 
-def partition_total(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
+# The aggregate side of ``partition_total`` is broadcast when the caller proves
+# it has at most this many groups.
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def partition_total(
+    df: DataFrame, keys: Sequence[str], value: str, alias: str, max_groups: int | None = None
+) -> DataFrame:
     """Attach ``SUM(value) OVER (PARTITION BY keys)`` to every row of ``df``.
 
     A Spark Window partitioned by ``keys`` would send every row of a key to a
@@ -24,15 +31,19 @@ def partition_total(df: DataFrame, keys: Sequence[str], value: str, alias: str)
 
     * the aggregate is partial per task (map-side combine), so its shuffle
       carries one row per key per task;
-    * the join back is left to Catalyst and AQE: the aggregate side is one row
-      per key, so at runtime AQE broadcasts it when it is small and otherwise
-      splits skewed partitions of the row side (skew join).
+    * the aggregate side has one row per key.  When the caller knows a bound
+      on the number of keys (``max_groups``, e.g. the year partitions of the
+      table) it is broadcast and the rows are never shuffled.  Otherwise the
+      join is left to Catalyst and AQE, which broadcast it at runtime when it
+      is small and split skewed partitions of the row side when it is not.
 
     NULL keys form their own partition, as in SQL, hence the null-safe join.
     """
     keys = list(keys)
     right_keys = [f"__partition_key_{i}" for i in range(len(keys))]
     totals = df.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, right_keys)]).agg(F.sum(value).alias(alias))
+    if max_groups is not None and max_groups <= MAX_BROADCAST_GROUPS:
+        totals = F.broadcast(totals)
     return df.join(totals, _null_safe_on(keys, right_keys), "left").drop(*right_keys)
 
 

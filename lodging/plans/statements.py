@@ -129,7 +129,9 @@ def revenue_by_year_window(inp: Inputs) -> DataFrame:
     booking, then DISTINCT.  See ``partition_total`` for why the window is an
     aggregate joined back rather than a Window partitioned by year."""
     rows = inp.revenue_rows.select(YEAR, "revenue")
-    totals = partition_total(rows, [YEAR], "revenue", "total").select(YEAR, "total").distinct()
+    # Every booking's year is one of the table's year partitions: that bounds the groups.
+    years = len(inp.yearly())
+    totals = partition_total(rows, [YEAR], "revenue", "total", max_groups=years).select(YEAR, "total").distinct()
     return _millions(totals, "total", "Revenue_by_Year", "Revenue_by_Year_FormattedInMillions", YEAR).orderBy(YEAR)
 
 

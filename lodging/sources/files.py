@@ -68,12 +68,13 @@ def read_bookings(spark: SparkSession, path: str) -> DataFrame:
 def write_bookings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write bookings (or an enriched export) partitioned by arrival year.
 
-    Rows are clustered by year before the write so each task writes few
-    files per partition; with AQE the shuffle is coalesced to a sensible
-    number of partitions.
+    A REBALANCE on the year groups each year's rows into few files; AQE then
+    splits any year that is larger than the advisory partition size (there
+    are only a handful of years, so a plain hash repartition would put a
+    whole year, a third of the table, into one task) and merges small ones.
     """
     (
-        df.repartition(PARTITION_COLUMN)
+        df.hint("rebalance", PARTITION_COLUMN)
         .write.mode(mode)
         .partitionBy(PARTITION_COLUMN)
         .parquet(path)

@@ -4,7 +4,9 @@ The original analysis ships no data, so the three yearly booking tables are
 derived, deterministically, from ``orders`` LEFT JOIN ``customer``: orders of
 1998-2000 become bookings arriving in 2018-2020 (FIXTURES.md section 3 gives
 the mapping).  This module is the ingest step of the test world; everything
-downstream sees only the 32-column booking schema.
+downstream sees only the 32-column booking schema.  ``plans.inputs`` runs it
+once per session and writes the result as the year-partitioned booking table
+that every query then reads (see ``from_testdata``).
 
 Plan shape at scale: one scan of ``orders`` with the year range pushed into
 the Parquet reader, one equi-join with ``customer`` on the customer key
@@ -65,8 +67,9 @@ MEAL_COSTS = (("FB", "35.00"), ("HB", "17.50"), ("BB", "12.99"), ("SC", "0.00"))
 
 
 def _pick(index: Column, values) -> Column:
-    """values[index] for a 0-based integer index, from a literal array."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    """values[index] for a 0-based integer index, from a literal array (NULL for NULL)."""
+    position = (index + 1).cast("int")
+    return F.when(position.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), position))
 
 
 def _mapped(column: Column, mapping: dict[str, str], default: str | None) -> Column:
@@ -165,16 +168,6 @@ def bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -
     return _as_bookings(joined).select(*BOOKING_COLUMNS)
 
 
-def yearly_bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -> dict[int, DataFrame]:
-    """One booking table per arrival year, the shape the yearly sheets have.
-
-    Each table reads only its own year's orders (the date range is pushed into
-    the scan).  Queries that want every year use ``bookings`` instead of
-    re-unioning these, which would scan ``orders`` once per year.
-    """
-    return {year: bookings(spark, sf_dir, (year,)) for year in years}
-
-
 def market_segments(spark: SparkSession) -> DataFrame:
     """Segment discount lookup; a literal table of 4 rows, so safe to broadcast."""
     return bounded_lookup(spark, [(name, Decimal(rate)) for name, rate in SEGMENT_DISCOUNTS], MARKET_SEGMENT)
