@@ -39,11 +39,26 @@ def with_categories(df: DataFrame) -> DataFrame:
     ).withColumn("day_of_week", rules.day_of_week())
 
 
-def enrich(bookings: DataFrame, segments: DataFrame, meals: DataFrame) -> DataFrame:
+def _export_columns(as_written: bool) -> list:
+    if not as_written:
+        return [*BOOKING_COLUMNS, *DERIVED_COLUMNS]
+    # The original list reads "company days_in_waiting_list": no comma, so the
+    # company id is exported under the name days_in_waiting_list and the real
+    # waiting-list column is lost.
+    base = [
+        F.col("company").alias("days_in_waiting_list") if c == "company" else F.col(c)
+        for c in BOOKING_COLUMNS
+        if c != "days_in_waiting_list"
+    ]
+    return [*base, *DERIVED_COLUMNS]
+
+
+def enrich(bookings: DataFrame, segments: DataFrame, meals: DataFrame, as_written: bool = False) -> DataFrame:
     """The dashboard export: 32 booking columns + Cost, Discount + 7 derived.
 
     Both ``company`` and ``days_in_waiting_list`` are kept: the original export
-    meant to list every column but a missing comma dropped the second one.
+    meant to list every column but a missing comma dropped the second one
+    (``as_written=True`` reproduces that 40-column export).
     Money stays exact decimal; ``money_as_double`` converts for reporting.
     """
     joined = with_lookups(bookings, segments, meals)
@@ -51,7 +66,7 @@ def enrich(bookings: DataFrame, segments: DataFrame, meals: DataFrame) -> DataFr
         joined.transform(with_rooms)
         .transform(with_revenue)
         .transform(with_categories)
-        .select(*BOOKING_COLUMNS, *DERIVED_COLUMNS)
+        .select(*_export_columns(as_written))
     )
 
 

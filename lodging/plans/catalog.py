@@ -46,6 +46,7 @@ def analyses() -> dict[str, Callable[[Inputs], DataFrame]]:
             "arrival_day_of_week": statements.arrival_day_of_week,
             "revenue_columns": statements.revenue_columns,
             "bookings_enriched": statements.bookings_enriched,
+            "bookings_enriched_as_written": statements.bookings_enriched_as_written,
             "reservation_count": statements.reservation_count,
             "busiest_months": questions.busiest_months,
             "average_stay": questions.average_stay,

@@ -62,11 +62,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Uses ``spark.checkpoint.dir`` from the session.  Only when it is unset
     (local tests) is one created and set here.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lodging-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        try:
+            sc = spark.sparkContext
+            base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+            if not base:
+                base = tempfile.mkdtemp(prefix="lodging-ckpt-")
+                sc.setCheckpointDir(base)
+                base = sc.getCheckpointDir() or base
+        except Exception:  # no SparkContext on this client
+            base = tempfile.mkdtemp(prefix="lodging-ckpt-")
     return f"{base.rstrip('/')}/{name}"

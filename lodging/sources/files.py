@@ -108,10 +108,12 @@ def spread_thin_scan(df: DataFrame, key: str) -> DataFrame:
     a retried task rebuilds exactly the same partition).  On a large input
     the scan already has more splits than cores and this is a no-op.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext on this client (e.g. Spark Connect): keep the scan as it is
         return df
-    return df.repartition(cores, key)
+    return df if splits >= cores else df.repartition(cores, key)
 
 
 def bounded_lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

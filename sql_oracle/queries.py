@@ -218,6 +218,12 @@ def oracle_sql() -> dict[str, str]:
         "guest_type, region, seasons, arrival_date, dayname(arrival_date) AS day_of_week, "
         "Number_of_Rooms_Sold, CAST(revenue AS DOUBLE) AS revenue FROM enriched"
     )
+    as_written_cols = BOOKING_COLS.replace("agent, company, days_in_waiting_list,", "agent, company days_in_waiting_list,")
+    q["bookings_enriched_as_written"] = _q(
+        f"SELECT {as_written_cols}, CAST(Cost AS DOUBLE) AS Cost, CAST(Discount AS DOUBLE) AS Discount, "
+        "guest_type, region, seasons, arrival_date, dayname(arrival_date) AS day_of_week, "
+        "Number_of_Rooms_Sold, CAST(revenue AS DOUBLE) AS revenue FROM enriched"
+    )
     q["reservation_count"] = _q("SELECT COUNT(*) AS count_of_reservations_made FROM joined")
     q["busiest_months"] = _q(
         "SELECT arrival_date_month, COUNT(*) AS check_outs FROM enriched "
