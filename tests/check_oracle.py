@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
-from compare import diff, duck, oracle_rows, spark_rows  # noqa: E402
+from compare import diff, duck, oracle_rows, spark_rows, type_diff  # noqa: E402
 
 from lodging.session import local_session  # noqa: E402
 
@@ -29,13 +29,14 @@ def main(argv: list[str]) -> int:
         if wanted and name not in wanted:
             continue
         t0 = time.time()
-        got = spark_rows(fn(spark, sf_dir))
+        df = fn(spark, sf_dir)
+        got = spark_rows(df)
         t1 = time.time()
         if name not in oracle:
             print(f"{name:32s} rows={len(got[1]):7d} (no oracle) {t1 - t0:.2f}s")
             continue
         want = oracle_rows(con, oracle[name])
-        problem = diff(got, want)
+        problem = diff(got, want) or type_diff(df, con, oracle[name])
         status = "OK" if problem is None else "MISMATCH"
         failures += problem is not None
         print(f"{name:32s} rows={len(got[1]):7d} {status} spark {t1 - t0:.2f}s")

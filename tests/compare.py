@@ -45,6 +45,30 @@ def sorted_rows(rows) -> list[tuple]:
     return sorted((tuple(_norm(v) for v in r) for r in rows), key=_key)
 
 
+_SPARK_TO_SQL = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
+
+def spark_types(df) -> list[str]:
+    return [_SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString().upper()) for f in df.schema.fields]
+
+
+def oracle_types(con, sql: str) -> list[str]:
+    return [str(d[1]) for d in con.execute(sql).description]
+
+
+def type_diff(df, con, sql: str) -> str | None:
+    a, b = spark_types(df), oracle_types(con, sql)
+    bad = [(c, x, y) for c, x, y in zip(df.columns, a, b) if x != y]
+    return None if not bad else f"types differ: {bad}"
+
+
 def spark_rows(df) -> tuple[list[str], list[tuple]]:
     return df.columns, sorted_rows(df.collect())
 

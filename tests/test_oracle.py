@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import diff, duck, oracle_rows, spark_rows
+from compare import diff, duck, oracle_rows, spark_rows, type_diff
 from conftest import SF_CHECK
 
 import __spark_entry__ as contract
@@ -23,9 +23,10 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    got = spark_rows(QUERIES[name](spark, SF_CHECK))
+    df = QUERIES[name](spark, SF_CHECK)
+    got = spark_rows(df)
     want = oracle_rows(con, ORACLE[name])
-    problem = diff(got, want)
+    problem = diff(got, want) or type_diff(df, con, ORACLE[name])
     assert problem is None, problem
 
 
