@@ -8,8 +8,11 @@ frame and tests can pass literal columns.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from decimal import Decimal
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,30 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _reused(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a rule once per SparkContext when it is called on column names.
+
+    A Column is an immutable expression tree, so one instance can serve every
+    query; rebuilding the region rule alone costs hundreds of calls into the
+    JVM.  Calls with Column arguments are built fresh.
+    """
+
+    @functools.wraps(build)
+    def rule(*args: ColumnLike, **kwargs: ColumnLike) -> Column:
+        if not all(isinstance(a, str) for a in (*args, *kwargs.values())):
+            return build(*args, **kwargs)
+        key = (id(SparkContext._active_spark_context), build.__name__, args, tuple(sorted(kwargs.items())))
+        if key not in _BUILT:
+            _BUILT[key] = build(*args, **kwargs)
+        return _BUILT[key]
+
+    return rule
+
+
+@_reused
 def rooms_sold(
     week: ColumnLike = "stays_in_week_nights",
     weekend: ColumnLike = "stays_in_weekend_nights",
@@ -50,6 +77,7 @@ def rooms_sold_as_written() -> Column:
     return rooms_sold("stays_in_week_nights", "stays_in_week_nights")
 
 
+@_reused
 def revenue(
     status: ColumnLike = "reservation_status",
     adr: ColumnLike = "adr",
@@ -75,6 +103,7 @@ def revenue(
     )
 
 
+@_reused
 def guest_type(
     adults: ColumnLike = "adults",
     children: ColumnLike = "children",
@@ -95,6 +124,7 @@ def guest_type(
     )
 
 
+@_reused
 def season(month: ColumnLike = "arrival_date_month") -> Column:
     """Meteorological season of an English month name; NULL for anything else."""
     month = _col(month)
@@ -105,6 +135,7 @@ def season(month: ColumnLike = "arrival_date_month") -> Column:
     return expr
 
 
+@_reused
 def region(country: ColumnLike = "country") -> Column:
     """Region label of a country code (see ``regions``); 'Other' otherwise.
 
@@ -119,6 +150,7 @@ def region(country: ColumnLike = "country") -> Column:
     return expr.otherwise(OTHER)
 
 
+@_reused
 def arrival_date(
     day: ColumnLike = "arrival_date_day_of_month",
     month: ColumnLike = "arrival_date_month",
@@ -140,6 +172,7 @@ def arrival_date(
     return F.to_date(text, ARRIVAL_DATE_PATTERN)
 
 
+@_reused
 def day_of_week(date: ColumnLike = "arrival_date") -> Column:
     """English weekday name; dayofweek() numbers Sunday as 1.
 

@@ -62,6 +62,11 @@ class Inputs:
         """The 41-column export, money still exact decimal."""
         return enrich(self.bookings, self.segments, self.meals)
 
+    @cached_property
+    def enriched_as_written(self) -> DataFrame:
+        """The export exactly as the original lists it (40 columns)."""
+        return enrich(self.bookings, self.segments, self.meals, as_written=True)
+
 
 _STAGED: weakref.WeakKeyDictionary[SparkSession, dict[str, Inputs]] = weakref.WeakKeyDictionary()
 

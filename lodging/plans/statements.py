@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodging.functions import rules
 from lodging.operators.aggregates import partition_total, sum_by
 from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY, consolidate
-from lodging.operators.enrich import enrich, money_as_double, with_rooms
+from lodging.operators.enrich import money_as_double, with_rooms
 from lodging.plans.inputs import Inputs
 from lodging.schema import BOOKING_COLUMNS
 
@@ -180,7 +180,7 @@ def bookings_enriched(inp: Inputs) -> DataFrame:
 def bookings_enriched_as_written(inp: Inputs) -> DataFrame:
     """Final export #1 exactly as written: 40 columns, ``company`` under the
     name ``days_in_waiting_list`` (the missing comma)."""
-    return money_as_double(enrich(inp.bookings, inp.segments, inp.meals, as_written=True))
+    return money_as_double(inp.enriched_as_written)
 
 
 def reservation_count(inp: Inputs) -> DataFrame:
