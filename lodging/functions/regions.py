@@ -65,7 +65,7 @@ def region_table() -> list[tuple[str, list[str]]]:
 
 
 def region_of(code: str | None) -> str:
-    """Plain-Python reference of the rule, used by tests only."""
+    """Plain-Python form of the rule, used by tests only."""
     for label, codes in region_table():
         if code in codes:
             return label

@@ -21,25 +21,25 @@ from lodging.sources import files
 @pytest.fixture(scope="module")
 def ingested(spark, tmp_path_factory) -> tuple[Inputs, Inputs]:
     base = str(tmp_path_factory.mktemp("ingest"))
-    reference = from_testdata(spark, SF_SMALL)
+    expected = from_testdata(spark, SF_SMALL)
     sheets = {}
-    for year, table in reference.yearly().items():
+    for year, table in expected.yearly().items():
         path = f"{base}/sheets/{year}"
         table.write.option("header", True).csv(path)
         sheets[year] = path
-    reference.segments.write.option("header", True).csv(f"{base}/market_segment")
-    reference.meals.write.option("header", True).csv(f"{base}/meal_cost")
+    expected.segments.write.option("header", True).csv(f"{base}/market_segment")
+    expected.meals.write.option("header", True).csv(f"{base}/meal_cost")
 
     bookings = consolidate(files.read_yearly_csv(spark, sheets).values())
     files.write_bookings(bookings, f"{base}/bookings")
     segments = files.read_lookup_csv(spark, f"{base}/market_segment", MARKET_SEGMENT, "market_segment")
     meals = files.read_lookup_csv(spark, f"{base}/meal_cost", MEAL_COST, "meal")
-    return reference, from_table(spark, f"{base}/bookings", segments, meals)
+    return expected, from_table(spark, f"{base}/bookings", segments, meals)
 
 
 def test_csv_round_trip_keeps_every_booking(ingested):
-    reference, table = ingested
-    assert sorted_rows(table.bookings.collect()) == sorted_rows(reference.bookings.collect())
+    expected, table = ingested
+    assert sorted_rows(table.bookings.collect()) == sorted_rows(expected.bookings.collect())
     assert sorted(table.yearly()) == [2018, 2019, 2020]
 
 
@@ -51,6 +51,6 @@ def test_file_lookups_are_checked_and_broadcast(ingested):
 
 @pytest.mark.parametrize("name", sorted(catalog.analyses()))
 def test_every_analysis_equal_on_ingested_table(ingested, name):
-    reference, table = ingested
+    expected, table = ingested
     fn = catalog.analyses()[name]
-    assert sorted_rows(fn(table).collect()) == sorted_rows(fn(reference).collect())
+    assert sorted_rows(fn(table).collect()) == sorted_rows(fn(expected).collect())
