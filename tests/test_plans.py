@@ -95,3 +95,23 @@ def test_partitioned_table_prunes_years_and_pushes_filters(spark, scratch):
     # the same analysis code runs unchanged on the written table
     rows = revenue_by_year(inp).collect()
     assert [r[0] for r in rows] == [2018, 2019, 2020]
+
+
+def test_hot_year_is_split_across_write_tasks(spark, scratch):
+    """One year holding most rows is written by several tasks (AQE rebalance)."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    bookings = from_testdata(spark, SF_CHECK).bookings
+    hot = bookings.withColumn("arrival_date_year", F.lit(2019)).unionByName(bookings.where("arrival_date_year = 2018"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        write_bookings(hot, f"{scratch}/hot")
+    finally:
+        spark.conf.set(key, before)
+    hot_files = glob.glob(f"{scratch}/hot/arrival_date_year=2019/*.parquet")
+    assert len(hot_files) > 1
+    assert spark.read.parquet(f"{scratch}/hot").count() == hot.count()
