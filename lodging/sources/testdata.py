@@ -160,12 +160,16 @@ def _as_bookings(joined: DataFrame) -> DataFrame:
     )
 
 
+def bookings_from(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Booking rows from order rows LEFT JOIN customer rows on the customer key."""
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
+    return _as_bookings(joined).select(*BOOKING_COLUMNS)
+
+
 def bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -> DataFrame:
     """All bookings of ``years`` in one pass: the consolidated booking table."""
     orders = spread_thin_scan(_orders(spark, sf_dir, years), "o_orderkey")
-    customers = _customers(spark, sf_dir)
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
-    return _as_bookings(joined).select(*BOOKING_COLUMNS)
+    return bookings_from(orders, _customers(spark, sf_dir))
 
 
 def market_segments(spark: SparkSession) -> DataFrame:

@@ -115,3 +115,28 @@ def test_hot_year_is_split_across_write_tasks(spark, scratch):
     hot_files = glob.glob(f"{scratch}/hot/arrival_date_year=2019/*.parquet")
     assert len(hot_files) > 1
     assert spark.read.parquet(f"{scratch}/hot").count() == hot.count()
+
+
+def test_hot_customer_key_is_split_by_skew_join(spark):
+    """The ingest join at scale (no broadcast): a key with 2/3 of all orders is split."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        orders = testdata._orders(spark, SF_CHECK, testdata.YEARS)
+        hot = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).otherwise(F.col("o_custkey")))
+        df = testdata.bookings_from(hot.repartition(8, "o_orderkey"), testdata._customers(spark, SF_CHECK))
+        assert len(df.collect()) == hot.count()
+        text = formatted(df)
+        assert "SortMergeJoin(skew=true)" in text
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
