@@ -127,7 +127,7 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
     }
-    before = {k: spark.conf.get(k) for k in settings}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
@@ -139,4 +139,7 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
         assert "SortMergeJoin(skew=true)" in text
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
