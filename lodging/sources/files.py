@@ -30,11 +30,11 @@ class DuplicateLookupKey(ValueError):
     """A lookup key occurs twice; a left join would multiply bookings."""
 
 
-def _all_text(schema: T.StructType) -> T.StructType:
+def text_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+def typed_from_text(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast text columns to ``schema``; numeric NULL markers become NULL.
 
     Casts run in ANSI mode, so a malformed number fails the job instead of
@@ -51,8 +51,8 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """Header CSV read as text with the schema's column names, then typed."""
-    raw = spark.read.schema(_all_text(schema)).option("header", True).option("enforceSchema", False).csv(path)
-    return _typed(raw, schema)
+    raw = spark.read.schema(text_schema(schema)).option("header", True).option("enforceSchema", False).csv(path)
+    return typed_from_text(raw, schema)
 
 
 def read_yearly_csv(spark: SparkSession, paths: Mapping[int, str | Sequence[str]]) -> dict[int, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodging.operators.enrich import enrich
 from lodging.schema import BOOKINGS
-from lodging.sources.files import PARTITION_COLUMN, _all_text, _typed
+from lodging.sources.files import PARTITION_COLUMN, text_schema, typed_from_text
 
 
 def booking_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
@@ -29,8 +29,8 @@ def booking_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_fil
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = reader.schema(_all_text(BOOKINGS)).option("header", True).csv(path)
-        return _typed(raw, BOOKINGS)
+        raw = reader.schema(text_schema(BOOKINGS)).option("header", True).csv(path)
+        return typed_from_text(raw, BOOKINGS)
     return reader.schema(BOOKINGS).format(fmt).load(path)
 
 
