@@ -13,10 +13,11 @@ from pyspark.sql import SparkSession
 
 # Settings the queries assume.  AQE re-plans joins and coalesces or splits
 # shuffle partitions from runtime sizes; UTC pins date/time conversion.
-# HotSpot does not JIT-compile methods over 8000 bytecodes; the fused stage
-# of the enrichment (41 output columns) generates one, which then runs
-# interpreted, about 2.5x slower.  Clusters should pass the same flag through
-# spark.executor.extraJavaOptions; here it goes to the local driver JVM.
+# HotSpot does not JIT-compile methods over 8000 bytecodes.  A wide fused
+# stage (the test-data derivation fused with the 41-column enrichment was
+# one) generates such a method and then runs interpreted, about 2.5x slower.
+# Clusters should pass the same flag through spark.executor.extraJavaOptions;
+# here it goes to the local driver JVM.
 JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
 
 REQUIRED = {
