@@ -93,12 +93,11 @@ meal_lookup AS (
 joined AS (
     SELECT h.*, m.market_segment AS m_segment, m.Discount, c.meal AS c_meal, c.Cost,
            h.stays_in_week_nights + h.stays_in_weekend_nights AS Number_of_Rooms_Sold,
-           CASE
-               WHEN h.reservation_status = 'Canceled' THEN 0
-               WHEN h.adr < 0 THEN 0
-               WHEN (h.reservation_status = 'Check-Out' OR h.reservation_status = 'No-Show')
-                    AND (h.adr = 0 OR h.adr < 0) THEN 0
-               ELSE ((h.stays_in_week_nights + h.stays_in_weekend_nights) * h.adr * (1 - m.Discount)) - c.Cost
+           -- all zero arms in one test: any TRUE arm gives 0, NULL arms fall through
+           CASE WHEN h.reservation_status = 'Canceled' OR h.adr < 0
+                     OR (h.reservation_status IN ('Check-Out', 'No-Show') AND h.adr <= 0)
+                THEN 0
+                ELSE h.adr * (h.stays_in_weekend_nights + h.stays_in_week_nights) * (1 - m.Discount) - c.Cost
            END AS revenue
     FROM bookings h
     LEFT JOIN seg_lookup m ON h.market_segment = m.market_segment
@@ -106,19 +105,15 @@ joined AS (
 ),
 enriched AS (
     SELECT *,
-        CASE
-            WHEN adults = 1 AND children = 0 AND babies = 0 THEN 'Single'
-            WHEN adults = 2 AND children = 0 AND babies = 0 THEN 'Couple'
-            WHEN adults > 2 AND children = 0 AND babies = 0 THEN 'Group'
-            ELSE 'Family'
-        END AS guest_type,
+        CASE WHEN babies = 0 AND children = 0 AND adults >= 1
+             THEN CASE adults WHEN 1 THEN 'Single' WHEN 2 THEN 'Couple' ELSE 'Group' END
+             ELSE 'Family' END AS guest_type,
         {_REGION_CASE} AS region,
-        CASE
-            WHEN arrival_date_month IN ('December', 'January', 'February') THEN 'Winter'
-            WHEN arrival_date_month IN ('March', 'April', 'May') THEN 'Spring'
-            WHEN arrival_date_month IN ('June', 'July', 'August') THEN 'Summer'
-            WHEN arrival_date_month IN ('September', 'October', 'November') THEN 'Autumn'
-        END AS seasons,
+        -- month position 12, 1, 2 -> 0; 3-5 -> 1; 6-8 -> 2; 9-11 -> 3; unknown month -> NULL
+        ['Winter', 'Spring', 'Summer', 'Autumn'][
+            (list_position(['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August',
+                            'September', 'October', 'November', 'December'], arrival_date_month) % 12) // 3 + 1
+        ] AS seasons,
         CAST(strptime(CAST(arrival_date_day_of_month AS VARCHAR) || ' ' || arrival_date_month || ' '
                       || CAST(arrival_date_year AS VARCHAR), '%d %B %Y') AS DATE) AS arrival_date
     FROM joined
