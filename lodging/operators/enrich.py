@@ -71,7 +71,6 @@ def enrich(bookings: DataFrame, segments: DataFrame, meals: DataFrame, as_writte
 
 
 def money_as_double(df: DataFrame) -> DataFrame:
-    """Cast the exact money columns present in ``df`` to double, keeping order."""
-    return df.select(
-        *[F.col(c).cast("double").alias(c) if c in MONEY_COLUMNS else F.col(c) for c in df.columns]
-    )
+    """Cast the exact money columns present in ``df`` to double, in place."""
+    present = [c for c in df.columns if c in MONEY_COLUMNS]
+    return df.withColumns({c: F.col(c).cast("double") for c in present}) if present else df
