@@ -54,3 +54,30 @@ def test_every_analysis_equal_on_ingested_table(ingested, name):
     expected, table = ingested
     fn = catalog.analyses()[name]
     assert sorted_rows(fn(table).collect()) == sorted_rows(fn(expected).collect())
+
+
+def test_command_line_job(spark, tmp_path):
+    """``python -m lodging ingest`` / ``report``, run in-process on CSV files."""
+    from lodging.__main__ import ingest, report
+
+    base = str(tmp_path)
+    expected = from_testdata(spark, SF_SMALL)
+    sheets = {}
+    for year, table in expected.yearly().items():
+        table.write.option("header", True).csv(f"{base}/{year}")
+        sheets[year] = f"{base}/{year}"
+    expected.segments.write.option("header", True).csv(f"{base}/seg")
+    expected.meals.write.option("header", True).csv(f"{base}/meal")
+
+    ingest(spark, sheets, f"{base}/table")
+    report(spark, f"{base}/table", f"{base}/seg", f"{base}/meal", f"{base}/out", ["revenue_by_year", "top5_countries"])
+
+    got = spark.read.parquet(f"{base}/out/revenue_by_year").collect()
+    want = catalog.analyses()["revenue_by_year"](expected).collect()
+    assert sorted_rows(got) == sorted_rows(want)
+    assert spark.read.parquet(f"{base}/out/bookings_enriched_export").count() == expected.bookings.count()
+    assert sorted(p.name for p in tmp_path.joinpath("out").iterdir()) == [
+        "bookings_enriched_export",
+        "revenue_by_year",
+        "top5_countries",
+    ]
