@@ -107,6 +107,8 @@ def spread_thin_scan(df: DataFrame, key: str) -> DataFrame:
     are its rows spread over the cores, by hash of ``key`` (deterministic, so
     a retried task rebuilds exactly the same partition).  On a large input
     the scan already has more splits than cores and this is a no-op.
+    ``df`` is a scan with filters and projections only, so counting its
+    splits plans the file listing and runs no job.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
