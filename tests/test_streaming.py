@@ -48,3 +48,25 @@ def test_stream_export_matches_batch(spark, scratch):
     )
     again.awaitTermination(300)
     assert spark.read.parquet(f"{scratch}/sink").count() == batch.count()
+
+
+def test_stream_of_csv_sheets(spark, scratch):
+    """CSV sheets arriving in a folder are typed like the batch reader and enriched."""
+    inp = from_testdata(spark, SF_SMALL)
+    source = f"{scratch}/sheets"
+    for year, table in inp.yearly().items():
+        table.write.mode("append").option("header", True).csv(source)
+    query = start_enriched_export(
+        booking_stream(spark, source, fmt="csv"),
+        testdata.market_segments(spark),
+        testdata.meal_costs(spark),
+        f"{scratch}/sink",
+        f"{scratch}/ckpt",
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+    streamed = spark.read.parquet(f"{scratch}/sink")
+    batch = enrich(inp.bookings, inp.segments, inp.meals)
+    assert streamed.count() == batch.count()
+    assert streamed.where(F.col("country") == "NULL").count() == batch.where(F.col("country") == "NULL").count()
+    assert streamed.agg(F.sum("revenue")).first()[0] == batch.agg(F.sum("revenue")).first()[0]
