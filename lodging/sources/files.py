@@ -65,20 +65,19 @@ def read_bookings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOKINGS).parquet(path).select(*BOOKING_COLUMNS)
 
 
-def write_bookings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_bookings(df: DataFrame, path: str, mode: str = "overwrite", rebalance: bool = False) -> None:
     """Write bookings (or an enriched export) partitioned by arrival year.
 
-    A REBALANCE on the year groups each year's rows into few files; AQE then
-    splits any year that is larger than the advisory partition size (there
-    are only a handful of years, so a plain hash repartition would put a
-    whole year, a third of the table, into one task) and merges small ones.
+    By default the write is narrow: every task writes at most one file per
+    year it holds, so no row is shuffled and a year holding a third of the
+    table is written by all the tasks that hold its rows.  ``rebalance=True``
+    adds one shuffle (REBALANCE on the year; AQE splits big years into
+    advisory-size partitions and merges small ones) for fewer, larger files
+    when the input tasks are small.
     """
-    (
-        df.hint("rebalance", PARTITION_COLUMN)
-        .write.mode(mode)
-        .partitionBy(PARTITION_COLUMN)
-        .parquet(path)
-    )
+    if rebalance:
+        df = df.hint("rebalance", PARTITION_COLUMN)
+    df.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

@@ -98,23 +98,25 @@ def test_partitioned_table_prunes_years_and_pushes_filters(spark, scratch):
 
 
 def test_hot_year_is_split_across_write_tasks(spark, scratch):
-    """One year holding most rows is written by several tasks (AQE rebalance)."""
+    """One year holding most rows is written by several tasks, with or without rebalance."""
     import glob
 
     from pyspark.sql import functions as F
 
-    bookings = from_testdata(spark, SF_CHECK).bookings
+    bookings = from_testdata(spark, SF_CHECK).bookings.repartition(4, "arrival_date_month")
     hot = bookings.withColumn("arrival_date_year", F.lit(2019)).unionByName(bookings.where("arrival_date_year = 2018"))
+    write_bookings(hot, f"{scratch}/narrow")
+    assert len(glob.glob(f"{scratch}/narrow/arrival_date_year=2019/*.parquet")) > 1
+
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key)
     spark.conf.set(key, "64k")
     try:
-        write_bookings(hot, f"{scratch}/hot")
+        write_bookings(hot, f"{scratch}/rebalanced", rebalance=True)
     finally:
         spark.conf.set(key, before)
-    hot_files = glob.glob(f"{scratch}/hot/arrival_date_year=2019/*.parquet")
-    assert len(hot_files) > 1
-    assert spark.read.parquet(f"{scratch}/hot").count() == hot.count()
+    assert len(glob.glob(f"{scratch}/rebalanced/arrival_date_year=2019/*.parquet")) > 1
+    assert spark.read.parquet(f"{scratch}/rebalanced").count() == hot.count()
 
 
 def test_hot_customer_key_is_split_by_skew_join(spark):
