@@ -131,6 +131,18 @@ def test_arrival_date_and_weekday(spark):
     ]
 
 
+def test_month_names_match_case_insensitively(spark):
+    schema = "arrival_date_day_of_month int, arrival_date_month string, arrival_date_year int"
+    got = _one_column(spark, [(4, "july", 2019), (4, "JULY", 2019)], schema, rules.arrival_date())
+    assert got == [dt.date(2019, 7, 4)] * 2
+
+
+def test_unknown_month_fails(spark):
+    df = spark.createDataFrame([(1, "Foo", 2018)], "arrival_date_day_of_month int, arrival_date_month string, arrival_date_year int")
+    with pytest.raises(Exception, match="(?i)DATETIME|month"):
+        df.select(rules.arrival_date()).collect()
+
+
 def test_impossible_date_fails(spark):
     df = spark.createDataFrame([(31, "February", 2018)], "arrival_date_day_of_month int, arrival_date_month string, arrival_date_year int")
     with pytest.raises(Exception, match="(?i)cannot be parsed|CANNOT_PARSE|DATETIME"):
