@@ -94,3 +94,17 @@ def diff(spark_result, oracle_result, limit: int = 5) -> str | None:
     for a, b in bad[:limit]:
         lines.append(f"  spark : {a}\n  oracle: {b}")
     return "\n".join(lines)
+
+
+def arrow_diff(spark_table, oracle_table) -> str | None:
+    """Compare two Arrow tables: column names and Arrow types in order, then
+    the rows as an order-insensitive multiset."""
+    s_schema = [(f.name, str(f.type)) for f in spark_table.schema]
+    o_schema = [(f.name, str(f.type)) for f in oracle_table.schema]
+    if s_schema != o_schema:
+        return f"arrow schemas differ: spark={s_schema} oracle={o_schema}"
+    names = spark_table.column_names
+    s_rows = sorted_rows(zip(*[spark_table.column(c).to_pylist() for c in names]))
+    o_rows = sorted_rows(zip(*[oracle_table.column(c).to_pylist() for c in names]))
+    return diff((names, s_rows), (names, o_rows))
+
