@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodging.operators.aggregates import sum_by
 from lodging.plans.inputs import Inputs
-from lodging.functions.rules import CHECK_OUT
+from lodging.functions.rules import CHECK_OUT, MONTH_NAMES
 
 YEAR = "arrival_date_year"
 MONTH = "arrival_date_month"
@@ -114,8 +114,9 @@ def revenue_by_season_hotel(inp: Inputs) -> DataFrame:
 
 
 def revenue_by_month(inp: Inputs) -> DataFrame:
-    """Revenue per (year, arrival month)."""
-    return _revenue_by(inp, YEAR, MONTH).orderBy(YEAR, MONTH)
+    """Revenue per (year, arrival month), in calendar order."""
+    calendar = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.col(MONTH))
+    return _revenue_by(inp, YEAR, MONTH).orderBy(YEAR, calendar, MONTH)
 
 
 def parking_percentage(inp: Inputs) -> DataFrame:

@@ -261,7 +261,11 @@ def oracle_sql() -> dict[str, str]:
     )
     q["revenue_by_year_hotel"] = revenue_by("arrival_date_year, hotel", "arrival_date_year, hotel")
     q["revenue_by_season_hotel"] = revenue_by("seasons, hotel", "seasons NULLS FIRST, hotel")
-    q["revenue_by_month"] = revenue_by("arrival_date_year, arrival_date_month", "arrival_date_year, arrival_date_month")
+    q["revenue_by_month"] = revenue_by(
+        "arrival_date_year, arrival_date_month",
+        "arrival_date_year, list_position(['January', 'February', 'March', 'April', 'May', 'June', 'July', "
+        "'August', 'September', 'October', 'November', 'December'], arrival_date_month), arrival_date_month",
+    )
     q["parking_percentage"] = _q(
         ", counts AS (SELECT COUNT(*) FILTER (WHERE required_car_parking_spaces > 0) AS bookings_with_parking, "
         "COUNT(*) AS count_of_reservations_made FROM bookings) "

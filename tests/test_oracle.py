@@ -47,3 +47,8 @@ def test_global_sorts(spark):
     top = QUERIES["top5_countries"](spark, SF_CHECK).collect()
     revenues = [r.revenue for r in top if r.revenue is not None]
     assert revenues == sorted(revenues, reverse=True)
+
+
+def test_months_in_calendar_order(spark):
+    rows = QUERIES["revenue_by_month"](spark, SF_CHECK).where("arrival_date_year = 2019").collect()
+    assert [r.arrival_date_month for r in rows][:3] == ["January", "February", "March"]
