@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodging.functions.rules import MONTH_NAMES
 from lodging.schema import BOOKING_COLUMNS, BOOKINGS, MARKET_SEGMENT, MEAL_COST
 from lodging.sources.files import bounded_lookup, spread_thin_scan
 
@@ -124,7 +125,7 @@ def _as_bookings(joined: DataFrame) -> DataFrame:
         "is_canceled": F.when(F.col("o_orderstatus") == "O", 1).otherwise(0),
         "lead_time": k % 365,
         "arrival_date_year": F.year(d),
-        "arrival_date_month": F.date_format(d, "MMMM"),
+        "arrival_date_month": _pick(F.month(d) - 1, MONTH_NAMES),
         "arrival_date_week_number": F.weekofyear(d),
         "arrival_date_day_of_month": F.dayofmonth(d),
         "stays_in_weekend_nights": k % 3,
