@@ -81,3 +81,16 @@ def test_command_line_job(spark, tmp_path):
         "revenue_by_year",
         "top5_countries",
     ]
+
+
+def test_null_year_is_its_own_yearly_table(spark, tmp_path):
+    """A booking without an arrival year is kept: its own (NULL) partition and yearly table."""
+    from pyspark.sql import functions as F
+
+    expected = from_testdata(spark, SF_SMALL)
+    some = expected.bookings.limit(5).withColumn("arrival_date_year", F.lit(None).cast("int"))
+    files.write_bookings(expected.bookings.unionByName(some), f"{tmp_path}/t")
+    table = from_table(spark, f"{tmp_path}/t", expected.segments, expected.meals)
+    yearly = table.yearly()
+    assert None in yearly and yearly[None].count() == 5
+    assert consolidate(yearly.values()).count() == table.bookings.count() == expected.bookings.count() + 5
