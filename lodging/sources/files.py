@@ -50,8 +50,10 @@ def typed_from_text(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Header CSV read as text with the schema's column names, then typed."""
-    raw = spark.read.schema(text_schema(schema)).option("header", True).option("enforceSchema", False).csv(path)
+    """Header CSV, columns matched by header name, every value read as text and
+    then typed by ``schema``.  Column order in the file does not matter, extra
+    columns are ignored, and a missing column fails the read."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return typed_from_text(raw, schema)
 
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 
 from lodging.operators.consolidate import consolidate
-from lodging.schema import BOOKING_COLUMNS, MARKET_SEGMENT
+from lodging.schema import BOOKING_COLUMNS, BOOKINGS, MARKET_SEGMENT
 from lodging.sources import files, testdata
 
 HEADER = ",".join(BOOKING_COLUMNS)
@@ -96,3 +96,15 @@ def test_checked_lookup_over_bound_is_not_hinted(spark):
     big = files.checked_lookup(df, "market_segment", max_rows=10)
     assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString() or small is not df
     assert big is df
+
+
+def test_csv_columns_matched_by_header_name(spark, scratch):
+    cols = list(reversed(BOOKING_COLUMNS)) + ["extra_column"]
+    values = dict(zip(BOOKING_COLUMNS, _csv_row(2019, "PRT", "7", "55.10").split(",")))
+    values["extra_column"] = "ignored"
+    path = os.path.join(scratch, "reordered.csv")
+    with open(path, "w") as fh:
+        fh.write(",".join(cols) + "\n" + ",".join(values[c] for c in cols) + "\n")
+    row = files.read_csv(spark, path, BOOKINGS).first()
+    assert row.arrival_date_year == 2019 and row.country == "PRT" and row.agent == 7 and row.adr == Decimal("55.10")
+    assert list(row.asDict()) == BOOKING_COLUMNS
