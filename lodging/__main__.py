@@ -8,7 +8,8 @@
 column name and writes the year-partitioned Parquet table.  ``report`` reads
 that table and the two lookup CSVs (size- and uniqueness-checked before they
 are broadcast), writes the enriched export partitioned by year and every
-analysis as its own Parquet folder under ``--out``.  Run it with
+analysis as its own folder under ``--out`` (Parquet, or header CSV with
+``--format csv`` for BI tools).  Run it with
 ``spark-submit`` on a cluster; the session's own settings are kept.
 """
 
@@ -41,18 +42,36 @@ def ingest(spark: SparkSession, sheets: dict[int, str], table: str) -> None:
     files.write_bookings(consolidate(files.read_yearly_csv(spark, sheets).values()), table)
 
 
-def report(spark: SparkSession, table: str, segments: str, meals: str, out: str, names: list[str] | None) -> None:
+def _write(df, path: str, fmt: str, partition_by: str | None = None) -> None:
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.parquet(path)
+
+
+def report(
+    spark: SparkSession,
+    table: str,
+    segments: str,
+    meals: str,
+    out: str,
+    names: list[str] | None,
+    fmt: str = "parquet",
+) -> None:
     inp = from_table(
         spark,
         table,
         files.read_lookup_csv(spark, segments, MARKET_SEGMENT, "market_segment"),
         files.read_lookup_csv(spark, meals, MEAL_COST, "meal"),
     )
-    files.write_bookings(inp.enriched, f"{out}/bookings_enriched_export")
+    _write(inp.enriched, f"{out}/bookings_enriched_export", fmt, files.PARTITION_COLUMN)
     for name, analysis in catalog.analyses().items():
         if names and name not in names:
             continue
-        analysis(inp).write.mode("overwrite").parquet(f"{out}/{name}")
+        _write(analysis(inp), f"{out}/{name}", fmt)
 
 
 def main(argv: list[str]) -> None:
@@ -67,13 +86,14 @@ def main(argv: list[str]) -> None:
     p_report.add_argument("--meals", required=True, help="meal_cost CSV (meal, Cost)")
     p_report.add_argument("--out", required=True)
     p_report.add_argument("--only", action="append", help="write only these analyses")
+    p_report.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="csv: header CSV for BI tools")
     args = parser.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName(f"lodging-{args.command}").getOrCreate())
     if args.command == "ingest":
         ingest(spark, _sheets(args.sheet), args.table)
     else:
-        report(spark, args.table, args.segments, args.meals, args.out, args.only)
+        report(spark, args.table, args.segments, args.meals, args.out, args.only, args.format)
 
 
 if __name__ == "__main__":

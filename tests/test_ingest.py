@@ -94,3 +94,19 @@ def test_null_year_is_its_own_yearly_table(spark, tmp_path):
     yearly = table.yearly()
     assert None in yearly and yearly[None].count() == 5
     assert consolidate(yearly.values()).count() == table.bookings.count() == expected.bookings.count() + 5
+
+
+def test_report_as_csv(spark, tmp_path):
+    from lodging.__main__ import report
+
+    expected = from_testdata(spark, SF_SMALL)
+    base = str(tmp_path)
+    files.write_bookings(expected.bookings, f"{base}/table")
+    expected.segments.write.option("header", True).csv(f"{base}/seg")
+    expected.meals.write.option("header", True).csv(f"{base}/meal")
+    report(spark, f"{base}/table", f"{base}/seg", f"{base}/meal", f"{base}/out", ["revenue_by_year"], fmt="csv")
+    got = spark.read.option("header", True).csv(f"{base}/out/revenue_by_year").collect()
+    assert sorted(r.Revenue_by_Year_FormattedInMillions for r in got) == sorted(
+        r.Revenue_by_Year_FormattedInMillions for r in catalog.analyses()["revenue_by_year"](expected).collect()
+    )
+    assert spark.read.option("header", True).csv(f"{base}/out/bookings_enriched_export").count() == expected.bookings.count()
