@@ -166,14 +166,13 @@ def oracle_sql() -> dict[str, str]:
     )
     q["adr_anomalies"] = _q(
         f"SELECT reservation_status, Number_of_Rooms_Sold, CAST(adr AS DOUBLE) AS adr, {lookup_side} FROM joined "
-        "WHERE (adr = 0 OR adr < 0) AND m_segment NOT IN ('Complementary') AND Number_of_Rooms_Sold > 0 "
+        "WHERE adr <= 0 AND m_segment <> 'Complementary' AND Number_of_Rooms_Sold > 0 "
         "ORDER BY adr, Number_of_Rooms_Sold DESC"
     )
     q["adr_anomalies_as_written"] = _q(
         "SELECT reservation_status, stays_in_week_nights + stays_in_week_nights AS Number_of_Rooms_Sold, "
         f"CAST(adr AS DOUBLE) AS adr, {lookup_side} FROM joined "
-        "WHERE (adr = 0 OR adr < 0) AND m_segment NOT IN ('Complementary') "
-        "AND stays_in_week_nights + stays_in_week_nights > 0 "
+        "WHERE adr <= 0 AND m_segment <> 'Complementary' AND 2 * stays_in_week_nights > 0 "
         "ORDER BY adr, Number_of_Rooms_Sold DESC"
     )
     q["booking_revenue"] = _q(
