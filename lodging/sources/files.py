@@ -100,23 +100,31 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTy
     return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
 
 
+# A scan is "thin" when it has at most this many splits (each at most one
+# Parquet row group): spreading it costs a shuffle of a few row groups only.
+THIN_SCAN_SPLITS = 3
+
+
 def spread_thin_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that yields fewer tasks than the session has cores.
+    """Hash-partition a scan of at most ``THIN_SCAN_SPLITS`` splits over the cores.
 
     A Parquet row group is the smallest unit a task can read, so a file with
-    one row group is scanned by one task however many cores wait.  Only then
-    are its rows spread over the cores, by hash of ``key`` (deterministic, so
-    a retried task rebuilds exactly the same partition).  On a large input
-    the scan already has more splits than cores and this is a no-op.
-    ``df`` is a scan with filters and projections only, so counting its
-    splits plans the file listing and runs no job.
+    one row group is scanned by one task however many cores wait.  Such a
+    scan is spread by hash of ``key`` (deterministic, so a retried task
+    rebuilds exactly the same partition).  The bound keeps the extra shuffle
+    to a few row groups: a scan with more splits is returned as it is, even
+    when the cluster has more cores than splits, because shuffling a large
+    input to use more cores costs more than it saves.  ``df`` is a scan with
+    filters and projections only, so counting its splits runs no job.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # no SparkContext on this client (e.g. Spark Connect): keep the scan as it is
         return df
-    return df if splits >= cores else df.repartition(cores, key)
+    if splits > THIN_SCAN_SPLITS or splits >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def bounded_lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

@@ -145,3 +145,13 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_thin_scan_spread_is_bounded(spark):
+    from lodging.sources.files import THIN_SCAN_SPLITS, spread_thin_scan
+
+    thin = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
+    assert thin.rdd.getNumPartitions() <= THIN_SCAN_SPLITS
+    assert "REPARTITION_BY_NUM" in formatted(spread_thin_scan(thin, "o_orderkey"))
+    wide = spark.range(0, 1000, 1, THIN_SCAN_SPLITS + 1)
+    assert spread_thin_scan(wide, "id") is wide
