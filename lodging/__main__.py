@@ -38,8 +38,9 @@ def _sheets(values: list[str]) -> dict[int, str]:
     return out
 
 
-def ingest(spark: SparkSession, sheets: dict[int, str], table: str) -> None:
-    files.write_bookings(consolidate(files.read_yearly_csv(spark, sheets).values()), table)
+def ingest(spark: SparkSession, sheets: dict[int, str], table: str, replace_years_only: bool = False) -> None:
+    bookings = consolidate(files.read_yearly_csv(spark, sheets).values())
+    files.write_bookings(bookings, table, replace_years_only=replace_years_only)
 
 
 def _write(df, path: str, fmt: str, partition_by: str | None = None) -> None:
@@ -80,6 +81,9 @@ def main(argv: list[str]) -> None:
     p_ingest = sub.add_parser("ingest", help="yearly CSV sheets -> year-partitioned booking table")
     p_ingest.add_argument("--sheet", action="append", required=True, metavar="YEAR=PATH")
     p_ingest.add_argument("--table", required=True)
+    p_ingest.add_argument(
+        "--replace-years-only", action="store_true", help="overwrite only the years of the given sheets"
+    )
     p_report = sub.add_parser("report", help="booking table + lookups -> export and reports")
     p_report.add_argument("--table", required=True)
     p_report.add_argument("--segments", required=True, help="market_segment CSV (market_segment, Discount)")
@@ -91,7 +95,7 @@ def main(argv: list[str]) -> None:
 
     spark = configure(SparkSession.builder.appName(f"lodging-{args.command}").getOrCreate())
     if args.command == "ingest":
-        ingest(spark, _sheets(args.sheet), args.table)
+        ingest(spark, _sheets(args.sheet), args.table, args.replace_years_only)
     else:
         report(spark, args.table, args.segments, args.meals, args.out, args.only, args.format)
 

@@ -67,7 +67,13 @@ def read_bookings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOKINGS).parquet(path).select(*BOOKING_COLUMNS)
 
 
-def write_bookings(df: DataFrame, path: str, mode: str = "overwrite", rebalance: bool = False) -> None:
+def write_bookings(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    rebalance: bool = False,
+    replace_years_only: bool = False,
+) -> None:
     """Write bookings (or an enriched export) partitioned by arrival year.
 
     By default the write is narrow: every task writes at most one file per
@@ -75,11 +81,17 @@ def write_bookings(df: DataFrame, path: str, mode: str = "overwrite", rebalance:
     table is written by all the tasks that hold its rows.  ``rebalance=True``
     adds one shuffle (REBALANCE on the year; AQE splits big years into
     advisory-size partitions and merges small ones) for fewer, larger files
-    when the input tasks are small.
+    when the input tasks are small.  ``replace_years_only=True`` overwrites
+    only the years present in ``df`` (dynamic partition overwrite) and leaves
+    the other years of the table as they are: re-importing one yearly sheet
+    rewrites one partition.
     """
     if rebalance:
         df = df.hint("rebalance", PARTITION_COLUMN)
-    df.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+    writer = df.write.mode(mode).partitionBy(PARTITION_COLUMN)
+    if replace_years_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

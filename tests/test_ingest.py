@@ -110,3 +110,27 @@ def test_report_as_csv(spark, tmp_path):
         r.Revenue_by_Year_FormattedInMillions for r in catalog.analyses()["revenue_by_year"](expected).collect()
     )
     assert spark.read.option("header", True).csv(f"{base}/out/bookings_enriched_export").count() == expected.bookings.count()
+
+
+def test_reimport_one_year_replaces_only_that_year(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodging.__main__ import ingest
+
+    expected = from_testdata(spark, SF_SMALL)
+    base = str(tmp_path)
+    sheets = {}
+    for year, table in expected.yearly().items():
+        table.write.option("header", True).csv(f"{base}/{year}")
+        sheets[year] = f"{base}/{year}"
+    ingest(spark, sheets, f"{base}/table")
+    before = {y: n for y, n in spark.read.parquet(f"{base}/table").groupBy("arrival_date_year").count().collect()}
+
+    # a corrected 2020 sheet: only its first 10 bookings, every rate raised by 1
+    fixed = expected.yearly()[2020].limit(10).withColumn("adr", F.col("adr") + 1)
+    fixed.write.option("header", True).csv(f"{base}/2020_fixed")
+    ingest(spark, {2020: f"{base}/2020_fixed"}, f"{base}/table", replace_years_only=True)
+
+    after = {y: n for y, n in spark.read.parquet(f"{base}/table").groupBy("arrival_date_year").count().collect()}
+    assert after[2018] == before[2018] and after[2019] == before[2019]
+    assert after[2020] == 10
