@@ -70,3 +70,27 @@ def test_stream_of_csv_sheets(spark, scratch):
     assert streamed.count() == batch.count()
     assert streamed.where(F.col("country") == "NULL").count() == batch.where(F.col("country") == "NULL").count()
     assert streamed.agg(F.sum("revenue")).first()[0] == batch.agg(F.sum("revenue")).first()[0]
+
+
+def test_restart_processes_only_new_files(spark, scratch):
+    inp = from_testdata(spark, SF_SMALL)
+    source, sink, ckpt = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt"
+    yearly = inp.yearly()
+    yearly[2018].select(*BOOKING_COLUMNS).write.mode("append").parquet(source)
+
+    def run_once():
+        q = start_enriched_export(
+            booking_stream(spark, source), testdata.market_segments(spark), testdata.meal_costs(spark), sink, ckpt
+        )
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    run_once()
+    assert spark.read.parquet(sink).count() == yearly[2018].count()
+    # new sheets arrive; the restarted query picks up only those files
+    for year in (2019, 2020):
+        yearly[year].select(*BOOKING_COLUMNS).write.mode("append").parquet(source)
+    run_once()
+    out = spark.read.parquet(sink)
+    assert out.count() == inp.bookings.count()
+    assert {r[0] for r in out.select("arrival_date_year").distinct().collect()} == {2018, 2019, 2020}
