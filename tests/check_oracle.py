@@ -1,4 +1,5 @@
-"""Command line: compare every registered query with its oracle.
+"""Command line: compare every registered query with its oracle as Arrow tables
+(column names, Arrow types, rows as a multiset).
 
     python tests/check_oracle.py [sf_dir] [name ...]
 """
@@ -13,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
-from compare import diff, duck, oracle_rows, spark_rows, type_diff  # noqa: E402
+from compare import arrow_diff, duck  # noqa: E402
 
 from lodging.session import local_session  # noqa: E402
 
@@ -29,17 +30,15 @@ def main(argv: list[str]) -> int:
         if wanted and name not in wanted:
             continue
         t0 = time.time()
-        df = fn(spark, sf_dir)
-        got = spark_rows(df)
+        got = fn(spark, sf_dir).toArrow()
         t1 = time.time()
         if name not in oracle:
-            print(f"{name:32s} rows={len(got[1]):7d} (no oracle) {t1 - t0:.2f}s")
+            print(f"{name:32s} rows={got.num_rows:7d} (no oracle) {t1 - t0:.2f}s")
             continue
-        want = oracle_rows(con, oracle[name])
-        problem = diff(got, want) or type_diff(df, con, oracle[name])
+        problem = arrow_diff(got, con.sql(oracle[name]).to_arrow_table())
         status = "OK" if problem is None else "MISMATCH"
         failures += problem is not None
-        print(f"{name:32s} rows={len(got[1]):7d} {status} spark {t1 - t0:.2f}s")
+        print(f"{name:32s} rows={got.num_rows:7d} {status} spark {t1 - t0:.2f}s")
         if problem:
             print(problem)
     print(f"failures: {failures}")
