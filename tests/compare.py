@@ -1,7 +1,7 @@
-"""Run a Spark query and its DuckDB oracle on the same tables and compare.
+"""Compare a Spark query with its DuckDB oracle on the same tables.
 
-Comparison is order-insensitive (both sides sorted), exact on values and
-names; column order must match too.
+Both results are taken as Arrow tables; names and Arrow types must match in
+order, and the rows must be equal as a multiset (exact values).
 """
 
 from __future__ import annotations
@@ -45,40 +45,6 @@ def sorted_rows(rows) -> list[tuple]:
     return sorted((tuple(_norm(v) for v in r) for r in rows), key=_key)
 
 
-_SPARK_TO_SQL = {
-    "int": "INTEGER",
-    "bigint": "BIGINT",
-    "double": "DOUBLE",
-    "string": "VARCHAR",
-    "date": "DATE",
-    "boolean": "BOOLEAN",
-}
-
-
-def spark_types(df) -> list[str]:
-    return [_SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString().upper()) for f in df.schema.fields]
-
-
-def oracle_types(con, sql: str) -> list[str]:
-    return [str(d[1]) for d in con.execute(sql).description]
-
-
-def type_diff(df, con, sql: str) -> str | None:
-    a, b = spark_types(df), oracle_types(con, sql)
-    bad = [(c, x, y) for c, x, y in zip(df.columns, a, b) if x != y]
-    return None if not bad else f"types differ: {bad}"
-
-
-def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    return df.columns, sorted_rows(df.collect())
-
-
-def oracle_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
-    cur = con.execute(sql)
-    names = [d[0] for d in cur.description]
-    return names, sorted_rows(cur.fetchall())
-
-
 def diff(spark_result, oracle_result, limit: int = 5) -> str | None:
     """None when equal, else a short description of the first differences."""
     s_cols, s_rows = spark_result
