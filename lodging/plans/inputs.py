@@ -13,6 +13,7 @@ driver-side plan construction without caching any data.
 from __future__ import annotations
 
 import uuid
+import warnings
 import weakref
 from collections.abc import Callable
 from functools import cached_property
@@ -113,14 +114,30 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
     """
     per_session = _STAGED.setdefault(spark, {})
     if sf_dir not in per_session:
+        segments, meals = testdata.market_segments(spark), testdata.meal_costs(spark)
         path = shared_dir(spark, f"lodging-bookings-{uuid.uuid4().hex[:12]}")
-        files.write_bookings(testdata.bookings(spark, sf_dir), path)
-        per_session[sf_dir] = from_table(
-            spark, path, testdata.market_segments(spark), testdata.meal_costs(spark), testdata.YEARS
-        )
+        try:
+            files.write_bookings(testdata.bookings(spark, sf_dir), path)
+        except Exception as exc:  # e.g. the checkpoint folder is not writable from here
+            warnings.warn(f"could not stage bookings under {path} ({type(exc).__name__}); querying the derivation directly")
+            per_session[sf_dir] = _unstaged(spark, sf_dir, segments, meals)
+        else:
+            per_session[sf_dir] = from_table(spark, path, segments, meals, testdata.YEARS)
     return per_session[sf_dir]
 
 
+def _unstaged(spark: SparkSession, sf_dir: str, segments: DataFrame, meals: DataFrame) -> Inputs:
+    """The same inputs without the staged table: every query re-plans the derivation."""
+    bookings = testdata.bookings(spark, sf_dir)
+    year = F.col(files.PARTITION_COLUMN)
+    return Inputs(
+        bookings=bookings,
+        segments=segments,
+        meals=meals,
+        yearly=lambda: {y: bookings.where(year == y) for y in testdata.YEARS},
+    )
+
+
 def from_parquet(spark: SparkSession, bookings_path: str, segments_path: str, meals_path: str) -> Inputs:
     """A booking table written by ``files.write_bookings`` plus lookup files."""
     segments = files.checked_lookup(spark.read.schema(MARKET_SEGMENT).parquet(segments_path), "market_segment")

@@ -108,3 +108,32 @@ def test_mutation_coalesced_discount_changes_results(inp):
     a = inp.revenue_rows.agg(F.count("revenue")).first()[0]
     b = mutated.agg(F.count("revenue")).first()[0]
     assert a != b
+
+
+def test_unstaged_inputs_give_the_same_answers(spark):
+    """The fallback used when the staging folder is not writable."""
+    from compare import sorted_rows
+
+    from lodging.plans.inputs import _unstaged
+    from lodging.sources import testdata
+
+    staged = from_testdata(spark, SF_CHECK)
+    direct = _unstaged(spark, SF_CHECK, staged.segments, staged.meals)
+    for name in ("revenue_by_year", "union_bookings", "top5_countries", "bookings_enriched"):
+        fn = catalog.analyses()[name]
+        assert sorted_rows(fn(direct).collect()) == sorted_rows(fn(staged).collect()), name
+    assert testdata.YEARS == tuple(sorted(direct.yearly()))
+
+
+def test_staging_failure_falls_back(spark, monkeypatch):
+    import pytest
+
+    from lodging.plans import inputs as inputs_module
+
+    def refuse(*args, **kwargs):
+        raise PermissionError("read-only folder")
+
+    monkeypatch.setattr(inputs_module.files, "write_bookings", refuse)
+    with pytest.warns(UserWarning, match="could not stage"):
+        inp = inputs_module.from_testdata(spark, "/root/testdata/sf0.001/")  # a key not staged yet
+    assert inp.bookings.count() == inputs_module.from_testdata(spark, "/root/testdata/sf0.001").bookings.count()
