@@ -136,4 +136,4 @@ def test_staging_failure_falls_back(spark, monkeypatch):
     monkeypatch.setattr(inputs_module.files, "write_bookings", refuse)
     with pytest.warns(UserWarning, match="could not stage"):
         inp = inputs_module.from_testdata(spark, "/root/testdata/sf0.001/")  # a key not staged yet
-    assert inp.bookings.count() == inputs_module.from_testdata(spark, "/root/testdata/sf0.001").bookings.count()
+    assert inp.bookings.count() == inputs_module.testdata.bookings(spark, "/root/testdata/sf0.001").count()
