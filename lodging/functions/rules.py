@@ -187,6 +187,7 @@ def day_of_week(date: ColumnLike = "arrival_date") -> Column:
     return F.when(dow.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), dow))
 
 
+@_reused
 def millions_text(amount: ColumnLike) -> Column:
     """Render a money amount as '$12.35M' / '-$1.23M' (millions, 2 decimals).
 

@@ -37,6 +37,12 @@ def _lookup_side() -> list[Column]:
     ]
 
 
+def _with_rooms(inp: Inputs, as_written: bool) -> DataFrame:
+    """Lookups joined plus Number_of_Rooms_Sold.  The default form reuses the
+    session's revenue frame (its unused revenue column is pruned)."""
+    return with_rooms(inp.joined, as_written=True) if as_written else inp.revenue_rows
+
+
 def _millions(total: DataFrame, total_col: str, value_name: str, text_name: str, *keys: str) -> DataFrame:
     return total.select(
         *keys,
@@ -68,7 +74,7 @@ def baseline_join(inp: Inputs) -> DataFrame:
 
 def revenue_inputs(inp: Inputs, as_written: bool = False) -> DataFrame:
     """Columns that feed revenue; ``as_written`` keeps week nights counted twice."""
-    joined = with_rooms(inp.joined, as_written=as_written)
+    joined = _with_rooms(inp, as_written)
     if as_written:
         nights = [F.col("stays_in_week_nights"), F.col("stays_in_week_nights").alias("stays_in_week_nights_2")]
     else:
@@ -86,7 +92,7 @@ def adr_anomalies(inp: Inputs, as_written: bool = False) -> DataFrame:
     range partitioner of the global sort more distinct keys to split on when
     one rate value dominates.
     """
-    joined = with_rooms(inp.joined, as_written=as_written)
+    joined = _with_rooms(inp, as_written)
     adr = F.col("adr")
     anomalies = joined.where(
         ((adr == 0) | (adr < 0)) & ~F.col(SEGMENT_KEY).isin("Complementary") & (F.col(ROOMS) > 0)
