@@ -9,6 +9,7 @@ frame and tests can pass literal columns.
 from __future__ import annotations
 
 import functools
+import weakref
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -43,7 +44,8 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_BUILT: dict[tuple, Column] = {}
+# Built rules per live SparkContext (weakly held: a stopped context's entries go with it).
+_BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _reused(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -58,10 +60,14 @@ def _reused(build: Callable[..., Column]) -> Callable[..., Column]:
     def rule(*args: ColumnLike, **kwargs: ColumnLike) -> Column:
         if not all(isinstance(a, str) for a in (*args, *kwargs.values())):
             return build(*args, **kwargs)
-        key = (id(SparkContext._active_spark_context), build.__name__, args, tuple(sorted(kwargs.items())))
-        if key not in _BUILT:
-            _BUILT[key] = build(*args, **kwargs)
-        return _BUILT[key]
+        sc = SparkContext._active_spark_context
+        if sc is None:
+            return build(*args, **kwargs)
+        built = _BUILT.setdefault(sc, {})
+        key = (build.__name__, args, tuple(sorted(kwargs.items())))
+        if key not in built:
+            built[key] = build(*args, **kwargs)
+        return built[key]
 
     return rule
 
