@@ -12,7 +12,7 @@ NULL order is spelt out; ``year()`` is BIGINT, so it is cast to INTEGER.
 from __future__ import annotations
 
 from lodging.functions.regions import REGION_CODES
-from lodging.sources.testdata import COUNTRIES
+from lodging.sources.fixture_values import COUNTRIES
 
 
 def _quote(value: str | None) -> str:
