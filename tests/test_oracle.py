@@ -52,3 +52,16 @@ def test_global_sorts(spark):
 def test_months_in_calendar_order(spark):
     rows = QUERIES["revenue_by_month"](spark, SF_CHECK).where("arrival_date_year = 2019").collect()
     assert [r.arrival_date_month for r in rows][:3] == ["January", "February", "March"]
+
+
+def test_oracle_needs_no_spark():
+    """The SQL oracle can be built where only DuckDB is installed."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['pyspark'] = None; import sql_oracle; print(len(sql_oracle.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == str(len(ORACLE))
