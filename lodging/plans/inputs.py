@@ -93,7 +93,8 @@ def from_table(
         known = years
         if known is None:
             # One row per partition folder: bounded by the number of years.
-            known = tuple(sorted((r[0] for r in bookings.select(year).distinct().collect()), key=lambda y: (y is not None, y or 0)))
+            found = [r[0] for r in bookings.select(year).distinct().collect()]
+            known = tuple(sorted(found, key=lambda y: (y is not None, y or 0)))
         # A NULL year is a partition of its own (Spark's default partition folder).
         return {y: bookings.where(year.isNull() if y is None else year == y) for y in known}
 
