@@ -90,7 +90,9 @@ def main(argv: list[str]) -> None:
     p_report.add_argument("--meals", required=True, help="meal_cost CSV (meal, Cost)")
     p_report.add_argument("--out", required=True)
     p_report.add_argument("--only", action="append", help="write only these analyses")
-    p_report.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="csv: header CSV for BI tools")
+    p_report.add_argument(
+        "--format", choices=("parquet", "csv"), default="parquet", help="csv: header CSV for BI tools"
+    )
     args = parser.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName(f"lodging-{args.command}").getOrCreate())

@@ -120,7 +120,9 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
         try:
             files.write_bookings(testdata.bookings(spark, sf_dir), path)
         except Exception as exc:  # e.g. the checkpoint folder is not writable from here
-            warnings.warn(f"could not stage bookings under {path} ({type(exc).__name__}); querying the derivation directly")
+            warnings.warn(
+                f"could not stage bookings under {path} ({type(exc).__name__}); querying the derivation directly"
+            )
             per_session[sf_dir] = _unstaged(spark, sf_dir, segments, meals)
         else:
             per_session[sf_dir] = from_table(spark, path, segments, meals, testdata.YEARS)

@@ -55,7 +55,8 @@ def weekday_by_guest_type(inp: Inputs) -> DataFrame:
     """
     counts = inp.enriched.groupBy("guest_type", "day_of_week").agg(F.count(F.lit(1)).alias("bookings"))
     rank = Window.partitionBy("guest_type").orderBy(F.desc("bookings"), F.asc("day_of_week"))
-    return counts.withColumn("weekday_rank", F.row_number().over(rank).cast("bigint")).orderBy("guest_type", "weekday_rank")
+    ranked = counts.withColumn("weekday_rank", F.row_number().over(rank).cast("bigint"))
+    return ranked.orderBy("guest_type", "weekday_rank")
 
 
 def revenue_by_hotel_guest_type(inp: Inputs) -> DataFrame:

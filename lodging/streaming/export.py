@@ -19,7 +19,9 @@ from lodging.schema import BOOKINGS
 from lodging.sources.files import PARTITION_COLUMN, text_schema, typed_from_text
 
 
-def booking_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+def booking_stream(
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
+) -> DataFrame:
     """New booking files under ``path`` as a stream with the booking schema.
 
     ``fmt='csv'`` reads header CSV sheets as text and types them like the batch
