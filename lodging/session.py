@@ -61,18 +61,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for job output under the cluster's shared checkpoint dir.
 
-    Uses ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) is one created and set here.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a
+    one-machine session (``local[...]``: tests, the benchmark) gets a folder
+    of its own; on a cluster every executor would write to its own disk, so
+    that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        try:
-            sc = spark.sparkContext
-            base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-            if not base:
-                base = tempfile.mkdtemp(prefix="lodging-ckpt-")
-                sc.setCheckpointDir(base)
-                base = sc.getCheckpointDir() or base
-        except Exception:  # no SparkContext on this client
-            base = tempfile.mkdtemp(prefix="lodging-ckpt-")
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lodging-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}"
