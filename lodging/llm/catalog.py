@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import secrets, simhash
+from lodging.llm import embed_dedup, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op9_simhash": simhash.op9_simhash,
+        "op10_embeddings": embed_dedup.op10_embeddings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_embeddings": embed_dedup.OP10_SQL,
+    }
