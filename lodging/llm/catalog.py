@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import embed_dedup, passages, secrets, simhash
+from lodging.llm import embed_dedup, passages, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_quality": quality.op2_quality,
         "op5_passages": passages.op5_passages,
         "op9_simhash": simhash.op9_simhash,
         "op10_embeddings": embed_dedup.op10_embeddings,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality": quality.op2_quality,
         "op5_passages": passages.OP5_SQL,
         "op10_embeddings": embed_dedup.OP10_SQL,
     }
