@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import embed_dedup, passages, quality, secrets, simhash
+from lodging.llm import embed_dedup, packing, passages, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1_secrets,
         "op2_quality": quality.op2_quality,
         "op5_passages": passages.op5_passages,
+        "op6_packing": packing.op6_packing,
         "op9_simhash": simhash.op9_simhash,
         "op10_embeddings": embed_dedup.op10_embeddings,
     }
