@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import embed_dedup, packing, passages, quality, secrets, simhash
+from lodging.llm import embed_dedup, fingerprints, packing, passages, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op2_quality": quality.op2_quality,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op5_passages": passages.op5_passages,
         "op6_packing": packing.op6_packing,
         "op9_simhash": simhash.op9_simhash,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality": quality.op2_quality,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op5_passages": passages.OP5_SQL,
         "op10_embeddings": embed_dedup.OP10_SQL,
     }
