@@ -52,7 +52,7 @@ ROUNDS = 3
 RELEASE = 0.97
 GENERATIONS = 12
 POPULATION = 4
-WORD_CACHE = 300_000  # remembered words of a Python worker; a full memory is emptied
+WORD_CACHE = 600_000  # remembered words of a Python worker; a full memory is emptied
 
 
 # --- token ids --------------------------------------------------------------
@@ -65,6 +65,9 @@ def _byte_level() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, remembering words.
 
@@ -74,42 +77,63 @@ class Encoder:
     the whole tokenizer.
     """
 
+    MARKS = b".,!?;:"
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
         self.alphabet = _byte_level()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return self.remember(word, b"".join([self.packed[i] for i in ids]))
 
-    def letters(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        head = word.rstrip(b".,!?;:")
-        text = head.decode()
-        if head and text.isalpha() and max(text) < "ɐ":
-            lower = text.lower()
-            if lower.isalpha():
-                tail = word[len(head) :]
-                return self.letters(lower) + (self.known(tail, self.tail) if tail else b"")
-        return self.whole(word.decode())
-
-    def tail(self, marks: bytes) -> bytes:
-        return self.whole(marks.decode())
+    def remember(self, word: bytes, ids: bytes) -> bytes:
+        if len(self.words) >= WORD_CACHE:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
 
-    def known(self, word: bytes, make) -> bytes:
-        ids = self.words.get(word)
+    def letters(self, word: bytes) -> bytes | None:
+        """Ids of a word if it is Latin letters alone."""
+        text = word.decode()
+        if not text.isalpha():
+            return None
+        if not text.isascii():
+            if max(text) >= "\u0250":
+                return None
+            text = text.lower()
+            if not text.isalpha():
+                return None
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            text = text.lower()
+        packed = self.packed
+        return self.remember(word, b"".join([packed[t.id] for t in self.merge(text)]))
+
+    def unknown(self, word: bytes) -> bytes:
+        head = word.rstrip(self.MARKS)
+        if len(head) == len(word):
+            return self.letters(word) or self.whole(word)
+        if not head:
+            return self.whole(word)
+        ids = self.words.get(head) if self.letter_end(head) else None
+        ids = ids or self.letters(head)
         if ids is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            ids = self.words[word] = make(word)
-        return ids
+            return self.whole(word)
+        tail = word[len(head) :]
+        return self.remember(word, ids + (self.words.get(tail) or self.whole(tail)))
+
+    @staticmethod
+    def letter_end(word: bytes) -> bool:
+        """Marks after this word start a unit of their own."""
+        last = word[-1]
+        return last in _ALNUM if last < 128 else word.decode()[-1].isalpha()
 
     def __call__(self, text: bytes | None) -> bytes:
         text = text or b""
@@ -119,7 +143,7 @@ class Encoder:
         get = self.words.get
         found = [get(w) for w in words]
         if None in found:
-            found = [self.known(w, self.word) if f is None else f for w, f in zip(words, found)]
+            found = [(get(w) or self.unknown(w)) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
 
