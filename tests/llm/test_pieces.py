@@ -1,0 +1,176 @@
+"""Encoding, decoding and counting against the sentencepiece library and brute force."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from lodging.llm import pieces as V
+from lodging.llm import sentencepiece_codec as C
+from lodging.llm import token_counts as N
+from lodging.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+ODD = [
+    None, "", " ", "   ", "Hello  world\n\n the é x 漢 ", " a ", "naïve — ‘quoted’ 🎉🎉 \t tab", "    indented\n    code   ", "a▁b ▁ c", "x" * 400,
+    "\u0000\u0001 control", "ÀÉÎ ߷ ꙮ", "The and attion to thanedble the, anea. " * 5, "!!! ### $$$ %%%", "日本語のテキスト " * 3,
+]
+
+
+def _varint(b, i):
+    v = s = 0
+    while True:
+        x = b[i]
+        i += 1
+        v |= (x & 127) << s
+        s += 7
+        if x < 128:
+            return v, i
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The same pieces and scores under the library's own unigram search."""
+    raw = bytearray(open(V.piece_model(), "rb").read())
+    i = 0
+    while i < len(raw):
+        key, j = _varint(raw, i)
+        n, j = _varint(raw, j)
+        if key >> 3 == 2:  # the trainer's part: field 3 is the kind of model
+            a = j
+            while a < j + n:
+                k, b = _varint(raw, a)
+                if k & 7 == 0:
+                    _, c = _varint(raw, b)
+                    if k >> 3 == 3:
+                        raw[b] = 1
+                    a = c
+                elif k & 7 == 2:
+                    v, c = _varint(raw, b)
+                    a = c + v
+                else:
+                    a = b + 4
+        i = j + n
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(raw)
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return C.codec(V.piece_model())
+
+
+def ids_of(codec, text):
+    return np.frombuffer(codec.encode(text), "<u4").tolist()
+
+
+def test_segmentations_score_what_the_library_finds_best(unigram, codec, spark):
+    texts = ODD + [d.text for d in table(spark, SF, "documents").select("text").collect()]
+    score = lambda ids: sum(codec.score[i] for i in ids)
+    spelt = set(codec.vocabulary.byte_ids)
+    parts = sorted({p for t in texts for p in V.pre_tokens(t) if len(p.strip(" ")) > 0})
+    checked = 0
+    for part in parts:
+        want = unigram.nbest_encode(part[1:], nbest_size=2)[0]  # found over its lattice, in order of score
+        if spelt.isdisjoint(want):
+            checked += 1
+            assert score(codec.viterbi(part.replace(" ", "▁").encode())) == score(want), part
+    assert checked > 5000
+    for t in texts:
+        ids = ids_of(codec, t)
+        assert codec.decode(ids) == unigram.decode(ids)
+        if "▁" not in (t or ""):
+            assert codec.decode(ids) == (t or "")
+
+
+def test_counts_are_the_lengths_of_the_ids(codec, spark):
+    counter = N.counter(V.piece_model())
+    texts = ODD + [d.text for d in table(spark, SF, "documents").select("text").collect()]
+    pre, tokens = counter(texts)
+    assert tokens == [len(ids_of(codec, t)) for t in texts]
+    assert pre == [len(V.pre_tokens(t)) for t in texts]
+    assert all("".join(V.pre_tokens(t)) == (" " + t if t else "") for t in texts)
+
+
+def test_small_vocabularies_against_all_segmentations():
+    rng = random.Random(6)
+
+    def all_best(text, vocab):
+        best = [(0.0, 0)] + [None] * len(text)
+        for i in range(len(text)):
+            for j in range(i + 1, len(text) + 1):
+                s = vocab.scores.get(text[i:j].encode())
+                if s is None and j == i + 1:
+                    s, n = vocab.unknown_score, len(text[i].encode())
+                elif s is None:
+                    continue
+                else:
+                    s, n = s[1], 1
+                if best[j] is None or best[i][0] + s > best[j][0]:
+                    best[j] = (best[i][0] + s, best[i][1] + n)
+        return best[-1]
+
+    for _ in range(60):
+        letters = "abé"
+        names = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(8)))
+        names += ["▁", "▁a"] + [f"<0x{b:02X}>" for b in range(256)]
+        scores = [-rng.random() * 9 for _ in names]
+        ordinary = [not n.startswith("<0x") for n in names]
+        vocab = V.vocabulary(names, scores, ordinary, [names.index(f"<0x{b:02X}>") for b in range(256)], 0)
+        codec, counter = C.Codec(vocab), N.Counter(vocab)
+        texts = [" " + "".join(rng.choice("abéü") for _ in range(rng.randrange(1, 12))) for _ in range(20)]
+        counts = dict(counter.walk(counter.insert(texts)))
+        for t in texts:
+            score, n = all_best(t.replace(" ", "▁"), vocab)
+            ids = codec.viterbi(t.replace(" ", "▁").encode())
+            assert len(ids) == n == counts[t]
+
+
+def test_double_array_holds_its_keys_and_no_others():
+    rng = random.Random(9)
+    keys = {bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5))): i for i in range(700) for _ in [0]}
+    trie = C.DoubleArray(keys)
+
+    def find(key):
+        node = 0
+        for b in key:
+            t = trie.base[node] + b + 1
+            if t >= len(trie.check) or trie.check[t] != node:
+                return None
+            node = t
+        end = trie.base[node]
+        return -trie.base[end] - 1 if end < len(trie.check) and trie.check[end] == node and trie.base[end] < 0 else None
+
+    assert all(find(k) == v for k, v in keys.items())
+    for _ in range(5000):
+        k = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5)))
+        assert find(k) == keys.get(k)
+
+
+def test_a_mark_inside_a_piece_is_refused():
+    with pytest.raises(ValueError):
+        V.vocabulary(["a▁b"], [-1.0], [True], None, 0)
+
+
+def test_queries_on_odd_and_whole_tables(spark, tmp_path, codec):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "a b", 2), (3, ODD[4], 3)], "doc_id long, text string, n_ids int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = C.op8_sentencepiece(spark, str(tmp_path)).collect()
+    counts = N.op4_token_counts(spark, str(tmp_path)).collect()
+    assert len(rows) == len(counts) == len(ODD) + 2
+    by, n = {r.doc_id: r for r in rows}, {r.doc_id: r.n_tokens for r in counts}
+    for i, t in enumerate(ODD):
+        if i != 3:
+            assert (by[i].n_ids, by[i].ids_crc32) == (len(ids_of(codec, t)), zlib.crc32(codec.encode(t)))
+            assert by[i].round_trip == ("▁" not in (t or "")) and n[i] == by[i].n_ids
+    assert C.op8_sentencepiece(spark, SF).where("not round_trip").count() == 0
+    both = C.op8_sentencepiece(spark, SF).join(N.op4_token_counts(spark, SF), "doc_id")
+    assert both.count() == both.where("n_ids = n_tokens").count() == table(spark, SF, "documents").count()
+    back = C.decode(C.encode(docs.drop("n_ids"), V.piece_model()), V.piece_model())
+    assert all(r.decoded == (r.text or "") for r in back.collect() if "▁" not in (r.text or ""))
+    docs.limit(0).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert C.op8_sentencepiece(spark, str(tmp_path / "e")).count() == N.op4_token_counts(spark, str(tmp_path / "e")).count() == 0
