@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import embed_dedup, fingerprints, packing, passages, quality, secrets, sentencepiece_codec, simhash, token_counts
+from lodging.llm import embed_dedup, fingerprints, language, packing, passages, quality, secrets, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_passages": passages.op5_passages,
         "op6_packing": packing.op6_packing,
+        "op7_language": language.op7_language,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_simhash": simhash.op9_simhash,
         "op10_embeddings": embed_dedup.op10_embeddings,
