@@ -20,7 +20,7 @@ one row of ``samples`` numbers.
 
 Defined cases: a NULL text is an empty one; an empty text's fingerprint is
 ``-`` all over and likens to another empty text alone; a NULL id counts as the
-smallest id; of rows that share an id, the one with the smallest text hash
+smallest BIGINT (which itself is taken for a NULL id); of rows that share an id, the one with the smallest text hash
 stands for it as a next document; repeated rows give repeated rows; other
 columns are ignored.
 """
@@ -105,6 +105,17 @@ def next_lower(ids: DataFrame, levels: tuple[int, ...] = _LEVELS) -> DataFrame:
     return inside.unionByName(ends)
 
 
+def _join_texts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Join on key and hash of two frames that are partitioned by key.
+
+    The hashes are compared by a condition that isn't a join key, or the
+    planner would shuffle both sides again by key and hash.
+    """
+    b = b.withColumnsRenamed({"key": "key_", "hash": "hash_"})
+    same = (a["key"] == b["key_"]) & (a["hash"].bitwiseXOR(b["hash_"]) == 0)
+    return a.join(b, same).drop("key_", "hash_")
+
+
 def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
@@ -116,29 +127,27 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.coalesce(F.col(id).cast("long"), F.lit(_NO_ID)).alias("key"),
-        F.col(id).alias("id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.col(id).cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    sizes, _ = stage(hashed.select("key", "hash", F.char_length("text").cast("long").alias("n_chars")).distinct(), "sizes")
+    counted = hashed.groupBy("key", "hash", F.char_length("text").cast("long").alias("n_chars"))
+    sizes, _ = stage(counted.agg(F.count(F.lit(1)).alias("copies")), "sizes")
     keys = sizes.select(F.col("key").alias("id")).distinct()
     largest = keys.agg(F.max("id").alias("largest"))
     chain = next_lower(keys).join(F.broadcast(largest))  # one row
     following, _ = stage(chain.select(F.col("id").alias("key"), F.coalesce("lower", "largest").alias("next")), "next")
 
-    # The texts once by document; both what is edited and what replaces it read that shuffle.
+    # The texts once by document: what is edited and what replaces it read the same shuffle.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = hashed.repartition(parts, "key")
-    own = dealt.groupBy("key", "hash").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    own = dealt.groupBy("key", "hash").agg(F.min("text").alias("text"))
     first = dealt.groupBy("key").agg(F.min(F.struct("hash", "text")).alias("first")).select(F.col("key").alias("next"), "first.text")
     wanted = sizes.join(following, "key").select("key", "hash", "next", F.expr("n_chars div 2").cast("int").alias("half"))
     tails = wanted.join(first, "next").select("key", "hash", F.expr("left(text, half)").alias("tail"))
-    both = own.join(tails.repartition(parts, "key"), ["key", "hash"])
-    size = F.char_length("text")
+    both = _join_texts(own, tails.repartition(parts, "key"))
     both = both.withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), "tail"))
 
-    told = both.select("key", "hash", "id", "copies", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    told = both.select("key", "hash", F.sha2("edited", 256).alias("edited_sha256"))
     forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text"))))
     texts = both.select("key", "hash", forms.alias("x")).select("key", "hash", "x.form", "x.text")
     signed = signatures(texts, ["key", "hash", "form"], samples=samples)
@@ -146,12 +155,13 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
         F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
-    made, _ = stage(told.join(wide, ["key", "hash"]), "fingerprints")
+    made, _ = stage(_join_texts(told, wide), "fingerprints")
 
     of_next = made.groupBy(F.col("key").alias("next")).agg(F.min_by("fingerprint", "hash").alias("next_fingerprint"))
-    near = made.join(following, "key").join(of_next, "next")
-    out = near.select(
-        F.col("id").alias(id),
+    near = following.join(of_next, "next").select("key", "next_fingerprint")
+    out = made.join(near, "key").join(sizes, ["key", "hash"])
+    out = out.select(
+        F.when(F.col("key") != _NO_ID, F.col("key")).alias(id),
         "n_chars",
         "edited_sha256",
         "fingerprint",
