@@ -1,22 +1,25 @@
-"""Command-line job: ingest booking sheets, then write the export and every report.
+"""Command-line job: ingest booking sheets, then write the export and the reports.
 
     python -m lodging ingest --sheet 2018=/data/2018.csv --sheet 2019=... --table /warehouse/bookings
     python -m lodging report --table /warehouse/bookings \\
         --segments /data/market_segment.csv --meals /data/meal_cost.csv --out /warehouse/reports
 
-``ingest`` reads each yearly CSV sheet with the booking schema, unions them by
-column name and writes the year-partitioned Parquet table.  ``report`` reads
-that table and the two lookup CSVs (size- and uniqueness-checked before they
-are broadcast), writes the enriched export partitioned by year and every
-analysis as its own folder under ``--out`` (Parquet, or header CSV with
-``--format csv`` for BI tools).  Run it with
-``spark-submit`` on a cluster; the session's own settings are kept.
+``ingest`` reads each yearly CSV sheet with the booking schema (a year may
+have several), checks that every row is of its sheet's year, unions them by
+column name and replaces the partitions of those years in the Parquet table;
+other years stay unless ``--overwrite-table`` is given.  ``report`` reads that
+table and the two lookup CSVs (all keys checked), writes the enriched export
+partitioned by year and the count, the audits and the aggregates, each as its
+own folder under ``--out`` (Parquet, or header CSV with ``--format csv`` for
+BI tools).  Statements with a row per booking are written with ``--only``.
+Run it with ``spark-submit`` on a cluster; the session's own settings are kept.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
@@ -28,19 +31,24 @@ from lodging.session import configure
 from lodging.sources import files
 
 
-def _sheets(values: list[str]) -> dict[int, str]:
-    out: dict[int, str] = {}
+def _sheets(values: list[str]) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
     for item in values:
         year, _, path = item.partition("=")
         if not path:
             raise SystemExit(f"--sheet wants YEAR=PATH, got {item!r}")
-        out[int(year)] = path
+        out.setdefault(int(year), []).append(path)
     return out
 
 
-def ingest(spark: SparkSession, sheets: dict[int, str], table: str, replace_years_only: bool = False) -> None:
-    bookings = consolidate(files.read_yearly_csv(spark, sheets).values())
-    files.write_bookings(bookings, table, replace_years_only=replace_years_only)
+def ingest(
+    spark: SparkSession, sheets: Mapping[int, str | Sequence[str]], table: str, overwrite_table: bool = False
+) -> None:
+    """Write the sheets' bookings: their years are replaced, or with ``overwrite_table`` the whole table."""
+    tables = files.read_yearly_csv(spark, sheets)
+    files.check_years(tables)  # before anything is written
+    bookings = consolidate(tables.values())
+    files.write_bookings(bookings, table, rebalance=True, replace_years_only=not overwrite_table)
 
 
 def _write(df, path: str, fmt: str, partition_by: str | None = None) -> None:
@@ -68,11 +76,16 @@ def report(
         files.read_lookup_csv(spark, segments, MARKET_SEGMENT, "market_segment"),
         files.read_lookup_csv(spark, meals, MEAL_COST, "meal"),
     )
+    years = [y for y in inp.years if y is not None]
+    analyses = catalog.analyses(years)
+    scans = {f"scan_bookings_{y}" for y in years}
+    unknown = sorted(set(names or ()) - set(analyses))
+    if unknown:
+        raise ValueError(f"no such analysis: {', '.join(unknown)}")
+    wanted = names or [n for n in analyses if n not in catalog.ROW_LEVEL and n not in scans]
     _write(inp.enriched, f"{out}/bookings_enriched_export", fmt, files.PARTITION_COLUMN)
-    for name, analysis in catalog.analyses().items():
-        if names and name not in names:
-            continue
-        _write(analysis(inp), f"{out}/{name}", fmt)
+    for name in wanted:
+        _write(analyses[name](inp), f"{out}/{name}", fmt)
 
 
 def main(argv: list[str]) -> None:
@@ -82,7 +95,7 @@ def main(argv: list[str]) -> None:
     p_ingest.add_argument("--sheet", action="append", required=True, metavar="YEAR=PATH")
     p_ingest.add_argument("--table", required=True)
     p_ingest.add_argument(
-        "--replace-years-only", action="store_true", help="overwrite only the years of the given sheets"
+        "--overwrite-table", action="store_true", help="drop the table's other years (they stay without this flag)"
     )
     p_report = sub.add_parser("report", help="booking table + lookups -> export and reports")
     p_report.add_argument("--table", required=True)
@@ -97,7 +110,7 @@ def main(argv: list[str]) -> None:
 
     spark = configure(SparkSession.builder.appName(f"lodging-{args.command}").getOrCreate())
     if args.command == "ingest":
-        ingest(spark, _sheets(args.sheet), args.table, args.replace_years_only)
+        ingest(spark, _sheets(args.sheet), args.table, args.overwrite_table)
     else:
         report(spark, args.table, args.segments, args.meals, args.out, args.only, args.format)
 

@@ -17,7 +17,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodging.functions.regions import OTHER, region_table
+from lodging.functions.regions import OTHER, REGION_CODES
 
 ColumnLike = Column | str
 
@@ -135,11 +135,11 @@ def guest_type(
 
 @_reused
 def season(month: ColumnLike = "arrival_date_month") -> Column:
-    """Meteorological season of an English month name; NULL for anything else."""
-    month = _col(month)
+    """Meteorological season of an English month name in any case; NULL for anything else."""
+    month = F.lower(_col(month))
     expr = None
     for label, months in SEASON_MONTHS:
-        cond = month.isin(*months)
+        cond = month.isin(*[m.lower() for m in months])
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     return expr
 
@@ -153,7 +153,7 @@ def region(country: ColumnLike = "country") -> Column:
     """
     country = _col(country)
     expr = None
-    for label, codes in region_table():
+    for label, codes in REGION_CODES:
         cond = country.isin(*codes)
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     return expr.otherwise(OTHER)
@@ -168,16 +168,23 @@ def arrival_date(
     """The date of '<day> <Month> <year>', as the original's text conversion gives it.
 
     Built with ``make_date`` from the month's position in the calendar
-    (matched case-insensitively, like a month-name parse) instead of
+    (matched in any case, like a month-name parse) instead of
     formatting the parts as text and parsing them back, which costs about
     three times as much per row.  Same results: any NULL part gives NULL;
     an impossible date (31 February) or an unknown month name (position 0)
-    fails the query under ANSI mode, as the parse does.  Parts are cast to
+    fails the query, as the parse does; the check is part of the expression,
+    so it holds whatever ``spark.sql.ansi.enabled`` says.  Parts are cast to
     int first, so a fractional day can never slip through.
     """
     names = F.array(*[F.lit(m.lower()) for m in MONTH_NAMES])
     position = F.array_position(names, F.lower(_col(month))).cast("int")
-    return F.make_date(_col(year).cast("int"), position, _col(day).cast("int"))
+    day, year = _col(day).cast("int"), _col(year).cast("int")
+    first = F.make_date(year, F.greatest(position, F.lit(1)), F.lit(1))
+    known = day.isNotNull() & position.isNotNull() & year.isNotNull()
+    valid = (position >= 1) & (day >= 1) & (day <= F.dayofmonth(F.last_day(first)))
+    parts = F.concat_ws(" ", day.cast("string"), _col(month), year.cast("string"))
+    wrong = F.raise_error(F.concat(F.lit("no such date: "), parts)).cast("date")
+    return F.when(known & ~F.coalesce(valid, F.lit(False)), wrong).when(known, F.date_add(first, day - 1))
 
 
 @_reused

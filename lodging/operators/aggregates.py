@@ -3,50 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _null_safe_on(keys: Sequence[str], right_keys: Sequence[str]) -> Column:
-    pairs = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, right_keys)]
-    return reduce(lambda a, b: a & b, pairs)
-
-
-# The aggregate side of ``partition_total`` is broadcast when the caller proves
-# it has at most this many groups.
-MAX_BROADCAST_GROUPS = 100_000
-
-
-def partition_total(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str, max_groups: int | None = None
-) -> DataFrame:
-    """Attach ``SUM(value) OVER (PARTITION BY keys)`` to every row of ``df``.
+def sum_by(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
+    """GROUP BY keys, SUM(value): partial aggregate, one shuffle of partials."""
+    return df.groupBy(*keys).agg(F.sum(value).alias(alias))
 
-    A Spark Window partitioned by ``keys`` would send every row of a key to a
-    single task; with three arrival years that is a third of the table per
-    task.  An unordered whole-partition frame needs no row order, so the same
-    column is built as an aggregate joined back on the keys:
 
-    * the aggregate is partial per task (map-side combine), so its shuffle
-      carries one row per key per task;
-    * the aggregate side has one row per key.  When the caller knows a bound
-      on the number of keys (``max_groups``, e.g. the year partitions of the
-      table) it is broadcast and the rows are never shuffled.  Otherwise the
-      join is left to Catalyst and AQE, which broadcast it at runtime when it
-      is small and split skewed partitions of the row side when it is not.
+def window_total(df: DataFrame, keys: Sequence[str], detail: Sequence[str], value: str, alias: str) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY keys)`` on one row per (keys, detail).
 
-    NULL keys form their own partition, as in SQL, hence the null-safe join.
+    A window over the rows themselves would send every row of a key to one
+    task.  The whole-partition sum of sums is the same number, so rows are
+    first summed per (keys, detail), with map-side combine, and the window
+    runs over that small result.  NULL keys form their own partition.
     """
-    keys = list(keys)
-    right_keys = [f"__partition_key_{i}" for i in range(len(keys))]
-    totals = df.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, right_keys)]).agg(F.sum(value).alias(alias))
-    if max_groups is not None and max_groups <= MAX_BROADCAST_GROUPS:
-        totals = F.broadcast(totals)
-    return df.join(totals, _null_safe_on(keys, right_keys), "left").drop(*right_keys)
-
-
-def sum_by(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
-    """GROUP BY keys, SUM(value): partial aggregate, one shuffle of partials."""
-    return df.groupBy(*keys).agg(F.sum(value).alias(alias))
+    sums = sum_by(df, [*keys, *detail], value, "__sum")
+    return sums.withColumn(alias, F.sum("__sum").over(Window.partitionBy(*keys))).drop("__sum")

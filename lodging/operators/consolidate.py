@@ -31,9 +31,10 @@ def with_lookups(bookings: DataFrame, segments: DataFrame, meals: DataFrame) ->
     """LEFT JOIN bookings to the segment discount and meal cost lookups.
 
     Keeps every booking; an unmatched key leaves ``Discount`` / ``Cost``
-    NULL.  Both lookups arrive with a broadcast hint only when their size was
-    proven (``sources.files.checked_lookup`` / ``bounded_lookup``), so the
-    booking side is never shuffled: two BroadcastHashJoins in one stage.
+    NULL.  Lookup keys were checked to be unique
+    (``sources.files.checked_lookup`` / ``bounded_lookup``).  Spark broadcasts a
+    lookup that is below its threshold in bytes, so the booking side isn't
+    shuffled: two BroadcastHashJoins in one stage.
     """
     seg = segments.select(F.col("market_segment").alias(SEGMENT_KEY), "Discount")
     meal = meals.select(F.col("meal").alias(MEAL_KEY), "Cost")

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodging.plans import questions, statements
 from lodging.plans.inputs import Inputs, from_testdata
-from lodging.sources.testdata import YEARS
+
+# The original's yearly tables.
+YEARS = (2018, 2019, 2020)
+# One output row per booking: reports write these on request only.
+ROW_LEVEL = frozenset(
+    {
+        "union_bookings",
+        "baseline_join",
+        "revenue_inputs",
+        "revenue_inputs_as_written",
+        "booking_revenue",
+        "guest_type",
+        "region",
+        "season",
+        "arrival_day_of_week",
+        "revenue_columns",
+        "bookings_enriched",
+        "bookings_enriched_as_written",
+    }
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +42,10 @@ def _on_testdata(fn: Callable[[Inputs], DataFrame]) -> Query:
     return run
 
 
-def analyses() -> dict[str, Callable[[Inputs], DataFrame]]:
-    """Every analysis as a function of ``Inputs`` (any source)."""
+def analyses(years: Iterable[int] = YEARS) -> dict[str, Callable[[Inputs], DataFrame]]:
+    """Every analysis as a function of ``Inputs`` (any source), with a scan for each of ``years``."""
     out: dict[str, Callable[[Inputs], DataFrame]] = {}
-    for year in YEARS:
+    for year in years:
         out[f"scan_bookings_{year}"] = partial(statements.scan_bookings, year=year)
     out.update(
         {

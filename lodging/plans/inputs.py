@@ -5,16 +5,12 @@ same code runs on the derived test tables, on CSV sheets or on the
 partitioned Parquet table.
 
 ``Inputs`` also holds the shared intermediate frames (lookups joined,
-revenue, full enrichment).  DataFrames are immutable, lazy plans, so building
-each one once per session and reusing it for every query saves the
-driver-side plan construction without caching any data.
+revenue, full enrichment).  DataFrames are lazy plans: making them runs and
+caches nothing.
 """
 
 from __future__ import annotations
 
-import uuid
-import warnings
-import weakref
 from collections.abc import Callable
 from functools import cached_property
 
@@ -24,7 +20,6 @@ from pyspark.sql import functions as F
 from lodging.operators.consolidate import with_lookups
 from lodging.operators.enrich import enrich, with_revenue, with_rooms
 from lodging.schema import MARKET_SEGMENT, MEAL_COST
-from lodging.session import shared_dir
 from lodging.sources import files, testdata
 
 
@@ -34,20 +29,26 @@ class Inputs:
         bookings: DataFrame,
         segments: DataFrame,
         meals: DataFrame,
-        yearly: Callable[[], dict[int, DataFrame]],
+        years: Callable[[], list[int | None]],
+        year_table: Callable[[int | None], DataFrame],
+        without_segment: DataFrame | None = None,
     ) -> None:
         self.bookings = bookings  # consolidated: every year, 32 columns
         self.segments = segments  # market_segment, Discount
         self.meals = meals  # meal, Cost
-        self._yearly = yearly
-
-    def yearly(self) -> dict[int, DataFrame]:
-        """One table per arrival year."""
-        return self._yearly_tables
+        # For analyses that don't use the market segment: it may cost a join to get.
+        self.without_segment = bookings if without_segment is None else without_segment
+        self._years = years
+        self.year_table = year_table  # one yearly table
 
     @cached_property
-    def _yearly_tables(self) -> dict[int, DataFrame]:
-        return self._yearly()
+    def years(self) -> list[int | None]:
+        """Arrival years there are tables for; None stands for bookings without a year."""
+        return self._years()
+
+    def yearly(self) -> dict[int | None, DataFrame]:
+        """One table per arrival year."""
+        return {y: self.year_table(y) for y in self.years}
 
     @cached_property
     def joined(self) -> DataFrame:
@@ -70,16 +71,7 @@ class Inputs:
         return enrich(self.bookings, self.segments, self.meals, as_written=True)
 
 
-_STAGED: weakref.WeakKeyDictionary[SparkSession, dict[str, Inputs]] = weakref.WeakKeyDictionary()
-
-
-def from_table(
-    spark: SparkSession,
-    bookings_path: str,
-    segments: DataFrame,
-    meals: DataFrame,
-    years: tuple[int, ...] | None = None,
-) -> Inputs:
+def from_table(spark: SparkSession, bookings_path: str, segments: DataFrame, meals: DataFrame) -> Inputs:
     """Analyses over a booking table written by ``files.write_bookings``.
 
     A yearly table is the table filtered on its year: partition pruning
@@ -88,56 +80,24 @@ def from_table(
     """
     bookings = files.read_bookings(spark, bookings_path)
     year = F.col(files.PARTITION_COLUMN)
-
-    def yearly() -> dict[int, DataFrame]:
-        known = years
-        if known is None:
-            # One row per partition folder: bounded by the number of years.
-            found = [r[0] for r in bookings.select(year).distinct().collect()]
-            known = tuple(sorted(found, key=lambda y: (y is not None, y or 0)))
-        # A NULL year is a partition of its own (Spark's default partition folder).
-        return {y: bookings.where(year.isNull() if y is None else year == y) for y in known}
-
-    return Inputs(bookings=bookings, segments=segments, meals=meals, yearly=yearly)
-
-
-def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Bookings derived from ``orders``/``customer`` under ``sf_dir``.
-
-    The derivation (a join of ``orders`` with ``customer`` and 32 computed
-    columns) is the ingest step: it runs once per session and directory and
-    is written as the year-partitioned booking table in a fresh folder under
-    ``spark.checkpoint.dir``, the way the original imports its sheets once and
-    then queries the tables.  Every query then scans only the booking columns
-    it needs, with year pruning and filters pushed into the Parquet reader,
-    and its lineage starts at that table, so a lost executor costs a re-read
-    of the table rather than a re-run of the join.
-    """
-    per_session = _STAGED.setdefault(spark, {})
-    if sf_dir not in per_session:
-        segments, meals = testdata.market_segments(spark), testdata.meal_costs(spark)
-        path = shared_dir(spark, f"lodging-bookings-{uuid.uuid4().hex[:12]}")
-        try:
-            files.write_bookings(testdata.bookings(spark, sf_dir), path)
-        except Exception as exc:  # e.g. the checkpoint folder is not writable from here
-            warnings.warn(
-                f"could not stage bookings under {path} ({type(exc).__name__}); querying the derivation directly"
-            )
-            per_session[sf_dir] = _unstaged(spark, sf_dir, segments, meals)
-        else:
-            per_session[sf_dir] = from_table(spark, path, segments, meals, testdata.YEARS)
-    return per_session[sf_dir]
-
-
-def _unstaged(spark: SparkSession, sf_dir: str, segments: DataFrame, meals: DataFrame) -> Inputs:
-    """The same inputs without the staged table: every query re-plans the derivation."""
-    bookings = testdata.bookings(spark, sf_dir)
-    year = F.col(files.PARTITION_COLUMN)
     return Inputs(
         bookings=bookings,
         segments=segments,
         meals=meals,
-        yearly=lambda: {y: bookings.where(year == y) for y in testdata.YEARS},
+        years=lambda: files.table_years(spark, bookings_path),
+        year_table=lambda y: bookings.where(year.isNull() if y is None else year == y),
+    )
+
+
+def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Bookings derived from ``orders``/``customer`` under ``sf_dir``, lazily: no job, no write."""
+    return Inputs(
+        bookings=testdata.bookings(spark, sf_dir),
+        segments=testdata.market_segments(spark),
+        meals=testdata.meal_costs(spark),
+        years=lambda: testdata.years(spark, sf_dir),
+        year_table=lambda y: testdata.bookings_of(spark, sf_dir, y),
+        without_segment=testdata.bookings_without_segment(spark, sf_dir),
     )
 
 

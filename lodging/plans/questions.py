@@ -2,7 +2,8 @@
 
 The original answered these in dashboard visuals that are not published, so
 the exact definitions are ours; each docstring states it.  Every answer is a
-grouped aggregate over the enriched bookings: partial aggregation per task,
+grouped aggregate over the enriched bookings, or over plain bookings where no
+lookup column is used: partial aggregation per task,
 then one shuffle of partial rows whose count is bounded by the number of
 groups, never by the number of bookings.  Windows and limits run only on
 those small aggregated results.
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodging.operators.aggregates import sum_by
 from lodging.plans.inputs import Inputs
+from lodging.functions import rules
 from lodging.functions.rules import CHECK_OUT, MONTH_NAMES
 
 YEAR = "arrival_date_year"
@@ -29,8 +31,7 @@ def _revenue_by(inp: Inputs, *keys: str) -> DataFrame:
 def busiest_months(inp: Inputs) -> DataFrame:
     """Checked-out bookings per arrival month, busiest first."""
     return (
-        inp.enriched
-        .where(F.col("reservation_status") == CHECK_OUT)
+        inp.without_segment.where(F.col("reservation_status") == CHECK_OUT)
         .groupBy(MONTH)
         .agg(F.count(F.lit(1)).alias("check_outs"))
         .orderBy(F.desc("check_outs"), MONTH)
@@ -40,10 +41,9 @@ def busiest_months(inp: Inputs) -> DataFrame:
 def average_stay(inp: Inputs) -> DataFrame:
     """Average nights of checked-out bookings, per hotel."""
     return (
-        inp.enriched
-        .where(F.col("reservation_status") == CHECK_OUT)
+        inp.without_segment.where(F.col("reservation_status") == CHECK_OUT)
         .groupBy("hotel")
-        .agg(F.avg("Number_of_Rooms_Sold").alias("average_nights"))
+        .agg(F.avg(rules.rooms_sold()).alias("average_nights"))
         .orderBy("hotel")
     )
 
@@ -53,7 +53,9 @@ def weekday_by_guest_type(inp: Inputs) -> DataFrame:
 
     The window runs on the aggregate (at most 4 x 8 rows), not on bookings.
     """
-    counts = inp.enriched.groupBy("guest_type", "day_of_week").agg(F.count(F.lit(1)).alias("bookings"))
+    dated = inp.without_segment.select(rules.guest_type().alias("guest_type"), rules.arrival_date().alias("arrival_date"))
+    grouped = dated.groupBy("guest_type", rules.day_of_week().alias("day_of_week"))
+    counts = grouped.agg(F.count(F.lit(1)).alias("bookings"))
     rank = Window.partitionBy("guest_type").orderBy(F.desc("bookings"), F.asc("day_of_week"))
     ranked = counts.withColumn("weekday_rank", F.row_number().over(rank).cast("bigint"))
     return ranked.orderBy("guest_type", "weekday_rank")
@@ -122,7 +124,7 @@ def revenue_by_month(inp: Inputs) -> DataFrame:
 
 def parking_percentage(inp: Inputs) -> DataFrame:
     """Share of bookings that asked for at least one parking space, in percent."""
-    counts = inp.bookings.agg(
+    counts = inp.without_segment.agg(
         F.count(F.when(F.col("required_car_parking_spaces") > 0, F.lit(1))).alias("bookings_with_parking"),
         F.count(F.lit(1)).alias("count_of_reservations_made"),
     )

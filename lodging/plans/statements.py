@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodging.functions import rules
-from lodging.operators.aggregates import partition_total, sum_by
+from lodging.operators.aggregates import sum_by, window_total
 from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY, consolidate
 from lodging.operators.enrich import money_as_double, with_rooms
 from lodging.plans.inputs import Inputs
@@ -25,6 +25,8 @@ from lodging.schema import BOOKING_COLUMNS
 
 YEAR = "arrival_date_year"
 ROOMS = "Number_of_Rooms_Sold"
+# Booking columns that together differ between most bookings.
+VARYING = ("lead_time", YEAR, "arrival_date_week_number", "arrival_date_day_of_month", "country", "agent", "company")
 
 
 def _lookup_side() -> list[Column]:
@@ -56,7 +58,7 @@ def _millions(total: DataFrame, total_col: str, value_name: str, text_name: str,
 
 def scan_bookings(inp: Inputs, year: int) -> DataFrame:
     """SELECT * from one yearly table."""
-    return money_as_double(inp.yearly()[year])
+    return money_as_double(inp.year_table(year))
 
 
 def union_bookings(inp: Inputs) -> DataFrame:
@@ -88,18 +90,20 @@ def adr_anomalies(inp: Inputs, as_written: bool = False) -> DataFrame:
     ``NOT IN`` is on the lookup side, so a booking whose segment misses the
     lookup (NULL) is dropped too: Catalyst turns the segment LEFT JOIN into
     an inner join and pushes ``adr <= 0`` into every Parquet scan.
-    The trailing sort keys only refine ties of (adr, rooms); they give the
-    range partitioner of the global sort more distinct keys to split on when
-    one rate value dominates.
+    The trailing sort keys only refine ties of (adr, rooms).  The last one is
+    a hash of columns that vary from booking to booking and is dropped after
+    the sort: however many bookings share one rate, status, segment and meal,
+    the range partitioner can split them.
     """
     joined = _with_rooms(inp, as_written)
     adr = F.col("adr")
     anomalies = joined.where(
         ((adr == 0) | (adr < 0)) & ~F.col(SEGMENT_KEY).isin("Complementary") & (F.col(ROOMS) > 0)
-    ).select("reservation_status", ROOMS, "adr", *_lookup_side())
-    return money_as_double(anomalies).orderBy(
-        F.asc("adr"), F.desc(ROOMS), "reservation_status", "market_segment", "meal"
+    ).select("reservation_status", ROOMS, "adr", *_lookup_side(), F.xxhash64(*VARYING).alias("__tie"))
+    ordered = money_as_double(anomalies).orderBy(
+        F.asc("adr"), F.desc(ROOMS), "reservation_status", "market_segment", "meal", "__tie"
     )
+    return ordered.drop("__tie")
 
 
 # --- revenue ----------------------------------------------------------------------
@@ -131,13 +135,10 @@ def revenue_by_year(inp: Inputs) -> DataFrame:
 
 
 def revenue_by_year_window(inp: Inputs) -> DataFrame:
-    """The same answer in the original's shape: a per-year window sum on every
-    booking, then DISTINCT.  See ``partition_total`` for why the window is an
-    aggregate joined back rather than a Window partitioned by year."""
-    rows = inp.revenue_rows.select(YEAR, "revenue")
-    # Every booking's year is one of the table's year partitions: that bounds the groups.
-    years = len(inp.yearly())
-    totals = partition_total(rows, [YEAR], "revenue", "total", max_groups=years).select(YEAR, "total").distinct()
+    """The same answer in the original's shape: a per-year window sum, then
+    DISTINCT.  The window runs on monthly sums, see ``window_total``."""
+    totals = window_total(inp.revenue_rows, [YEAR], ["arrival_date_month"], "revenue", "total")
+    totals = totals.select(YEAR, "total").distinct()
     return _millions(totals, "total", "Revenue_by_Year", "Revenue_by_Year_FormattedInMillions", YEAR).orderBy(YEAR)
 
 
@@ -157,19 +158,19 @@ def revenue_columns(inp: Inputs) -> DataFrame:
 
 
 def guest_type(inp: Inputs) -> DataFrame:
-    return inp.bookings.select("adults", "children", "babies", rules.guest_type().alias("guest_type"))
+    return inp.without_segment.select("adults", "children", "babies", rules.guest_type().alias("guest_type"))
 
 
 def region(inp: Inputs) -> DataFrame:
-    return inp.bookings.select("country", rules.region().alias("region"))
+    return inp.without_segment.select("country", rules.region().alias("region"))
 
 
 def season(inp: Inputs) -> DataFrame:
-    return inp.bookings.select("arrival_date_month", rules.season().alias("seasons"))
+    return inp.without_segment.select("arrival_date_month", rules.season().alias("seasons"))
 
 
 def arrival_day_of_week(inp: Inputs) -> DataFrame:
-    dated = inp.bookings.select(
+    dated = inp.without_segment.select(
         "arrival_date_day_of_month", "arrival_date_month", YEAR, rules.arrival_date().alias("arrival_date")
     )
     return dated.withColumn("day_of_week", rules.day_of_week())
@@ -191,4 +192,4 @@ def bookings_enriched_as_written(inp: Inputs) -> DataFrame:
 
 def reservation_count(inp: Inputs) -> DataFrame:
     """Final export #2: number of bookings (the parking percentage denominator)."""
-    return inp.bookings.agg(F.count(F.lit(1)).alias("count_of_reservations_made"))
+    return inp.without_segment.agg(F.count(F.lit(1)).alias("count_of_reservations_made"))

@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from lodging.schema import BOOKING_COLUMNS, BOOKINGS
 
 PARTITION_COLUMN = "arrival_date_year"
-# A lookup is broadcast to every task only when it is proven this small.
-MAX_LOOKUP_ROWS = 100_000
 # Text markers that mean "no value" in numeric CSV columns.  Text columns keep
 # them: the country code 'NULL' is a real category in the data.
 NUMERIC_NULL_MARKERS = ("NULL", "NA", "")
@@ -30,6 +28,14 @@ class DuplicateLookupKey(ValueError):
     """A lookup key occurs twice; a left join would multiply bookings."""
 
 
+class WrongYear(ValueError):
+    """A sheet holds a booking of another year than its label says."""
+
+
+class WrongSchema(ValueError):
+    """A booking table lacks a column or has it in another type."""
+
+
 def text_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
@@ -37,36 +43,88 @@ def text_schema(schema: T.StructType) -> T.StructType:
 def typed_from_text(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast text columns to ``schema``; numeric NULL markers become NULL.
 
-    Casts run in ANSI mode, so a malformed number fails the job instead of
-    turning into a silent NULL.
+    A malformed value fails the job instead of turning into a silent NULL;
+    the check is part of the expression, so it holds whatever
+    ``spark.sql.ansi.enabled`` says.
     """
     cols = []
     for f in schema.fields:
         c = F.col(f.name)
         if not isinstance(f.dataType, T.StringType):
-            c = F.when(F.trim(c).isin(*NUMERIC_NULL_MARKERS), F.lit(None)).otherwise(F.trim(c))
-        cols.append(c.cast(f.dataType).alias(f.name))
+            text = F.when(F.trim(c).isin(*NUMERIC_NULL_MARKERS), F.lit(None)).otherwise(F.trim(c))
+            typed = text.try_cast(f.dataType)
+            wrong = F.raise_error(F.concat(F.lit(f"column {f.name} is no {f.dataType.simpleString()}: "), text))
+            c = F.when(text.isNotNull() & typed.isNull(), wrong.cast(f.dataType)).otherwise(typed)
+        cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Header CSV, columns matched by header name, every value read as text and
-    then typed by ``schema``.  Column order in the file does not matter, extra
-    columns are ignored, and a missing column fails the read."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return typed_from_text(raw, schema)
+    """Header CSV, columns matched by each file's own header, every value read as
+    text and then typed by ``schema``.  Column order may differ from file to
+    file, extra columns are ignored, and a missing column fails the read.
+
+    Spark reads a list or folder of CSV files by the first file's header, so
+    files are read in groups of equal headers (one look at each file's first
+    line: sheets are few) and the groups are united by name.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(f for p in paths for f in spark.read.text(p).inputFiles()):
+        header = spark.read.option("header", True).option("inferSchema", False).csv(file).columns
+        groups.setdefault(tuple(header), []).append(file)
+    parts = [
+        typed_from_text(spark.read.schema(text_schema(_named(header))).option("header", True).csv(files), schema)
+        for header, files in groups.items()
+    ]
+    if not parts:
+        raise FileNotFoundError(f"no CSV file in {paths}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _named(columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
 def read_yearly_csv(spark: SparkSession, paths: Mapping[int, str | Sequence[str]]) -> dict[int, DataFrame]:
-    """One booking table per year, e.g. ``{2018: '.../2018.csv', ...}``."""
+    """One booking table per year, e.g. ``{2018: '.../2018.csv', 2019: ['a.csv', 'b.csv']}``."""
     return {year: read_csv(spark, path, BOOKINGS) for year, path in paths.items()}
 
 
+def check_years(tables: Mapping[int, DataFrame]) -> None:
+    """Fail if a yearly table holds a row of another year than its label (or of none)."""
+    for year, df in tables.items():
+        other = df.where(~F.col(PARTITION_COLUMN).eqNullSafe(F.lit(year))).select(PARTITION_COLUMN).limit(1).collect()
+        if other:
+            raise WrongYear(f"the sheet of {year} holds a booking of {other[0][0]}")
+
+
 def read_bookings(spark: SparkSession, path: str) -> DataFrame:
-    """The consolidated booking table written by ``write_bookings``."""
+    """The consolidated booking table written by ``write_bookings``.
+
+    A column that the table lacks, or holds in another type, fails here: read
+    with a given schema alone it would come back as NULLs.
+    """
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    wrong = [f"{f.name} {f.dataType.simpleString()}" for f in BOOKINGS.fields if found.get(f.name) != f.dataType]
+    if wrong:
+        raise WrongSchema(f"{path} has no column {', '.join(wrong)}")
     return spark.read.schema(BOOKINGS).parquet(path).select(*BOOKING_COLUMNS)
 
 
+def table_years(spark: SparkSession, path: str) -> list[int | None]:
+    """The years of a booking table, from its partition folders; None for bookings without a year."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [status.getPath().getName() for status in listed if status.isDirectory()]
+    values = [n.removeprefix(f"{PARTITION_COLUMN}=") for n in names if n.startswith(f"{PARTITION_COLUMN}=")]
+    years = sorted(int(v) for v in values if v != "__HIVE_DEFAULT_PARTITION__")
+    return years + ([None] if len(years) < len(values) else [])
+
+
 def write_bookings(
     df: DataFrame,
     path: str,
@@ -112,61 +170,30 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTy
     return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
 
 
-# A scan is "thin" when it has at most this many splits (each at most one
-# Parquet row group): spreading it costs a shuffle of a few row groups only.
-THIN_SCAN_SPLITS = 3
-
-
-def spread_thin_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan of at most ``THIN_SCAN_SPLITS`` splits over the cores.
-
-    A Parquet row group is the smallest unit a task can read, so a file with
-    one row group is scanned by one task however many cores wait.  Such a
-    scan is spread by hash of ``key`` (deterministic, so a retried task
-    rebuilds exactly the same partition).  The bound keeps the extra shuffle
-    to a few row groups: a scan with more splits is returned as it is, even
-    when the cluster has more cores than splits, because shuffling a large
-    input to use more cores costs more than it saves.  ``df`` is a scan with
-    filters and projections only, so counting its splits runs no job.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext on this client (e.g. Spark Connect): keep the scan as it is
-        return df
-    if splits > THIN_SCAN_SPLITS or splits >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def bounded_lookup(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
-    """A lookup whose rows are held on the driver, broadcast when small.
+    """A lookup whose rows are held on the driver.
 
-    Its size is known without a Spark job (``len(rows)``); the key (first
-    column) must be unique or a left join would multiply bookings.
+    The key (first column) must be unique or a left join would multiply
+    bookings.  Catalyst knows the table's size in bytes and broadcasts it by
+    ``spark.sql.autoBroadcastJoinThreshold``.
     """
     key = schema.fields[0].name
     keys = [r[0] for r in rows if r[0] is not None]
     if len(keys) != len(set(keys)):
         raise DuplicateLookupKey(f"duplicate {key} in lookup rows")
-    df = literal_table(spark, rows, schema)
-    return df if len(rows) > MAX_LOOKUP_ROWS else F.broadcast(df)
+    return literal_table(spark, rows, schema)
 
 
-def checked_lookup(df: DataFrame, key: str, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Validate a lookup read from files and broadcast it if it is small.
+def checked_lookup(df: DataFrame, key: str) -> DataFrame:
+    """Check that no ``key`` occurs twice in the whole lookup (a NULL key matches nothing).
 
-    One small job reads at most ``max_rows + 1`` rows: it proves the size
-    bound and that ``key`` is unique.  A lookup over the bound is returned
-    without a hint, so Catalyst/AQE choose a shuffle join for it.
+    One distributed count per key.  No broadcast hint: Spark decides by the
+    lookup's size in bytes, at planning and again at runtime (AQE).
     """
-    head = df.limit(max_rows + 1)
-    stats = head.agg(F.count("*").alias("n"), F.count(key).alias("k"), F.count_distinct(key).alias("d")).first()
-    if stats["k"] != stats["d"]:
-        raise DuplicateLookupKey(f"duplicate {key} in lookup")
-    if stats["n"] > max_rows:
-        return df
-    return F.broadcast(df)
+    twice = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > 1).limit(1).collect()
+    if twice:
+        raise DuplicateLookupKey(f"duplicate {key} in lookup: {twice[0][0]}")
+    return df
 
 
 def read_lookup_csv(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:

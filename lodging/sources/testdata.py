@@ -1,16 +1,14 @@
 """Booking-shaped input derived from the provided TPC-H-style tables.
 
-The original analysis ships no data, so the three yearly booking tables are
-derived, deterministically, from ``orders`` LEFT JOIN ``customer``: orders of
-1998-2000 become bookings arriving in 2018-2020 (FIXTURES.md section 3 gives
-the mapping).  This module is the ingest step of the test world; everything
-downstream sees only the 32-column booking schema.  ``plans.inputs`` runs it
-once per session and writes the result as the year-partitioned booking table
-that every query then reads (see ``from_testdata``).
-
-Plan shape at scale: one scan of ``orders`` with the year range pushed into
-the Parquet reader, one equi-join with ``customer`` on the customer key
-(Catalyst broadcasts ``customer`` when its estimated size is under
+The original analysis ships no data, so bookings are derived,
+deterministically, from ``orders`` LEFT JOIN ``customer``: every order becomes
+a booking that arrives 20 years after its order date (FIXTURES.md section 3
+gives the mapping).  The derivation is lazy: a query reads the columns of
+``orders`` that it needs, and ``customer`` only if it uses the market segment.
+
+Plan shape at scale: one scan of ``orders`` (a yearly table pushes its date
+range into the Parquet reader), one equi-join with ``customer`` on the customer
+key (Catalyst broadcasts ``customer`` when its estimated size is under
 ``spark.sql.autoBroadcastJoinThreshold``; above it the join shuffles both
 sides and AQE may still switch strategy or split skewed keys at runtime),
 then a single narrow projection.
@@ -39,10 +37,9 @@ from lodging.sources.fixture_values import (
     UNLISTED_SEGMENT,
 )
 from lodging.schema import BOOKING_COLUMNS, BOOKINGS, MARKET_SEGMENT, MEAL_COST
-from lodging.sources.files import bounded_lookup, spread_thin_scan
+from lodging.sources.files import bounded_lookup
 
-YEARS = (2018, 2019, 2020)
-YEAR_SHIFT = 20  # 1998-2000 in orders -> 2018-2020 as arrival years
+YEAR_SHIFT = 20  # an order of 1998 is a booking that arrives in 2018
 
 
 def _pick(index: Column, values) -> Column:
@@ -77,14 +74,25 @@ CUSTOMER = T.StructType(
 )
 
 
-def _orders(spark: SparkSession, sf_dir: str, years: tuple[int, ...]) -> DataFrame:
-    first = dt.date(min(years) - YEAR_SHIFT, 1, 1)
-    stop = dt.date(max(years) - YEAR_SHIFT + 1, 1, 1)
-    return (
-        spark.read.schema(ORDERS)
-        .parquet(f"{sf_dir}/orders.parquet")
-        .where((F.col("o_orderdate") >= F.lit(first)) & (F.col("o_orderdate") < F.lit(stop)))
-    )
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+
+
+def of_year(orders: DataFrame, year: int | None) -> DataFrame:
+    """The orders that arrive in ``year`` (None: without a date), as a range the reader prunes by."""
+    date = F.col("o_orderdate")
+    if year is None:
+        return orders.where(date.isNull())
+    first, stop = (dt.date(y - YEAR_SHIFT, 1, 1) for y in (year, year + 1))
+    return orders.where((date >= F.lit(first)) & (date < F.lit(stop)))
+
+
+def years(spark: SparkSession, sf_dir: str) -> list[int | None]:
+    """Arrival years from the first order's to the last one's, and None for orders without a date."""
+    date = F.col("o_orderdate")
+    row = _orders(spark, sf_dir).agg(F.year(F.min(date)), F.year(F.max(date)), F.count(F.when(date.isNull(), 1))).first()
+    found = [] if row[0] is None else list(range(row[0] + YEAR_SHIFT, row[1] + YEAR_SHIFT + 1))
+    return found + ([None] if row[2] else [])
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +153,19 @@ def bookings_from(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return _as_bookings(joined).select(*BOOKING_COLUMNS)
 
 
-def bookings(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -> DataFrame:
-    """All bookings of ``years`` in one pass: the consolidated booking table."""
-    orders = spread_thin_scan(_orders(spark, sf_dir, years), "o_orderkey")
-    return bookings_from(orders, _customers(spark, sf_dir))
+def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bookings: the consolidated booking table."""
+    return bookings_from(_orders(spark, sf_dir), _customers(spark, sf_dir))
+
+
+def bookings_of(spark: SparkSession, sf_dir: str, year: int | None) -> DataFrame:
+    """One yearly booking table."""
+    return bookings_from(of_year(_orders(spark, sf_dir), year), _customers(spark, sf_dir))
+
+
+def bookings_without_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bookings without their market segment: no join with ``customer`` (whose key is unique)."""
+    return _as_bookings(_orders(spark, sf_dir).withColumn("c_mktsegment", F.lit(None).cast("string"))).drop("market_segment")
 
 
 def market_segments(spark: SparkSession) -> DataFrame:

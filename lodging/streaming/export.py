@@ -26,12 +26,15 @@ def booking_stream(
 
     ``fmt='csv'`` reads header CSV sheets as text and types them like the batch
     reader (numeric 'NULL' markers become NULL, the country text 'NULL' stays).
+    Every sheet's header must list the booking columns in schema order; one
+    that doesn't fails the query.
     """
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = reader.schema(text_schema(BOOKINGS)).option("header", True).csv(path)
+        # enforceSchema=false: a file whose header differs fails instead of being read by position.
+        raw = reader.schema(text_schema(BOOKINGS)).option("header", True).option("enforceSchema", False).csv(path)
         return typed_from_text(raw, BOOKINGS)
     return reader.schema(BOOKINGS).format(fmt).load(path)
 

@@ -40,13 +40,13 @@ def ingested(spark, tmp_path_factory) -> tuple[Inputs, Inputs]:
 def test_csv_round_trip_keeps_every_booking(ingested):
     expected, table = ingested
     assert sorted_rows(table.bookings.collect()) == sorted_rows(expected.bookings.collect())
-    assert sorted(table.yearly()) == [2018, 2019, 2020]
+    assert sorted(table.yearly()) == list(range(2015, 2022))
 
 
 def test_file_lookups_are_checked_and_broadcast(ingested):
     _, table = ingested
-    plan = table.joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan.lower()
+    plan = table.joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2  # by their size in bytes; no hint
 
 
 @pytest.mark.parametrize("name", sorted(catalog.analyses()))
@@ -129,8 +129,51 @@ def test_reimport_one_year_replaces_only_that_year(spark, tmp_path):
     # a corrected 2020 sheet: only its first 10 bookings, every rate raised by 1
     fixed = expected.yearly()[2020].limit(10).withColumn("adr", F.col("adr") + 1)
     fixed.write.option("header", True).csv(f"{base}/2020_fixed")
-    ingest(spark, {2020: f"{base}/2020_fixed"}, f"{base}/table", replace_years_only=True)
+    ingest(spark, {2020: f"{base}/2020_fixed"}, f"{base}/table")
 
     after = {y: n for y, n in spark.read.parquet(f"{base}/table").groupBy("arrival_date_year").count().collect()}
-    assert after[2018] == before[2018] and after[2019] == before[2019]
-    assert after[2020] == 10
+    assert after == {**before, 2020: 10}
+    ingest(spark, {2020: f"{base}/2020_fixed"}, f"{base}/table", overwrite_table=True)
+    assert {r[0] for r in spark.read.parquet(f"{base}/table").select("arrival_date_year").distinct().collect()} == {2020}
+
+
+def test_all_sheets_of_a_year_are_kept(spark, tmp_path):
+    from lodging.__main__ import _sheets, ingest
+
+    base = str(tmp_path)
+    table = from_testdata(spark, SF_SMALL).year_table(2018)
+    table.where("lead_time % 2 = 0").write.option("header", True).csv(f"{base}/a")
+    table.where("lead_time % 2 = 1").write.option("header", True).csv(f"{base}/b")
+    sheets = _sheets([f"2018={base}/a", f"2018={base}/b"])
+    assert sheets == {2018: [f"{base}/a", f"{base}/b"]}
+    ingest(spark, sheets, f"{base}/table")
+    assert spark.read.parquet(f"{base}/table").count() == table.count()
+
+
+def test_a_stray_year_fails_before_anything_is_written(spark, tmp_path):
+    from lodging.__main__ import ingest
+
+    base = str(tmp_path)
+    expected = from_testdata(spark, SF_SMALL)
+    files.write_bookings(expected.bookings, f"{base}/table")
+    before = sorted_rows(spark.read.parquet(f"{base}/table").collect())
+    expected.year_table(2020).unionByName(expected.year_table(2019).limit(1)).write.option("header", True).csv(f"{base}/2020")
+    with pytest.raises(files.WrongYear, match="2020 holds a booking of 2019"):
+        ingest(spark, {2020: f"{base}/2020"}, f"{base}/table")
+    assert sorted_rows(spark.read.parquet(f"{base}/table").collect()) == before
+
+
+def test_report_on_other_years_writes_aggregates_only(spark, tmp_path):
+    from lodging.__main__ import report
+
+    base = str(tmp_path)
+    expected = from_testdata(spark, SF_SMALL)
+    files.write_bookings(expected.bookings.where("arrival_date_year IN (2019, 2020, 2021)"), f"{base}/table")
+    expected.segments.write.option("header", True).csv(f"{base}/seg")
+    expected.meals.write.option("header", True).csv(f"{base}/meal")
+    report(spark, f"{base}/table", f"{base}/seg", f"{base}/meal", f"{base}/out", None)
+    written = {p.name for p in tmp_path.joinpath("out").iterdir()}
+    assert {"bookings_enriched_export", "reservation_count", "adr_anomalies", "revenue_by_year"} <= written
+    assert not written & (catalog.ROW_LEVEL | {f"scan_bookings_{y}" for y in range(2015, 2022)})
+    report(spark, f"{base}/table", f"{base}/seg", f"{base}/meal", f"{base}/out2", ["scan_bookings_2021"])
+    assert spark.read.parquet(f"{base}/out2/scan_bookings_2021").count() == expected.year_table(2021).count()

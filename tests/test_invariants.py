@@ -9,7 +9,7 @@ from conftest import SF_CHECK
 from pyspark.sql import functions as F
 
 from lodging.functions import rules
-from lodging.operators.aggregates import partition_total
+from lodging.operators.aggregates import window_total
 from lodging.plans import catalog
 from lodging.plans.inputs import from_testdata
 
@@ -26,12 +26,12 @@ def _count(df):
 
 
 def test_booking_count(inp):
-    assert _count(inp.bookings) == 6892
+    assert _count(inp.bookings) == 15000
 
 
 def test_union_count_is_sum_of_years(spark, inp):
     yearly = inp.yearly()
-    assert sum(_count(df) for df in yearly.values()) == _count(Q["union_bookings"](spark, SF_CHECK)) == 6892
+    assert sum(_count(df) for df in yearly.values()) == _count(Q["union_bookings"](spark, SF_CHECK)) == 15000
 
 
 def test_left_joins_keep_every_booking(inp):
@@ -40,11 +40,11 @@ def test_left_joins_keep_every_booking(inp):
 
 def test_enriched_count_equals_reservation_count(spark):
     n = Q["reservation_count"](spark, SF_CHECK).first()[0]
-    assert _count(Q["bookings_enriched"](spark, SF_CHECK)) == n == 6892
+    assert _count(Q["bookings_enriched"](spark, SF_CHECK)) == n == 15000
 
 
 def test_revenue_arm_counts(inp):
-    """Canceled / adr<0 / non-positive check-out / formula: 2314 / 81 / 243 / 4254."""
+    """Canceled / adr<0 / non-positive check-out / formula: 4979 / 192 / 577 / 9252."""
     status, adr = F.col("reservation_status"), F.col("adr")
     arm = (
         F.when(status == "Canceled", 1)
@@ -53,14 +53,16 @@ def test_revenue_arm_counts(inp):
         .otherwise(4)
     )
     counts = {r[0]: r[1] for r in inp.revenue_rows.groupBy(arm).count().collect()}
-    assert counts == {1: 2314, 2: 81, 3: 243, 4: 4254}
+    assert counts == {1: 4979, 2: 192, 3: 577, 4: 9252}
     arm4 = inp.revenue_rows.where(arm == 4)
-    assert arm4.where(F.col("revenue").isNull()).count() == 1576
-    assert arm4.where(F.col("revenue") < 0).count() == 664
+    assert arm4.where(F.col("revenue").isNull()).count() == 3375
+    assert arm4.where(F.col("revenue") < 0).count() == 1361
 
 
 def test_revenue_per_year_values(spark):
     rows = {r[0]: (r[1], r[2]) for r in Q["revenue_by_year"](spark, SF_CHECK).collect()}
+    assert sorted(rows) == list(range(2015, 2022))
+    assert rows[2015] == (317145.626, "$0.32M")
     assert rows[2018] == (311937.566, "$0.31M")
     assert rows[2019] == (337164.7305, "$0.34M")
     assert rows[2020] == (328571.1785, "$0.33M")
@@ -87,18 +89,17 @@ def test_leap_day_rows(inp):
     feb29 = inp.bookings.where(
         (F.col("arrival_date_month") == "February") & (F.col("arrival_date_day_of_month") == 29)
     )
-    assert feb29.count() == 7
+    assert feb29.count() == 11
 
 
-def test_partition_total_null_keys_and_skew(spark):
+def test_window_total_null_keys_and_skew(spark):
     """NULL keys form their own partition; a dominant key still gets its sum."""
-    rows = [(None, Decimal("1.00"))] * 3 + [(1, Decimal("2.00"))] * 50 + [(2, Decimal("5.00"))]
-    df = spark.createDataFrame(rows, "k int, v decimal(10,2)")
-    got = sorted(
-        (r.k if r.k is not None else -1, r.total) for r in partition_total(df, ["k"], "v", "total").distinct().collect()
-    )
+    rows = [(None, 1, Decimal("1.00"))] * 3 + [(1, i % 7, Decimal("2.00")) for i in range(50)] + [(2, None, Decimal("5.00"))]
+    df = spark.createDataFrame(rows, "k int, d int, v decimal(10,2)")
+    totals = window_total(df, ["k"], ["d"], "v", "total")
+    assert totals.count() == 9  # a row per key and detail
+    got = sorted((r.k if r.k is not None else -1, r.total) for r in totals.select("k", "total").distinct().collect())
     assert got == [(-1, Decimal("3.00")), (1, Decimal("100.00")), (2, Decimal("5.00"))]
-    assert partition_total(df, ["k"], "v", "total").count() == len(rows)
 
 
 def test_mutation_coalesced_discount_changes_results(inp):
@@ -110,30 +111,19 @@ def test_mutation_coalesced_discount_changes_results(inp):
     assert a != b
 
 
-def test_unstaged_inputs_give_the_same_answers(spark):
-    """The fallback used when the staging folder is not writable."""
-    from compare import sorted_rows
-
-    from lodging.plans.inputs import _unstaged
-    from lodging.sources import testdata
-
-    staged = from_testdata(spark, SF_CHECK)
-    direct = _unstaged(spark, SF_CHECK, staged.segments, staged.meals)
-    for name in ("revenue_by_year", "union_bookings", "top5_countries", "bookings_enriched"):
-        fn = catalog.analyses()[name]
-        assert sorted_rows(fn(direct).collect()) == sorted_rows(fn(staged).collect()), name
-    assert testdata.YEARS == tuple(sorted(direct.yearly()))
-
+def test_every_order_becomes_a_booking(spark, inp):
+    orders = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
+    assert _count(inp.bookings) == _count(inp.without_segment) == orders.count()
+    assert "market_segment" not in inp.without_segment.columns
 
-def test_staging_failure_falls_back(spark, monkeypatch):
-    import pytest
 
-    from lodging.plans import inputs as inputs_module
+def test_building_a_query_writes_nothing(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
 
     def refuse(*args, **kwargs):
-        raise PermissionError("read-only folder")
+        raise AssertionError("a query wrote while it was built")
 
-    monkeypatch.setattr(inputs_module.files, "write_bookings", refuse)
-    with pytest.warns(UserWarning, match="could not stage"):
-        inp = inputs_module.from_testdata(spark, "/root/testdata/sf0.001/")  # a key not staged yet
-    assert inp.bookings.count() == inputs_module.testdata.bookings(spark, "/root/testdata/sf0.001").count()
+    for method in ("save", "parquet", "saveAsTable", "csv"):
+        monkeypatch.setattr(DataFrameWriter, method, refuse)
+    for fn in Q.values():
+        fn(spark, SF_CHECK)

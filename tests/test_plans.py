@@ -5,10 +5,11 @@ from __future__ import annotations
 import contextlib
 import io
 
+import pytest
 from conftest import SF_CHECK
 
 from lodging.plans import catalog
-from lodging.plans.inputs import from_parquet, from_testdata
+from lodging.plans.inputs import from_parquet, from_table, from_testdata
 from lodging.plans.statements import revenue_by_year
 from lodging.sources import testdata
 from lodging.sources.files import write_bookings
@@ -24,8 +25,19 @@ def formatted(df) -> str:
     return out.getvalue()
 
 
-def test_lookups_are_broadcast(spark):
-    text = formatted(Q["booking_revenue"](spark, SF_CHECK))
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """The booking table as a deployment has it: written, partitioned by year."""
+    path = str(tmp_path_factory.mktemp("plans") / "bookings")
+    write_bookings(testdata.bookings(spark, SF_CHECK), path)
+    return from_table(spark, path, testdata.market_segments(spark), testdata.meal_costs(spark))
+
+
+A = catalog.analyses()
+
+
+def test_lookups_are_broadcast(table):
+    text = formatted(A["booking_revenue"](table))
     assert text.count("Join type:") == 2
     assert text.count("BroadcastExchange") >= 2 * 2
     assert "SortMergeJoin" not in text
@@ -38,38 +50,77 @@ def test_revenue_by_year_has_no_window_and_partial_aggregate(spark):
     assert "partial_sum" in text
 
 
-def test_window_form_never_shuffles_rows(spark):
-    text = formatted(Q["revenue_by_year_window"](spark, SF_CHECK))
-    assert "Window " not in text
-    assert "SortMergeJoin" not in text
-    assert text.count("BroadcastHashJoin") >= 5
+def test_window_runs_on_monthly_sums(table):
+    """One fact scan, one pass of lookups, a real window over the aggregate, nothing joined back."""
+    text = formatted(A["revenue_by_year_window"](table))
+    assert text.count("Scan parquet") == 2  # the node and its details
+    assert text.count("Join type:") == 2
+    tree = text.split("(1)")[0]
+    assert tree.index("Window") < tree.index("HashAggregate") or "partial_sum" in text
+    assert "Window" in text and "partial_sum" in text
 
 
-def test_ingest_pushes_year_range_into_orders_scan(spark):
-    text = formatted(testdata.bookings(spark, SF_CHECK))
+def test_yearly_table_pushes_its_range_into_the_orders_scan(spark):
+    text = formatted(Q["scan_bookings_2019"](spark, SF_CHECK))
     assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
 
 
-def test_audit_filter_reaches_booking_scan(spark):
-    text = formatted(Q["adr_anomalies"](spark, SF_CHECK))
+def test_customer_is_read_only_for_the_market_segment(spark):
+    for name in ("region", "season", "guest_type", "arrival_day_of_week", "reservation_count", "parking_percentage"):
+        text = formatted(Q[name](spark, SF_CHECK))
+        assert "customer.parquet" not in text and "Join type:" not in text, name
+
+
+def test_questions_without_lookup_columns_join_nothing(spark, table):
+    for name in ("busiest_months", "average_stay", "weekday_by_guest_type"):
+        for text in (formatted(A[name](table)), formatted(Q[name](spark, SF_CHECK))):
+            assert "Join type:" not in text, name
+            assert "market_segment" not in text and "meal" not in text, name
+
+
+def test_audit_sort_splits_one_hot_rate(spark, table):
+    """Most bookings share one rate, nights, status, segment and meal: the sort still has many parts."""
+    from pyspark.sql import functions as F
+
+    from lodging.plans.inputs import Inputs
+
+    hot = table.bookings.where("arrival_date_year IN (2018, 2019)").withColumns(
+        {
+            "adr": F.lit(0).cast("decimal(10,2)"), "stays_in_week_nights": F.lit(1), "stays_in_weekend_nights": F.lit(1),
+            "reservation_status": F.lit("Check-Out"), "market_segment": F.lit("Direct"), "meal": F.lit("BB"),
+        }
+    )
+    inp = Inputs(hot, table.segments, table.meals, lambda: [], lambda y: hot)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("adr_anomalies", "adr_anomalies_as_written"):
+            parts = A[name](inp).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+            assert len(parts) > 3 and max(r["count"] for r in parts) < 0.6 * hot.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_audit_filter_reaches_booking_scan(table):
+    text = formatted(A["adr_anomalies"](table))
     assert "Or(EqualTo(adr,0.00),LessThan(adr,0.00))" in text
     assert "Not(EqualTo(market_segment,Complementary))" in text
     assert "Join type: Inner" in text  # NOT IN on the lookup side rejects NULL: left join becomes inner
 
 
-def test_count_reads_no_columns_and_skips_lookup_joins(spark):
-    text = formatted(Q["reservation_count"](spark, SF_CHECK))
+def test_count_reads_no_columns_and_skips_lookup_joins(table):
+    text = formatted(A["reservation_count"](table))
     assert "Join type:" not in text
     assert "ReadSchema: struct<>" in text
 
 
-def test_category_queries_read_only_their_columns(spark):
-    text = formatted(Q["region"](spark, SF_CHECK))
+def test_category_queries_read_only_their_columns(table):
+    text = formatted(A["region"](table))
     assert "ReadSchema: struct<country:string>" in text
 
 
-def test_year_scan_prunes_partitions(spark):
-    text = formatted(Q["scan_bookings_2019"](spark, SF_CHECK))
+def test_year_scan_prunes_partitions(table):
+    text = formatted(A["scan_bookings_2019"](table))
     assert "PartitionFilters: [isnotnull(arrival_date_year" in text and "= 2019)" in text
 
 
@@ -91,10 +142,10 @@ def test_partitioned_table_prunes_years_and_pushes_filters(spark, scratch):
     text = formatted(one_year)
     assert "PartitionFilters: [isnotnull(arrival_date_year" in text and "= 2019)" in text
     assert "LessThanOrEqual(adr" in text
-    assert sorted(inp.yearly()) == [2018, 2019, 2020]
+    assert inp.years == list(range(2015, 2022))
     # the same analysis code runs unchanged on the written table
     rows = revenue_by_year(inp).collect()
-    assert [r[0] for r in rows] == [2018, 2019, 2020]
+    assert [r[0] for r in rows] == list(range(2015, 2022))
 
 
 def test_hot_year_is_split_across_write_tasks(spark, scratch):
@@ -133,7 +184,7 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        orders = testdata._orders(spark, SF_CHECK, testdata.YEARS)
+        orders = testdata._orders(spark, SF_CHECK)
         hot = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).otherwise(F.col("o_custkey")))
         df = testdata.bookings_from(hot.repartition(8, "o_orderkey"), testdata._customers(spark, SF_CHECK))
         assert len(df.collect()) == hot.count()
@@ -145,13 +196,3 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-
-
-def test_thin_scan_spread_is_bounded(spark):
-    from lodging.sources.files import THIN_SCAN_SPLITS, spread_thin_scan
-
-    thin = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
-    assert thin.rdd.getNumPartitions() <= THIN_SCAN_SPLITS
-    assert "REPARTITION_BY_NUM" in formatted(spread_thin_scan(thin, "o_orderkey"))
-    wide = spark.range(0, 1000, 1, THIN_SCAN_SPLITS + 1)
-    assert spread_thin_scan(wide, "id") is wide

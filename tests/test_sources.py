@@ -90,12 +90,51 @@ def test_duplicate_lookup_key_is_rejected(spark):
         files.checked_lookup(df, "market_segment")
 
 
-def test_checked_lookup_over_bound_is_not_hinted(spark):
-    df = spark.range(20).selectExpr("CAST(id AS STRING) AS market_segment", "CAST(0.1 AS DECIMAL(4,2)) AS Discount")
-    small = files.checked_lookup(df, "market_segment", max_rows=100)
-    big = files.checked_lookup(df, "market_segment", max_rows=10)
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString() or small is not df
-    assert big is df
+def test_duplicate_key_anywhere_in_a_large_lookup_is_rejected(spark):
+    """Every key is checked: the duplicate here is the last of 150,001 rows."""
+    keys = spark.range(150_000).selectExpr("concat('s', id) AS market_segment", "CAST(0.1 AS DECIMAL(4,2)) AS Discount")
+    assert files.checked_lookup(keys, "market_segment") is keys
+    with pytest.raises(files.DuplicateLookupKey):
+        files.checked_lookup(keys.unionByName(keys.where("market_segment = 's149999'")), "market_segment")
+
+
+def test_csv_files_with_other_column_orders_in_one_folder(spark, scratch):
+    """Each file is read by its own header, in a folder and in a list."""
+    row = dict(zip(BOOKING_COLUMNS, _csv_row(2019, "PRT", "7", "55.10").split(",")))
+    row |= {"adults": "2", "babies": "7"}
+    swapped = list(BOOKING_COLUMNS)
+    i, j = swapped.index("adults"), swapped.index("babies")
+    swapped[i], swapped[j] = swapped[j], swapped[i]
+    os.makedirs(f"{scratch}/sheets")
+    for name, cols in (("a", BOOKING_COLUMNS), ("b", swapped)):
+        with open(f"{scratch}/sheets/{name}.csv", "w") as fh:
+            fh.write(",".join(cols) + "\n" + ",".join(row[c] for c in cols) + "\n")
+    for path in (f"{scratch}/sheets", [f"{scratch}/sheets/b.csv", f"{scratch}/sheets/a.csv"]):
+        got = files.read_csv(spark, path, BOOKINGS).select("adults", "babies").collect()
+        assert [tuple(r) for r in got] == [(2, 7), (2, 7)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_number_fails_in_either_mode(spark, scratch, ansi):
+    path = os.path.join(scratch, "bad.csv")
+    with open(path, "w") as fh:
+        fh.write(HEADER + "\n" + _csv_row(2019, "PRT", "7", "abc") + "\n")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="column adr is no decimal"):
+            files.read_csv(spark, path, BOOKINGS).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_table_without_a_column_or_with_another_type_is_refused(spark, scratch):
+    bookings = testdata.bookings(spark, "/root/testdata/sf0.001")
+    files.write_bookings(bookings.drop("adr"), f"{scratch}/missing")
+    files.write_bookings(bookings.withColumn("adr", bookings["adr"].cast("double")), f"{scratch}/other")
+    for path in ("missing", "other"):
+        with pytest.raises(files.WrongSchema, match="adr"):
+            files.read_bookings(spark, f"{scratch}/{path}")
 
 
 def test_csv_columns_matched_by_header_name(spark, scratch):

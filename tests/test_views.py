@@ -9,7 +9,8 @@ from lodging.plans import catalog
 from lodging.plans.inputs import from_testdata
 from lodging.plans.views import register_views
 
-ALL_YEARS = "(SELECT * FROM bookings_2018 UNION ALL SELECT * FROM bookings_2019 UNION ALL SELECT * FROM bookings_2020)"
+YEARS = range(2015, 2022)
+ALL_YEARS = "(" + " UNION ALL ".join(f"SELECT * FROM bookings_{y}" for y in YEARS) + ")"
 
 LOOKUPS = """
 LEFT JOIN market_segment AS m ON b.market_segment = m.market_segment
@@ -25,8 +26,8 @@ IF(b.reservation_status = 'Canceled' OR b.adr < 0 OR (b.reservation_status IN ('
 
 def test_views_cover_every_table(spark):
     names = register_views(from_testdata(spark, SF_CHECK))
-    assert set(names) == {"2018", "2019", "2020", "bookings", "market_segment", "meal_cost"}
-    assert spark.table("bookings").count() == sum(spark.table(names[y]).count() for y in ("2018", "2019", "2020"))
+    assert set(names) == {*map(str, YEARS), "bookings", "market_segment", "meal_cost"}
+    assert spark.table("bookings").count() == sum(spark.table(names[y]).count() for y in map(str, YEARS))
 
 
 def test_sql_window_statement_equals_dataframe_query(spark):
