@@ -18,7 +18,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as contract  # noqa: E402
+from lodging.plans import catalog  # noqa: E402
 from lodging.session import local_session  # noqa: E402
 
 
@@ -80,13 +80,13 @@ def main(argv: list[str]) -> None:
         "",
         f"Generated by `tools/plan_report.py` from `explain(\"formatted\")` on `{sf_dir}` "
         "(AQE on, so joins show the static choice; `isFinalPlan=false`). "
-        "Every query reads the year-partitioned booking table staged once per session.",
+        "Every query derives the booking columns it needs from `orders` (and `customer`, for the market segment).",
         "",
     ]
     from lodging.sources import testdata
 
     targets = [("ingest (once per session): bookings derived from orders JOIN customer", lambda s, d: testdata.bookings(s, d))]
-    targets += list(contract.queries().items())
+    targets += list(catalog.queries().items())
     for name, fn in targets:
         text = formatted(fn(spark, sf_dir))
         shuffles = len(re.findall(r"\(\d+\) Exchange\b", text))
