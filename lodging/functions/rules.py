@@ -48,7 +48,7 @@ def _col(c: ColumnLike) -> Column:
 _BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def _reused(build: Callable[..., Column]) -> Callable[..., Column]:
+def reused(build: Callable[..., Column]) -> Callable[..., Column]:
     """Build a rule once per SparkContext when it is called on column names.
 
     A Column is an immutable expression tree, so one instance can serve every
@@ -72,7 +72,7 @@ def _reused(build: Callable[..., Column]) -> Callable[..., Column]:
     return rule
 
 
-@_reused
+@reused
 def rooms_sold(
     week: ColumnLike = "stays_in_week_nights",
     weekend: ColumnLike = "stays_in_weekend_nights",
@@ -86,7 +86,7 @@ def rooms_sold_as_written() -> Column:
     return rooms_sold("stays_in_week_nights", "stays_in_week_nights")
 
 
-@_reused
+@reused
 def revenue(
     status: ColumnLike = "reservation_status",
     adr: ColumnLike = "adr",
@@ -112,7 +112,7 @@ def revenue(
     )
 
 
-@_reused
+@reused
 def guest_type(
     adults: ColumnLike = "adults",
     children: ColumnLike = "children",
@@ -133,7 +133,7 @@ def guest_type(
     )
 
 
-@_reused
+@reused
 def season(month: ColumnLike = "arrival_date_month") -> Column:
     """Meteorological season of an English month name in any case; NULL for anything else."""
     month = F.lower(_col(month))
@@ -144,7 +144,7 @@ def season(month: ColumnLike = "arrival_date_month") -> Column:
     return expr
 
 
-@_reused
+@reused
 def region(country: ColumnLike = "country") -> Column:
     """Region label of a country code (see ``regions``); 'Other' otherwise.
 
@@ -159,7 +159,7 @@ def region(country: ColumnLike = "country") -> Column:
     return expr.otherwise(OTHER)
 
 
-@_reused
+@reused
 def arrival_date(
     day: ColumnLike = "arrival_date_day_of_month",
     month: ColumnLike = "arrival_date_month",
@@ -187,7 +187,7 @@ def arrival_date(
     return F.when(known & ~F.coalesce(valid, F.lit(False)), wrong).when(known, F.date_add(first, day - 1))
 
 
-@_reused
+@reused
 def day_of_week(date: ColumnLike = "arrival_date") -> Column:
     """English weekday name; dayofweek() numbers Sunday as 1.
 
@@ -200,7 +200,7 @@ def day_of_week(date: ColumnLike = "arrival_date") -> Column:
     return F.when(dow.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), dow))
 
 
-@_reused
+@reused
 def millions_text(amount: ColumnLike) -> Column:
     """Render a money amount as '$12.35M' / '-$1.23M' (millions, 2 decimals).
 

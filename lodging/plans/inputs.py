@@ -24,23 +24,42 @@ from lodging.sources import files, testdata
 
 
 class Inputs:
+    """The frames analyses start from; each is made when it is first used."""
+
     def __init__(
         self,
-        bookings: DataFrame,
-        segments: DataFrame,
-        meals: DataFrame,
+        bookings: Callable[[], DataFrame],
+        segments: Callable[[], DataFrame],
+        meals: Callable[[], DataFrame],
         years: Callable[[], list[int | None]],
         year_table: Callable[[int | None], DataFrame],
-        without_segment: DataFrame | None = None,
+        without_segment: Callable[[], DataFrame] | None = None,
     ) -> None:
-        self.bookings = bookings  # consolidated: every year, 32 columns
-        self.segments = segments  # market_segment, Discount
-        self.meals = meals  # meal, Cost
-        # For analyses that don't use the market segment: it may cost a join to get.
-        self.without_segment = bookings if without_segment is None else without_segment
+        self._bookings, self._segments, self._meals = bookings, segments, meals
         self._years = years
+        self._without_segment = without_segment or (lambda: self.bookings)
         self.year_table = year_table  # one yearly table
 
+    @cached_property
+    def bookings(self) -> DataFrame:
+        """Consolidated: every year, 32 columns."""
+        return self._bookings()
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """market_segment, Discount."""
+        return self._segments()
+
+    @cached_property
+    def meals(self) -> DataFrame:
+        """meal, Cost."""
+        return self._meals()
+
+    @cached_property
+    def without_segment(self) -> DataFrame:
+        """Bookings for analyses that don't use the market segment, which may cost a join to get."""
+        return self._without_segment()
+
     @cached_property
     def years(self) -> list[int | None]:
         """Arrival years there are tables for; None stands for bookings without a year."""
@@ -81,9 +100,9 @@ def from_table(spark: SparkSession, bookings_path: str, segments: DataFrame, mea
     bookings = files.read_bookings(spark, bookings_path)
     year = F.col(files.PARTITION_COLUMN)
     return Inputs(
-        bookings=bookings,
-        segments=segments,
-        meals=meals,
+        bookings=lambda: bookings,
+        segments=lambda: segments,
+        meals=lambda: meals,
         years=lambda: files.table_years(spark, bookings_path),
         year_table=lambda y: bookings.where(year.isNull() if y is None else year == y),
     )
@@ -92,12 +111,12 @@ def from_table(spark: SparkSession, bookings_path: str, segments: DataFrame, mea
 def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
     """Bookings derived from ``orders``/``customer`` under ``sf_dir``, lazily: no job, no write."""
     return Inputs(
-        bookings=testdata.bookings(spark, sf_dir),
-        segments=testdata.market_segments(spark),
-        meals=testdata.meal_costs(spark),
+        bookings=lambda: testdata.bookings(spark, sf_dir),
+        segments=lambda: testdata.market_segments(spark),
+        meals=lambda: testdata.meal_costs(spark),
         years=lambda: testdata.years(spark, sf_dir),
         year_table=lambda y: testdata.bookings_of(spark, sf_dir, y),
-        without_segment=testdata.bookings_without_segment(spark, sf_dir),
+        without_segment=lambda: testdata.bookings_without_segment(spark, sf_dir),
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodging.functions.rules import MONTH_NAMES
+from lodging.functions.rules import MONTH_NAMES, reused
 from lodging.sources.fixture_values import (
     CHANNELS,
     COUNTRIES,
@@ -99,7 +99,9 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
 
 
-def _as_bookings(joined: DataFrame) -> DataFrame:
+@reused
+def _booking_columns() -> list[Column]:
+    """The 32 booking columns over joined order and customer columns."""
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     d = F.add_months(F.to_date("o_orderdate"), 12 * YEAR_SHIFT)
@@ -142,15 +144,13 @@ def _as_bookings(joined: DataFrame) -> DataFrame:
         "reservation_status": _mapped(F.col("o_orderstatus"), STATUS_BY_ORDERSTATUS, None),
         "reservation_status_date": d,
     }
-    return joined.select(
-        *[cols[f.name].cast(f.dataType).alias(f.name) for f in BOOKINGS.fields]
-    )
+    return [cols[f.name].cast(f.dataType).alias(f.name) for f in BOOKINGS.fields]
 
 
 def bookings_from(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Booking rows from order rows LEFT JOIN customer rows on the customer key."""
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
-    return _as_bookings(joined).select(*BOOKING_COLUMNS)
+    return joined.select(*_booking_columns())
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,8 @@ def bookings_of(spark: SparkSession, sf_dir: str, year: int | None) -> DataFrame
 
 def bookings_without_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bookings without their market segment: no join with ``customer`` (whose key is unique)."""
-    return _as_bookings(_orders(spark, sf_dir).withColumn("c_mktsegment", F.lit(None).cast("string"))).drop("market_segment")
+    columns = [c for c, name in zip(_booking_columns(), BOOKING_COLUMNS) if name != "market_segment"]
+    return _orders(spark, sf_dir).select(*columns)
 
 
 def market_segments(spark: SparkSession) -> DataFrame:

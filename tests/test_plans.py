@@ -90,7 +90,7 @@ def test_audit_sort_splits_one_hot_rate(spark, table):
             "reservation_status": F.lit("Check-Out"), "market_segment": F.lit("Direct"), "meal": F.lit("BB"),
         }
     )
-    inp = Inputs(hot, table.segments, table.meals, lambda: [], lambda y: hot)
+    inp = Inputs(lambda: hot, lambda: table.segments, lambda: table.meals, lambda: [], lambda y: hot)
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
