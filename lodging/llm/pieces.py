@@ -14,13 +14,38 @@ class Vocabulary:
     """``scores``: id and log score of each ordinary piece, by its UTF-8 bytes;
     ``byte_ids``: the id of each byte's fallback piece; ``unknown``: the id for
     text that no piece and no byte piece covers; ``unknown_score``: the log
-    score of a character spelt by fallback (10 below the lowest piece)."""
+    score of a character spelt by fallback (10 below the lowest piece);
+    ``parts``: finds the parts of a text that no piece crosses."""
 
     scores: dict[bytes, tuple[int, float]]
     byte_ids: tuple[int, ...] | None
     unknown: int
     unknown_score: float
     names: tuple[str, ...]
+    parts: re.Pattern
+
+
+_LETTERS = "A-Za-z\u00c0-\u024f"  # of Latin script; others are never cut
+
+
+def _parts(pieces: list[str]) -> re.Pattern:
+    """Cuts a text where no piece can go on, so that each part is encoded by itself, exactly.
+
+    No piece has a mark behind another character, so a run of spaces starts
+    a part.  A run of white space that no piece joins with other characters
+    (but a mark in front) is a part of its own; punctuation that stands behind
+    a Latin letter in no piece starts a part there.
+    """
+    pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1) if p[i] != MARK}
+    alone = set("\t\n\x0b\x0c\r")
+    while joined := {c for pair in pairs if (pair[0] in alone) != (pair[1] in alone) for c in pair} & alone:
+        alone -= joined
+    letter = re.compile(f"[{_LETTERS}]")
+    cut = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - {b for a, b in pairs if letter.match(a)}
+    a, c = ("".join(map(re.escape, sorted(x))) for x in (alone, cut))
+    other = f"[^ {a}{_LETTERS}]"
+    word = f"[{_LETTERS}]+(?:[^ {a}{c}{_LETTERS}]{other}*)?"
+    return re.compile(f" *[{a}]+|" * bool(a) + f" *(?:{other}+(?:{word})*|(?:{word})+)| +")
 
 
 def vocabulary(names: list[str], scores: list[float], ordinary: list[bool], byte_ids: list[int] | None, unknown: int) -> Vocabulary:
@@ -28,7 +53,8 @@ def vocabulary(names: list[str], scores: list[float], ordinary: list[bool], byte
     lowest = min((s for _, s in found.values()), default=0.0)
     if any(MARK in n.lstrip(MARK) for n, o in zip(names, ordinary) if o):
         raise ValueError("a piece with a mark behind another character")
-    return Vocabulary(found, tuple(byte_ids) if byte_ids else None, unknown, lowest - 10.0, tuple(names))
+    parts = _parts([k.decode() for k in found])
+    return Vocabulary(found, tuple(byte_ids) if byte_ids else None, unknown, lowest - 10.0, tuple(names), parts)
 
 
 @lru_cache(maxsize=2)
@@ -52,11 +78,9 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-#: A text with one space before it, cut before each run of spaces: a piece has marks
-#: at its start alone, so no piece crosses such a cut and each part is encoded by itself.
-_PARTS = re.compile(" *[^ ]+| +")
-
+def pre_tokens(text: str | None, vocabulary: Vocabulary) -> list[str]:
+    """The parts of a text that are encoded by themselves; none for an empty text.
 
-def pre_tokens(text: str | None) -> list[str]:
-    """The parts of a text that are encoded by themselves; none for an empty text."""
-    return _PARTS.findall(" " + text) if text else []
+    One space is put before the text; a mark in the text counts as a space.
+    """
+    return vocabulary.parts.findall(" " + text.replace(MARK, " ")) if text else []

@@ -6,10 +6,10 @@ over UTF-8 bytes, and the segmentation with the largest sum of scores wins (of
 equal ones, the one whose last pieces are longer).  A character that is no
 piece is spelt by byte pieces at a penalty of 10 below the lowest score.
 
-A piece has marks at its start alone, so a text falls apart before each run of
-spaces into parts that are solved by themselves, exactly, and a worker
-remembers the parts that it has solved (``REMEMBERED`` at most, then it starts
-anew).  Memory is that of one batch of texts; there is no shuffle.
+A text falls apart where no piece can go on (before a run of spaces, and
+around punctuation that no piece joins with letters) into parts that are
+solved by themselves, exactly, and a worker remembers the parts that it has
+solved (``REMEMBERED`` at most, then it starts anew).  Memory is that of one batch of texts; there is no shuffle.
 
 Decoding joins pieces, turns marks into spaces and byte pieces into bytes
 (bytes that are no UTF-8 become U+FFFD) and takes the mark put in front away;
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodging.llm.common import per_text, table
 from lodging.llm.pieces import MARK, Vocabulary, piece_model, pre_tokens, read
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class DoubleArray:
@@ -165,7 +165,7 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        parts = pre_tokens(text)
+        parts = pre_tokens(text, self.vocabulary)
         found = list(map(self.parts.get, parts))
         if None in found:
             found = [self.part(p) if f is None else f for p, f in zip(parts, found)]

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lodging.llm.common import per_text, table
 from lodging.llm.pieces import MARK, Vocabulary, piece_model, pre_tokens, read
 
-REMEMBERED = 400_000
-_END = ""  # a terminal node's key for its pre-tokens
+REMEMBERED = 800_000
+_END = ""  # a terminal node's key for its pre-token
 
 
 class Counter:
     def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
         self.scores = {k.decode(): s for k, (_, s) in vocabulary.scores.items()}
         self.longest = max(map(len, self.scores), default=1)
         self.unknown = vocabulary.unknown_score
@@ -41,7 +42,7 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def insert(self, words: Iterable[str]) -> dict:
-        """A trie of characters; node[_END] lists the pre-tokens that end there."""
+        """A trie of characters; node[_END] is the pre-token that ends there."""
         root: dict = {}
         for w in words:
             node = root
@@ -50,7 +51,7 @@ class Counter:
                 if below is None:
                     below = node[c] = {}
                 node = below
-            node.setdefault(_END, []).append(w)  # a space and the mark itself are one character here
+            node[_END] = w
         return root
 
     def walk(self, root: dict) -> Iterable[tuple[str, int]]:
@@ -82,14 +83,13 @@ class Counter:
                 count.append(tokens)
             for c, below in node.items():
                 if c == _END:
-                    for w in below:
-                        yield w, count[depth]
+                    yield below, count[depth]
                 else:
                     todo.append((below, c, depth + 1))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """(pre-tokens, tokens) of each text of a batch."""
-        parts = [pre_tokens(t) for t in texts]
+        parts = [pre_tokens(t, self.vocabulary) for t in texts]
         new = set().union(*parts) - self.known.keys() if parts else set()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()

@@ -72,13 +72,15 @@ def test_segmentations_score_what_the_library_finds_best(unigram, codec, spark):
     texts = ODD + [d.text for d in table(spark, SF, "documents").select("text").collect()]
     score = lambda ids: sum(codec.score[i] for i in ids)
     spelt = set(codec.vocabulary.byte_ids)
-    parts = sorted({p for t in texts for p in V.pre_tokens(t) if len(p.strip(" ")) > 0})
+    parts = sorted({p for t in texts for p in (" " + t if t else "").split("\n") if p[:1] == " " and p.strip(" ")} | {" " + w for t in texts for w in (t or "").split()})
     checked = 0
     for part in parts:
+        if "  " in part or "▁" in part or len(part) > 400:
+            continue
         want = unigram.nbest_encode(part[1:], nbest_size=2)[0]  # found over its lattice, in order of score
-        if spelt.isdisjoint(want):
+        if spelt.isdisjoint(want) and score(want) > -1e8:  # beyond, the library's single precision loses scores
             checked += 1
-            assert score(codec.viterbi(part.replace(" ", "▁").encode())) == score(want), part
+            assert score(ids_of(codec, part[1:])) == score(want), part
     assert checked > 5000
     for t in texts:
         ids = ids_of(codec, t)
@@ -92,8 +94,8 @@ def test_counts_are_the_lengths_of_the_ids(codec, spark):
     texts = ODD + [d.text for d in table(spark, SF, "documents").select("text").collect()]
     pre, tokens = counter(texts)
     assert tokens == [len(ids_of(codec, t)) for t in texts]
-    assert pre == [len(V.pre_tokens(t)) for t in texts]
-    assert all("".join(V.pre_tokens(t)) == (" " + t if t else "") for t in texts)
+    assert pre == [len(V.pre_tokens(t, codec.vocabulary)) for t in texts]
+    assert all("".join(V.pre_tokens(t, codec.vocabulary)) == (" " + t.replace("▁", " ") if t else "") for t in texts)
 
 
 def test_small_vocabularies_against_all_segmentations():
@@ -151,6 +153,13 @@ def test_double_array_holds_its_keys_and_no_others():
         assert find(k) == keys.get(k)
 
 
+def test_no_piece_crosses_a_cut(codec):
+    parts = codec.vocabulary.parts
+    own = [p for p in codec.vocabulary.scores if len(parts.findall(p.decode().replace("▁", " "))) != 1]
+    assert own == []
+    assert parts.findall(" Ab, c.\nD  e") == [" Ab", ",", " c", ".", "\n", "D", "  e"]
+
+
 def test_a_mark_inside_a_piece_is_refused():
     with pytest.raises(ValueError):
         V.vocabulary(["a▁b"], [-1.0], [True], None, 0)
