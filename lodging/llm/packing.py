@@ -10,14 +10,17 @@ pieces are packed into as few sequences of ``capacity`` tokens as it can.
 * *Islands.*  Each shard is evolved on ``islands`` islands at once.  A
   chromosome is a list of whole bins (groups).  Crossover injects well-filled
   bins of one parent into the other, drops the bins that hold a piece twice
-  now, and puts the displaced pieces back by best fit, largest first.
-  Mutation empties the worst-filled bins and places their pieces anew.
-* *Migration.*  After each epoch every island's elite goes to the next island
-  through a shuffle.  An island stops once it meets the lower bound.
+  now, and puts the displaced pieces back by best fit, largest first, or by
+  tight fit (the two pieces that fill a bin best).  Mutation empties the
+  worst-filled bins and places their pieces anew.
+* *Migration.*  An epoch goes on until ``generations`` children in a row bring
+  no better packing; after each one every island's elite goes to the next
+  island through a shuffle.  An island stops once it meets the lower bound.
 * *Rounds.*  Bins that end up less than ``release`` full give their pieces
   back; those of all shards are dealt again, into fewer shards, until one
   shard is left or ``rounds`` are done.  So the waste of a shard's last bins
-  doesn't add up over shards.  The last round keeps every bin.
+  doesn't add up over shards.  Where pieces over half a bin decide how many bins
+  it takes, bins without one give their pieces back too: those fit beside them.  The last round keeps every bin.
 
 No row holds more than one shard's pieces; nothing is collected.
 
@@ -47,11 +50,11 @@ CAPACITY = 4096
 CLOSING_ID = 1
 SHARD = 2048
 ISLANDS = 2
-EPOCHS = 2
+EPOCHS = 4
 ROUNDS = 3
 RELEASE = 0.97
-GENERATIONS = 12
-POPULATION = 4
+GENERATIONS = 100  # children in a row without a better packing that end an epoch
+POPULATION = 6
 WORD_CACHE = 600_000  # remembered words of a Python worker; a full memory is emptied
 
 
@@ -231,6 +234,51 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, into: Packing) -
     return into
 
 
+def tight_fit(items: list[int], sizes: list[int], capacity: int, into: Packing, rng: random.Random) -> Packing:
+    """Fill the bins with room, then new ones opened by the largest piece left.
+
+    A bin takes the one or two pieces that leave the least room; while three
+    more could go in and no two fill it, the largest that fits.
+    """
+    left = sorted(items, key=lambda i: (sizes[i], i))
+    size = np.array([sizes[i] for i in left], np.int64)
+    bins, loads = into.bins, into.loads
+
+    def fill(b: int) -> None:
+        nonlocal size
+        while len(left) and size[0] <= (room := capacity - loads[b]):
+            n = int(np.searchsorted(size, room, side="right"))
+            fits = size[:n]
+            with_ = np.minimum(np.searchsorted(fits, room - fits, side="right"), np.arange(n)) - 1
+            total = fits + np.where(with_ >= 0, fits[with_], 0)
+            most = int(total.max())
+            if most < room and 3 * size[0] <= room:
+                taken = [n - 1]
+            else:
+                ties = np.flatnonzero(total == most)
+                i = int(ties[rng.randrange(len(ties))])
+                taken = [i, int(with_[i])] if with_[i] >= 0 else [i]
+            for i in taken:  # the larger place first
+                bins[b].append(left.pop(i))
+                loads[b] += int(size[i])
+            size = np.delete(size, taken)
+
+    if left:
+        for b in sorted((i for i, x in enumerate(loads) if capacity - x >= size[0]), key=lambda i: -loads[i]):
+            fill(b)
+    while left:
+        bins.append([left.pop()])
+        loads.append(int(size[-1]))
+        size = size[:-1]
+        fill(len(bins) - 1)
+    return into
+
+
+def _place(items: list[int], sizes: list[int], capacity: int, into: Packing, rng: random.Random) -> Packing:
+    """Either way of placing, by chance."""
+    return tight_fit(items, sizes, capacity, into, rng) if rng.random() < 0.5 else best_fit(items, sizes, capacity, into)
+
+
 def _largest_first(items: list[int], sizes: list[int]) -> list[int]:
     return sorted(items, key=lambda i: (-sizes[i], i))
 
@@ -250,43 +298,52 @@ def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.R
             loads.append(load)
         else:
             displaced += [x for x in group if x not in taken]
-    return best_fit(_largest_first(displaced, sizes), sizes, capacity, Packing(bins, loads))
+    return _place(_largest_first(displaced, sizes), sizes, capacity, Packing(bins, loads), rng)
 
 
 def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """Empty the worst-filled bins and a few others, and place their pieces anew."""
     order = sorted(range(len(p.bins)), key=lambda i: p.loads[i])
-    gone = {*order[: max(1, len(order) // 20)], *rng.sample(order, min(len(order), 1 + len(order) // 20))}
+    few = 1 + int(len(order) * rng.uniform(0.0, 0.05))
+    gone = {*order[:few], *rng.sample(order, min(len(order), few))}
     items = [x for i in gone for x in p.bins[i]]
     kept = [i for i in range(len(p.bins)) if i not in gone]
     items = sorted(items, key=lambda x: -sizes[x] * rng.uniform(0.8, 1.0))
-    return best_fit(items, sizes, capacity, Packing([list(p.bins[i]) for i in kept], [p.loads[i] for i in kept]))
+    return _place(items, sizes, capacity, Packing([list(p.bins[i]) for i in kept], [p.loads[i] for i in kept]), rng)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Packing], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing after some generations that start from ``elites`` and fresh ones."""
+    """The best packing, starting from ``elites`` and fresh ones.
+
+    Goes on until it meets the lower bound or ``generations`` children in a row
+    brought no better packing.
+    """
     rng = random.Random(seed)
     items = list(range(len(sizes)))
     bound = lower_bound(np.array(sizes, np.int64), capacity) if sizes else 0
     people = list(elites) or [best_fit(_largest_first(items, sizes), sizes, capacity, Packing([], []))]
     key = lambda p: p.fitness(capacity)
     best = max(people, key=key)
-    if len(best.bins) <= bound:
-        return best
-    while len(people) < population:
-        noisy = sorted(items, key=lambda x: -sizes[x] * rng.uniform(0.7, 1.0))
-        people.append(best_fit(noisy, sizes, capacity, Packing([], [])))
-    for _ in range(generations):
-        a, b = rng.sample(people, 2)
+    while len(best.bins) > bound and len(people) < population:
+        if len(people) % 2:
+            people.append(tight_fit(items, sizes, capacity, Packing([], []), rng))
+        else:
+            noisy = sorted(items, key=lambda x: -sizes[x] * rng.uniform(0.7, 1.0))
+            people.append(best_fit(noisy, sizes, capacity, Packing([], [])))
+        best = max(best, people[-1], key=key)
+    marks = [key(p) for p in people]
+    since = 0
+    while len(best.bins) > bound and since < generations:
+        a, b = rng.sample(people, 2) if len(people) > 1 else (best, best)
         if rng.random() < 0.5:
             a = best
         child = cross(a, b, sizes, capacity, rng) if a is not b else mutate(a, sizes, capacity, rng)
         if rng.random() < 0.3:
             child = mutate(child, sizes, capacity, rng)
-        people[min(range(len(people)), key=lambda i: key(people[i]))] = child
+        worst = min(range(len(people)), key=marks.__getitem__)
+        people[worst], marks[worst] = child, key(child)
+        since = 0 if marks[worst] > key(best) else since + 1
         best = max(best, child, key=key)
-        if len(best.bins) <= bound:
-            break
     return best
 
 
@@ -310,14 +367,14 @@ def _as_packing(bins: np.ndarray, sizes: np.ndarray) -> Packing:
     return Packing(out, np.bincount(bins, weights=sizes, minlength=len(out)).astype(int).tolist())
 
 
-def _solve(rows: DataFrame, shards: int, salt: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+def _solve(rows: DataFrame, shards: int, salt: int, capacity: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
     """(item, length) -> the best elite of each shard."""
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
         shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
         sizes = pdf["length"].to_numpy(np.int64)
-        best = evolve(sizes.tolist(), capacity, [], hash((shard, island, salt)))
+        best = evolve(sizes.tolist(), capacity, [], hash((shard, island, salt)), generations, population)
         return _as_row(shard, island, pdf["item"].to_numpy(np.int64), sizes, best, capacity)
 
     def go_on(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +383,7 @@ def _solve(rows: DataFrame, shards: int, salt: int, capacity: int, islands: int,
         items, sizes = np.asarray(first["items"], np.int64), np.asarray(first["sizes"], np.int64)
         shard, island, epoch = int(first["shard"]), int(first["to"]), int(first["epoch"])
         elites = [_as_packing(np.asarray(b, np.int32), sizes) for b in pdf["bins"]]
-        best = evolve(sizes.tolist(), capacity, elites, hash((shard, island, salt, epoch)))
+        best = evolve(sizes.tolist(), capacity, elites, hash((shard, island, salt, epoch)), generations, population)
         return _as_row(shard, island, items, sizes, best, capacity)
 
     shard = F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(shards)).alias("shard")
@@ -341,7 +398,7 @@ def _solve(rows: DataFrame, shards: int, salt: int, capacity: int, islands: int,
 
 
 def _layout(best: DataFrame, capacity: int) -> DataFrame:
-    """One row per piece of each shard's best packing, with its place and its bin's load."""
+    """One row per piece of each shard's best packing, with its place and its bin's load and largest piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,12 +412,13 @@ def _layout(best: DataFrame, capacity: int) -> DataFrame:
                 before = ends - sizes
                 offset = before - before[first][of]
                 load = np.add.reduceat(sizes, first)[of]
+                largest = np.maximum.reduceat(sizes, first)[of]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (items, sizes, items[first][of], offset, load)],
-                    names=["item", "length", "sequence_id", "offset", "load"],
+                    [pa.array(x) for x in (items, sizes, items[first][of], offset, load, largest)],
+                    names=["item", "length", "sequence_id", "offset", "load", "largest"],
                 )
 
-    return best.select("best").mapInArrow(run, "item long, length long, sequence_id long, offset long, load long")
+    return best.select("best").mapInArrow(run, "item long, length long, sequence_id long, offset long, load long, largest long")
 
 
 def pack(
@@ -371,6 +429,8 @@ def pack(
     epochs: int = EPOCHS,
     rounds: int = ROUNDS,
     release: float = RELEASE,
+    generations: int = GENERATIONS,
+    population: int = POPULATION,
 ) -> DataFrame:
     """``rows(item, length)``, items distinct, lengths 1 to ``capacity`` -> ``item, sequence_id, offset``."""
     ship(rows.sparkSession)
@@ -378,15 +438,18 @@ def pack(
     done = [rows.where(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = rows.where(F.col("length") < capacity).select("item", "length")
     for r in range(rounds):
-        n = rest.count()
+        over_half = F.col("length") > capacity // 2
+        n, volume, large = rest.agg(F.count("*"), F.sum("length"), F.count_if(over_half)).first()
         if not n:
             break
         shards = max(1, -(-n // shard))
-        laid, _ = stage(_layout(_solve(rest, shards, r, capacity, islands, epochs), capacity), f"packed-{r}")
+        laid, _ = stage(_layout(_solve(rest, shards, r, capacity, islands, epochs, generations, population), capacity), f"packed-{r}")
         if shards == 1 or r == rounds - 1:
             done.append(laid.select(place))
             break
         full = F.col("load") >= release * capacity
+        if large * capacity >= volume:
+            full &= F.col("largest") > capacity // 2
         done.append(laid.where(full).select(place))
         rest = laid.where(~full).select("item", "length")
     out = done[0]

@@ -114,6 +114,31 @@ def test_shards_rounds_and_islands(spark):
     assert K.pack(df.limit(0)).count() == 0
 
 
+def test_tight_fit_keeps_every_piece():
+    rng = random.Random(6)
+    for _ in range(100):
+        sizes = [rng.randrange(1, 101) for _ in range(rng.randrange(0, 40))]
+        some = rng.sample(range(len(sizes)), len(sizes) // 2)
+        start = K.best_fit(some, sizes, 100, K.Packing([], []))
+        p = K.tight_fit([i for i in range(len(sizes)) if i not in some], sizes, 100, start, rng)
+        if sizes:
+            valid(p, sizes, 100)
+
+
+def test_pack_as_queries_call_it_beats_best_fit_on_a_shard_of_triples(spark):
+    r = random.Random(1)
+    sizes = []
+    for _ in range(K.SHARD // 3):
+        a, b = r.randrange(1065, 1966), r.randrange(1065, 1966)
+        sizes += [a, b, 4096 - a - b]
+    df = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    placed = df.join(K.pack(df), "item").collect()
+    assert len(placed) == len(sizes)
+    n, best, bound = check_layout(placed), len(greedy(sizes, 4096).bins), K.lower_bound(np.array(sizes), 4096)
+    print(f"triples: {n} sequences, best fit {best}, lower bound {bound}")
+    assert bound <= n and (n - bound) * 3 <= best - bound
+
+
 def test_packings_survive_migration():
     sizes = np.array([5, 6, 7, 8, 2, 3, 10])
     p = greedy(sizes.tolist(), 10)
