@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ SEGMENTS, SEGMENT = 4, 24
 LEXICON_SHARE = 0.05
 BUCKETS = 1 << 16
 REMEMBERED = 300_000
-WIDTH = 48  # most features of a word
+CHUNK = 1 << 22  # numbers added up at a time
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -66,17 +67,29 @@ def word_features(word: str, lexicons: tuple[frozenset, ...]) -> list[int]:
     found.update(edges[-k - 1 :] for k in range(1, min(n, 4) + 1))
     found.update(word[i : i + 2] for i in range(min(n, 16) - 1))
     found.update(word[i : i + 3] for i in range(min(n, 16) - 2))
-    ids = [zlib.crc32(f.encode()) % BUCKETS for f in found][: WIDTH - len(lexicons)]
+    ids = [zlib.crc32(f.encode()) % BUCKETS for f in sorted(found)]
     return ids + [BUCKETS + i for i, x in enumerate(lexicons) if word in x]
 
 
-def feature_rows(words: list[str], lexicons: tuple[frozenset, ...]) -> np.ndarray:
-    """Feature numbers of words, padded by a number whose weights are zero."""
-    rows = np.full((len(words), WIDTH), BUCKETS + len(lexicons), np.int64)
-    for i, w in enumerate(words):
-        ids = word_features(w, lexicons)[:WIDTH]
-        rows[i, : len(ids)] = ids
-    return rows
+def feature_rows(words: list[str], lexicons: tuple[frozenset, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, one word after the other, and how many each has (at least one)."""
+    rows = [word_features(w, lexicons) for w in words]
+    counts = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts
+
+
+def feature_sums(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each word's feature weights, a column per label."""
+    ends = np.cumsum(counts)
+    out = np.empty((len(counts), weights.shape[1]))
+    most = max(1, CHUNK // weights.shape[1])
+    i = 0
+    while i < len(counts):
+        low = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, low + most, side="right")))
+        out[i:j] = np.add.reduceat(weights[flat[low : ends[j - 1]]], ends[i:j] - counts[i:j] - low, axis=0)
+        i = j
+    return out
 
 
 class Packed:
@@ -127,7 +140,7 @@ def forward_backward(scores: np.ndarray, packed: Packed, steps: np.ndarray, star
 class Model:
     labels: tuple[str, ...]
     lexicons: tuple[frozenset, ...] = ()
-    weights: np.ndarray | None = None  # feature x label, the last row zero
+    weights: np.ndarray | None = None  # feature x label
     steps: np.ndarray | None = None
     start: np.ndarray | None = None
 
@@ -135,19 +148,18 @@ class Model:
         """Positive label scores, the largest 1."""
         out = np.empty((len(words), len(self.labels)))
         for i in range(0, len(words), 20_000):
-            rows = feature_rows(words[i : i + 20_000], self.lexicons)
-            out[i : i + 20_000] = self.weights[rows].sum(axis=1)
+            out[i : i + 20_000] = feature_sums(self.weights, *feature_rows(words[i : i + 20_000], self.lexicons))
         return np.exp(np.maximum(out - out.max(axis=1, keepdims=True), -60.0)) if len(words) else out
 
 
 def fit_sequences(sequences: list[list[str]], tags: list[np.ndarray], labels: tuple[str, ...], lexicons: tuple[frozenset, ...], rounds: int = 60, rate: float = 0.1, decay: float = 2e-5) -> Model:
     """The CRF that maximises the likelihood of ``tags`` (a label number per word)."""
     number = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
-    rows = feature_rows(list(number), lexicons)
+    flat, counts = feature_rows(list(number), lexicons)
     packed = Packed([np.array([number[w] for w in s], np.int64) for s in sequences])
     truth = Packed(tags).values
     k, n = len(labels), len(packed.values)
-    weights, steps, start = np.zeros((BUCKETS + len(lexicons) + 1, k)), np.zeros((k, k)), np.zeros(k)
+    weights, steps, start = np.zeros((BUCKETS + len(lexicons), k)), np.zeros((k, k)), np.zeros(k)
     gold = np.zeros((n, k))
     gold[np.arange(n), truth] = 1.0
     first = slice(0, packed.sizes[0])
@@ -157,19 +169,17 @@ def fit_sequences(sequences: list[list[str]], tags: list[np.ndarray], labels: tu
         np.add.at(seen, (truth[packed.starts[t - 1] : packed.starts[t - 1] + m], truth[packed.starts[t] : packed.starts[t] + m]), 1.0)
     params, moments = [weights, steps, start], [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, steps, start)]
     for t in range(1, rounds + 1):
-        s = weights[rows].sum(axis=1)
+        s = feature_sums(weights, flat, counts)
         s = np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -60.0))
         found, expected = forward_backward(s[packed.values], packed, np.exp(steps), np.exp(start))
         miss = found - gold
-        g_words = np.stack([np.bincount(packed.values, weights=miss[:, j], minlength=len(rows)) for j in range(k)], axis=1)
-        flat = rows.ravel()
-        g_weights = np.stack([np.bincount(flat, weights=np.repeat(g_words[:, j], WIDTH), minlength=len(weights)) for j in range(k)], axis=1)
+        g_words = np.stack([np.bincount(packed.values, weights=miss[:, j], minlength=len(counts)) for j in range(k)], axis=1)
+        g_weights = np.stack([np.bincount(flat, weights=np.repeat(g_words[:, j], counts), minlength=len(weights)) for j in range(k)], axis=1)
         grads = [g_weights / n + decay * weights, (expected - seen) / n + decay * steps, miss[first].sum(axis=0) / len(tags) + decay * start]
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        weights[-1] = 0.0
     return Model(labels, lexicons, weights.astype(np.float32), np.exp(steps), np.exp(start))
 
 

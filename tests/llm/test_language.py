@@ -1,6 +1,9 @@
 """The CRF: forward-backward by brute force, held-out accuracy, switched text."""
 
 import itertools
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -75,3 +78,33 @@ def test_switched_text_and_odd_rows(spark, tmp_path):
 def test_one_language_only():
     model = L.fit_sequences([["a", "b"], ["c"]], [np.zeros(2, int), np.zeros(1, int)], ("xx",), (frozenset(),), rounds=2)
     assert L.Tagger(model)(["a z", None]) == (["xx", "und"], [1.0, 0.0])
+
+
+def test_no_feature_is_dropped_with_sixty_languages():
+    labels = tuple(f"l{i:02d}" for i in range(60))
+    word = "abcdefghijklmnop"
+    hashed = L.word_features(word, ())
+    lexicons = tuple(frozenset({word}) for _ in labels)
+    assert len(hashed) == 38 and L.word_features(word, lexicons) == hashed + [L.BUCKETS + i for i in range(60)]
+    flat, counts = L.feature_rows([word, "a"], lexicons)
+    assert counts.tolist() == [98, 3] and flat[:98].tolist() == L.word_features(word, lexicons)
+    r = np.random.default_rng(2)
+    weights = r.random((L.BUCKETS + 60, 60))
+    want = [weights[L.word_features(w, lexicons)].sum(axis=0) for w in (word, "a")]
+    assert np.allclose(L.feature_sums(weights, flat, counts), want)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    own = [["".join(r.choice(letters, 3)) for _ in range(3)] for _ in labels]  # the syllables of each language
+    said = lambda i: ["".join(r.choice(own[i], 4)) for _ in range(8)]
+    sequences = [said(i) for i in range(60) for _ in range(4)]
+    tags = [np.full(8, i) for i in range(60) for _ in range(4)]
+    tagger = L.Tagger(L.fit_sequences(sequences, tags, labels, tuple(frozenset() for _ in labels), rounds=20))
+    names, _ = tagger([" ".join(said(i)) for i in range(60)])
+    assert sum(a == b for a, b in zip(names, labels)) >= 57
+
+
+def test_features_do_not_hang_on_the_hash_seed():
+    run = lambda seed: subprocess.run(
+        [sys.executable, "-c", "from lodging.llm.language import word_features as f; print(f('abcdefghijklmnopqrst', (frozenset(),) * 30))"],
+        env={**os.environ, "PYTHONHASHSEED": seed}, cwd=os.path.dirname(L.__file__) + "/../..", capture_output=True, text=True, check=True,
+    ).stdout
+    assert run("1") == run("2")
