@@ -1,7 +1,9 @@
 """Language ID by a linear-chain conditional random field over words.
 
-Each word of a text (a run of letters, small) is labelled with a language.  A
-label's score at a word is the sum of the weights of the word's features
+Each word of a text (a run of letters, small) is labelled with a language.  Runs
+of more than ``UNIT`` letters, and of more than ``UNSPACED_UNIT`` in scripts
+without spaces, count as several words of about equal length, so every letter of
+a text counts; a run ends where such a script begins or ends.  A label's score at a word is the sum of the weights of the word's features
 (prefixes and suffixes of 1 to 4 letters, its 2- and 3-grams, the word itself,
 hashed to ``BUCKETS``; and whether it stands in each language's lexicon), plus
 a learned weight of the step from the label before.  Forward-backward gives
@@ -47,26 +49,38 @@ BUCKETS = 1 << 16
 REMEMBERED = 300_000
 CHUNK = 1 << 22  # numbers added up at a time
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+UNIT, UNSPACED_UNIT = 24, 8  # most letters of a word, and of a word of a script without spaces
+# Thai to Tibetan, Burmese, Khmer and their neighbours, kana, Chinese characters
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_LETTERS = re.compile(rf"[^\W\d_{_UNSPACED}]+|(?:(?=[^\W\d_])[{_UNSPACED}])+")
+_UNSPACED_LETTER = re.compile(f"[{_UNSPACED}]")
+
+
+def _units(run: str) -> list[str]:
+    """A run of letters as consecutive parts of about equal length, none longer than its script's bound."""
+    parts = -(-len(run) // (UNSPACED_UNIT if _UNSPACED_LETTER.match(run) else UNIT))
+    return [run[len(run) * i // parts : len(run) * (i + 1) // parts] for i in range(parts)]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, small."""
+    """Runs of letters, small; long ones in parts, so that every letter is in one word of bounded length."""
     found = _LETTERS.findall(text.lower()) if text else []
-    if all(map(str.isalpha, found)):
-        return found
-    return [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
+    if not all(map(str.isalpha, found)):
+        found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
+    if found and max(map(len, found)) > UNSPACED_UNIT:
+        return [u for w in found for u in (_units(w) if len(w) > UNSPACED_UNIT else (w,))]
+    return found
 
 
 def word_features(word: str, lexicons: tuple[frozenset, ...]) -> list[int]:
     """Feature numbers: hashed ones below BUCKETS, then one per lexicon that has the word."""
     n = len(word)
-    edges = f"^{word[:24]}$"
+    edges = f"^{word}$"
     found = {"=" + word}
     found.update(edges[: k + 1] for k in range(1, min(n, 4) + 1))
     found.update(edges[-k - 1 :] for k in range(1, min(n, 4) + 1))
-    found.update(word[i : i + 2] for i in range(min(n, 16) - 1))
-    found.update(word[i : i + 3] for i in range(min(n, 16) - 2))
+    found.update(word[i : i + 2] for i in range(n - 1))
+    found.update(word[i : i + 3] for i in range(n - 2))
     ids = [zlib.crc32(f.encode()) % BUCKETS for f in sorted(found)]
     return ids + [BUCKETS + i for i, x in enumerate(lexicons) if word in x]
 

@@ -108,3 +108,27 @@ def test_features_do_not_hang_on_the_hash_seed():
         env={**os.environ, "PYTHONHASHSEED": seed}, cwd=os.path.dirname(L.__file__) + "/../..", capture_output=True, text=True, check=True,
     ).stdout
     assert run("1") == run("2")
+
+
+def test_every_letter_of_long_runs_counts():
+    thai, han = "กขคงจฉชซ", "漢字文章長短語言"
+    assert L.words_of("ABC def") == ["abc", "def"] and L.words_of("a" * 24) == ["a" * 24]
+    for run in ("abcdefghijklmnopqrstuvwxy" * 40, thai * 30, han * 30, "ab" + thai * 5 + "cd" + han * 5):
+        words = L.words_of(run)
+        assert "".join(words) == run and max(map(len, words)) <= 24
+        assert all(len(w) <= 8 for w in words if w[0] in thai + han)
+    a, b = L.words_of("donaudampfschifffahrtsgesellschaftskapitänen")
+    assert a + b == "donaudampfschifffahrtsgesellschaftskapitänen" and len(b) > 16
+    word = "abcdefghijklmnopqrstuvwx"
+    found = set(L.word_features(word, ()))
+    assert {L.zlib.crc32(f.encode()) % L.BUCKETS for f in ("uvwx$", "wx", "vwx")} <= found
+    assert len(L.word_features("abcdefghijklmnopqrstuvwx", ())) == 54
+    r = np.random.default_rng(3)
+    said = {"x": "漢字文章長短", "y": "語言学校先生"}
+    run = lambda k, n: "".join(r.choice(list(said[k]), n))
+    sequences = [L.words_of(run(k, 80)) for k in "xy" for _ in range(20)]
+    tags = [np.full(len(s), i // 20) for i, s in enumerate(sequences)]
+    tagger = L.Tagger(L.fit_sequences(sequences, tags, ("x", "y"), (frozenset(), frozenset()), rounds=30))
+    assert tagger([run("x", 40) + run("y", 200)])[0] == ["y"]
+    switched = [t for _, t, _ in tagger.tag(run("x", 80) + run("y", 80))]
+    assert switched == ["x"] * 10 + ["y"] * 10
