@@ -15,8 +15,9 @@ characters are updated by one character in and one out, so a step costs O(1)
 whatever the window length: with ``S = sum c*log2(c)`` over the window's
 character counts, its entropy is ``log2(w) - S/w``.  Windows whose entropy
 reaches the class's threshold are merged into spans.  A candidate that the
-allow-list knows (placeholders, UUIDs, ordinary long words, alphabets) gives
-no entropy span; the allow-list never touches base spans.  An entropy span
+allow-list knows (UUIDs, ordinary long words, headings) gives no entropy span;
+a placeholder takes only its own segment (between ``/ _ = + -``) out of a
+candidate, an alphabet only its own characters; the allow-list never touches base spans.  An entropy span
 that lies inside a base span is that secret already and is left out.
 
 Defined cases: a NULL text is an empty one and has no span; equal rows give
@@ -68,15 +69,36 @@ CLASSES = (
 
 # A candidate that one of these matches is no secret.  Fixed values.
 ALLOW = (
-    r"[A-Za-z]*[a-z]{3,}[A-Za-z]*",  # a long word
+    r"[A-Z]?[a-z]{1,30}",  # a long word
+    r"[A-Za-z]?[a-z]{1,18}(?:[A-Z][a-z]{2,18}|By|Is|Of|To|In|On|At|Or|As|Id|No){1,6}",  # words put together, each with a capital
     r"[A-Z_\-/=+]+",  # a heading, a ruled line
     r"[0-9]+",  # a number: no letters mixed in
     r"(?:[A-Za-z]{1,18}[-_/=+]+)+[A-Za-z]{0,18}",  # hyphenated words, a path of words
     r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",  # a UUID
-    r".*(?:EXAMPLE|example|xxxxxx|XXXXXX|placeholder|PLACEHOLDER).*",
-    r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*",
 )
 
+# What marks the segment of a candidate that holds it, and no other, as no secret.
+_MARK = re.compile("EXAMPLE|example|xxxxxx|XXXXXX|placeholder|PLACEHOLDER")
+_SEGMENT = re.compile(r"[^/_=+\-]+")
+# A candidate's alphabets; they end where the next character isn't the following one.
+_SERIES = re.compile("0123456789|abcdefghij|ABCDEFGHIJ")
+
+
+def unmarked(run: str) -> list[tuple[int, int]]:
+    """[start, end) of what is left of ``run`` without its marked segments and its alphabets."""
+    gone = [m.span() for m in _SEGMENT.finditer(run) if _MARK.search(m[0])] if _MARK.search(run) else []
+    for m in _SERIES.finditer(run):
+        end = m.end()
+        while end < len(run) and ord(run[end]) == ord(run[end - 1]) + 1:
+            end += 1
+        gone.append((m.start(), end if end - m.end() > 2 else m.end()))  # one or two may be a key's first ones by chance
+    left, at = [], 0
+    for s, e in sorted(gone):
+        if s > at:
+            left.append((at, s))
+        at = max(at, e)
+    return [*left, (at, len(run))] if at < len(run) else left
+
 
 def entropy_windows(run: str, window: int, threshold: float) -> list[tuple[int, int]]:
     """Merged [start, end) of the windows of ``run`` that reach ``threshold`` bits."""
@@ -141,12 +163,14 @@ class Scanner:
         for c, pattern in self.classes:
             known = Cover([*base, *spans])
             for m in pattern.finditer(text):
-                if self.allow and self.allow.fullmatch(m[0]):
-                    continue
-                for s, e in entropy_windows(m[0], c.window, c.threshold):
-                    s, e = s + m.start(), e + m.start()
-                    if not known.holds(s, e):
-                        spans.append((c.name, s, e))
+                for at, end in unmarked(m[0]) if self.allow else [(0, len(m[0]))]:
+                    part = m[0][at:end]
+                    if self.allow and self.allow.fullmatch(part):
+                        continue
+                    for s, e in entropy_windows(part, c.window, c.threshold):
+                        s, e = s + at + m.start(), e + at + m.start()
+                        if not known.holds(s, e):
+                            spans.append((c.name, s, e))
         return spans
 
     def __call__(self, text: str | None) -> list[tuple[str, int, int]]:

@@ -74,6 +74,20 @@ def test_base_spans_and_allow_list():
     assert "entropy_base64" in {k for k, _, _ in S.Scanner(allow=())("EXAMPLEkQ8zR1xT0vLw7YbN3mHsJ5uFc9")}
 
 
+def test_a_marker_hides_only_its_own_segment():
+    key = "kQ8zR1xT0vLw7YbN3mHsJ5uFc9dGe2PaVx4Wq6Zy"
+    scan = S.Scanner()
+    for before, after in (("example_key=", ""), ("/example/", ""), ("", "/EXAMPLE"), ("", "0123456789"), ("abcdefghij", ""), ("xxxxxx-", "=placeholder")):
+        text = before + key + after
+        start = len(before)
+        assert any(s <= start and e >= start + len(key) for _, s, e in scan(text)), text
+    for text in ("kQzRxTvLwYbNmHsJuFcdGePaVxWqZyabcDfE", "qzkwvxjpytbnmrlhgdfscaeuioqwzxkvjpylmtbn"):
+        assert scan(text), text
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in (alphabet, "rechtsschutzversicherungen", "getUserAccountByPrimaryEmail", "x" * 50_000, "EXAMPLE" + key):
+        assert not scan(text), text
+
+
 def test_op1_on_small_and_odd_tables(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, TEXTS[4], 2), (4, TEXTS[4], 3)], "doc_id long, text string, n_hex int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
