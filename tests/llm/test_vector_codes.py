@@ -1,0 +1,141 @@
+"""Codes against plain rounds in Python integers, and what the bounds save."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from lodging.llm import vector_codes as V
+from lodging.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def floor_of(x, scale=4096):
+    return int(x) * scale if abs(x) >= 2**52 else math.floor(x * scale)
+
+
+def brute(rows, parts=8, entries=16, rounds=6):
+    """rows (id, vector, label), all of one length -> (codes, digest)."""
+    kept = [(i, [floor_of(x) for x in v], a) for i, v, a in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[cut[k][p] for k in order] for p in range(parts)]
+
+    def assign():
+        out = []
+        for x in cut:
+            best = []
+            for p in range(parts):
+                d = [sum((a - b) ** 2 for a, b in zip(x[p], e)) for e in books[p]]
+                best.append((min(d), d.index(min(d))))
+            out.append(best)
+        return out
+
+    for _ in range(rounds):
+        now = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [cut[k][p] for k in range(len(kept)) if now[k][p][1] == e]
+                if mine:
+                    books[p][e] = [sum(c) // len(mine) for c in zip(*mine)]
+    now = assign()
+    errors = [sum(d for d, _ in b) for b in now]
+    by = {}
+    for (_, _, a), e in zip(kept, errors):
+        by[a] = by.get(a, 0) + e
+    sha = hashlib.sha256(",".join(str(x) for p in books for e in p for x in e).encode()).hexdigest()
+    fits = lambda e: e if e < 2**63 else None
+    return sorted(
+        ((i, "".join(f"{e:02x}" for _, e in b), fits(err), a) for (i, _, a), b, err in zip(kept, now, errors)), key=str
+    ), {a: fits(e) for a, e in by.items()}, sha
+
+
+def result(df, **how):
+    codes, books = V.compress(df, **how)
+    rows = sorted(((r.id, r.code, r.error, r.label) for r in codes.collect()), key=str)
+    return rows, books
+
+
+SCHEMA = "vec_id long, embedding array<double>, label string"
+
+
+def random_rows(n, length=16, seed=1, spread=1.0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, length))
+    x = centres[rng.integers(0, 12, n)] + spread * 0.1 * rng.normal(size=(n, length))
+    return [(i * 3 % 1009, v.tolist(), f"l{i % 4}" if i % 9 else None) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("spread", [1.0, 8.0])
+def test_codes_equal_plain_rounds(spark, spread):
+    rows = random_rows(400, spread=spread)
+    rows += [(5000, None, "l1"), (5001, [float("nan")] * 16, "l1"), (5002, [None] + [0.0] * 15, None), (5003, [float("inf")] + [0.0] * 15, "x")]
+    rows += [(5004, rows[0][1], "l2")] * 3 + [(None, rows[1][1], "l0"), (5005, [0.0] * 16, "zero")]
+    want, by, sha = brute(rows)
+    got, books = result(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert got == want and books.sha256() == sha
+    codes, _ = V.compress(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.id, r.label_error) for r in V.with_label_errors(codes).collect()} == {(i, by[a]) for i, _, _, a in want}
+
+
+def test_given_vectors(spark):
+    rows = [tuple(r) for r in table(spark, SF, "embeddings").select("vec_id", "embedding", "label").collect()]
+    want, by, sha = brute(rows)
+    got = V.op11_vector_codes(spark, SF).collect()
+    assert sorted((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got) == sorted((i, c, e, by[a], sha) for i, c, e, a in want)
+
+
+def test_ties_few_vectors_and_huge_components(spark):
+    same = [(i, [1.0, -2.0] * 4, "a") for i in range(40)]
+    for rows in (same, same[:3], same[:1], [(i, [float(x) * 2.0**e for x in range(i, i + 8)], "a") for e in (1, 14, 40, 60) for i in range(5)]):
+        want, by, sha = brute(rows)
+        got, books = result(spark.createDataFrame(rows, SCHEMA))
+        assert got == want and books.sha256() == sha
+
+
+def test_vectors_that_cannot_be_cut(spark):
+    rows = random_rows(50) + [(9000, [1.0], "l1"), (9001, [], None), (9002, [2.0**71] + [0.0] * 15, "new")]
+    want, _, sha = brute(rows[:50])
+    got, books = result(spark.createDataFrame(rows, SCHEMA))
+    odd = [(9000, None, None, "l1"), (9001, None, None, None), (9002, None, None, "new")]
+    assert got == sorted(want + odd, key=str) and books.sha256() == sha
+
+
+def test_empty_and_all_dropped(spark):
+    for rows in ([], [(1, None, "a")], [(1, [1.0, 2.0], "a")]):
+        df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("label", "LABEL")
+        df = df.selectExpr("*", "1 AS code", "2 AS error", "3 AS `a.b`", "4 AS state", "5 AS part")
+        codes, books = V.compress(df, label="LABEL")
+        assert len(V.with_label_errors(codes).collect()) == (rows != [] and rows[0][1] is not None)
+        assert books.entries.size == 0 and V.decode(codes, books).count() == codes.count()
+
+
+def test_net_displacement_is_tighter_than_drifts_and_saves_rescans():
+    rng = np.random.default_rng(3)
+    x = np.floor(4096 * (rng.normal(size=(12, 8))[rng.integers(0, 12, 3000)] + 0.2 * rng.normal(size=(3000, 8))))
+    history, state, asked, rescanned = [V.whole(x[:16])[None]], None, 0, 0
+    for _ in range(12):
+        step = V.Round(history)
+        state = step.part(0, x, state)
+        d = V.all_distances(*V.fitting(x, history[-1][0]))
+        assert (state["code"] == d.argmin(axis=1)).all()
+        drift = sum(V.displacements([a, b])[0][0] for a, b in zip(history, history[1:])) if len(history) > 1 else 0
+        assert (V.displacements(history)[0][0] <= drift + 1e-6).all()
+        asked, rescanned = asked + step.asked, rescanned + step.rescanned
+        book = history[-1].copy()
+        for e in range(16):
+            if (state["code"] == e).any():
+                mine = V.whole(x[state["code"] == e])
+                book[0, e] = [s // len(mine) for s in mine.sum(axis=0)]
+        history.append(book)
+    assert rescanned < 0.5 * asked
+
+
+def test_decode_gives_the_entries(spark):
+    codes, books = V.compress(spark.createDataFrame(random_rows(60), SCHEMA))
+    for r in V.decode(codes, books).collect():
+        at = [int(r.code[2 * p : 2 * p + 2], 16) for p in range(8)]
+        assert r.vector == [v / 4096 for p, e in enumerate(at) for v in books.entries[p, e]]
