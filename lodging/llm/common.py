@@ -5,6 +5,9 @@
   lost executor costs a re-read and not a re-run of everything before.
 * ``ship`` sends this package to the Python workers, so an operator works
   whatever folder the driver was started from.
+* ``spare`` and ``named`` keep working columns apart from a caller's columns,
+  whatever those are called.
+* ``join_groups`` joins rows to a fact about their group, however large a group is.
 """
 
 from __future__ import annotations
@@ -63,6 +66,45 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that ``df`` doesn't use, in any case of letters."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def must_be_free(df: DataFrame, *new: str) -> None:
+    """A clear error on the driver where an output column would clash with one of ``df``."""
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in new}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; rename them or choose other output names")
+
+
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` JOIN ``groups`` on ``keys`` (no NULLs; one row of ``groups`` a key, ``size`` its number of rows).
+
+    The ``HOT_GROUPS`` largest groups go by broadcast, which bounds its size; of
+    the others none has more than a thousandth of all rows, so the shuffle of
+    those has no hot key.  ``groups`` should be staged: it is read three times.
+    """
+    top = groups.orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
+    hot = rows.join(F.broadcast(top), keys)
+    cold = rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(groups, keys)
+    return hot.unionByName(cold)
+
+
 def fold_of(column: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (NULL for a NULL id)."""
     return F.crc32(column.cast("string")) % folds
@@ -78,13 +120,29 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, with dots or backticks too."""
+    names, new = df.columns, schema.names
+    if not any(c in name for name in (*names, *new) for c in ".`"):
+        return df.mapInArrow(run, schema)
+    plain = [f"c{i}" for i in range(len(new))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain)
+
+    out = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, out).toDF(*new)
+
+
 def per_text(df: DataFrame, make, columns: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add columns computed from each whole text; the other columns stay.
 
     ``make()`` runs once per task and returns ``f(texts) -> list of columns``
     for a list of texts (None for NULL).  Narrow: no shuffle.  ``columns`` is
-    the DDL of the new columns; ``df`` must not have columns of those names.
+    the DDL of the new columns; a clear error where ``df`` has one of those names.
     """
+    must_be_free(df if keep_text else df.drop(text), *schema_of(columns).names)
     kept = [i for i, c in enumerate(df.columns) if keep_text or c != text]
     out = T.StructType([*(df.schema.fields[i] for i in kept), *schema_of(columns).fields])
     new = [f.name for f in schema_of(columns).fields]
@@ -102,4 +160,4 @@ def per_text(df: DataFrame, make, columns: str, text: str = "text", keep_text: b
             yield pa.RecordBatch.from_arrays([*arrays, *made], schema=target)
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)

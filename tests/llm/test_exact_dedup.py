@@ -1,0 +1,94 @@
+"""Exact copies against brute force, whatever the size of the filter."""
+
+import hashlib
+
+import numpy as np
+import pytest
+
+from lodging.llm import exact_dedup as X
+from lodging.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def norm(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute(rows):
+    """(id, keep_id, group_size, kept, sha256) of (id, text); rows equal in both: one of them is kept."""
+    by = {}
+    for i, t in rows:
+        by.setdefault(norm(t), []).append(i)
+    out, taken = [], set()
+    for i, t in rows:
+        ids = by[norm(t)]
+        best = max((x for x in ids if x is not None), default=None)
+        first = i == best and norm(t) not in taken
+        if first:
+            taken.add(norm(t))
+        out.append((i, best, len(ids), first, hashlib.sha256(norm(t).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+ODD = [
+    (1, "One text"), (2, "one TEXT"), (2, "one TEXT"), (3, None), (4, ""), (None, ""), (5, "İ"), (6, "i̇"), (7, "Ä"), (8, "ä"),
+    (None, "no id"), (None, "No Id"), (9, "x" * 300_000), (10, "X" * 300_000), (11, "alone"), (12, " alone"),
+]
+
+
+@pytest.mark.parametrize("cells,max_cells", [(12, 1 << 28), (12, 4096), (1, 512)])
+def test_groups_equal_brute_force(spark, cells, max_cells):
+    rows = ODD + [(100 + i, f"text {i % 700}") for i in range(1000)] + [(5000 + i, "Hot") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(X.exact_groups(df, cells_per_row=cells, max_cells=max_cells)) == brute(rows)
+
+
+def test_given_documents(spark):
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    assert result(X.op12_exact_dedup(spark, SF)) == brute(rows)
+
+
+def test_drop_copies_keeps_columns(spark):
+    names = ["doc_id", "text", "digest", "TIE", "maybe", "n", "best", "a.b"]
+    rows = [(i, t, b"d", k, True, 1, "z", {"m": k}) for k, (i, t) in enumerate(ODD)]
+    kinds = ["long", "string", "binary", "int", "boolean", "int", "string", "map<string,int>"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))).repartition(3)
+    for max_cells in (1 << 20, 512):
+        got = X.drop_copies(df, max_cells=max_cells)
+        assert got.columns == names
+        have = [(r.doc_id, norm(r.text)) for r in got.collect()]
+        assert sorted(have, key=str) == sorted(((w[0], norm(t)) for w, t in {(b[1], b[4]): None for b in brute(ODD)}.items() for t in [next(x for i, x in ODD if hashlib.sha256(norm(x).encode()).hexdigest() == w[1])]), key=str)
+    again = X.drop_copies(df).collect()
+    assert sorted(map(str, again)) == sorted(map(str, X.drop_copies(df.repartition(4)).collect()))  # ties don't depend on the order
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, digest string")
+    assert X.exact_groups(none).collect() == [] and X.drop_copies(none).collect() == []
+
+
+def test_filter_passes_most_lone_rows_and_no_repeated_one(spark):
+    cells, slices = X.filter_size(20_000)
+    assert slices == 1 and X.filter_size(1 << 30) == (1 << 28, 48)
+    once, again = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
+    digests = [hashlib.sha256(b"%d" % i).digest() for i in range(20_000)]
+    at = X.cells_of(digests, cells, X.PROBES)
+    X.touch(once, again, at[:15_000])
+    X.touch(once, again, at[15_000:])
+    assert X.all_again(again, at).mean() < 0.01
+    X.touch(once, again, at[:100])
+    assert X.all_again(again, at[:100]).all()
+
+
+def test_only_rows_that_may_repeat_are_shuffled(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(900, "text 1")], "doc_id long, text string")
+    X.ship(spark)
+    rows, _ = X.stage(df.select("doc_id", X.digest_of(df.text).alias("digest")), "t")
+    flagged = X._may_repeat(rows, X.CELLS_PER_ROW, X.MAX_CELLS, X.PROBES)
+    assert 2 <= flagged.where("maybe").count() <= 12
+    assert "Exchange" not in X._flag(rows, "digest", "m", np.zeros(64, np.uint8), 512, 5)._jdf.queryExecution().toString()
