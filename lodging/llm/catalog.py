@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.llm import embed_dedup, fingerprints, language, packing, passages, quality, secrets, sentencepiece_codec, simhash, token_counts
+from lodging.llm import (
+    embed_dedup,
+    exact_dedup,
+    fingerprints,
+    language,
+    merkle,
+    packing,
+    passages,
+    quality,
+    secrets,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    vector_codes,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_simhash": simhash.op9_simhash,
         "op10_embeddings": embed_dedup.op10_embeddings,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -29,4 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_passages": passages.OP5_SQL,
         "op10_embeddings": embed_dedup.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
+        "op13_merkle": merkle.OP13_SQL,
     }
