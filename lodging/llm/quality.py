@@ -3,24 +3,30 @@
 Learns from trusted positives (rows marked 1) and unlabelled web text alone;
 rows marked 0 are unlabelled text like any other.
 
-* *Features* of a whole text: shares of character classes and of each ASCII
-  punctuation mark, of words that repeat the word before, of distinct words
-  and of words without a letter, word length and text length.
+* *Features* of a whole text.  Shape: shares of character classes and of each
+  ASCII punctuation mark, of words that repeat the word before, of distinct
+  words and of words without a letter, word length and text length.  Content:
+  shares of hashed words and of hashed character trigrams (A-Z in lower case).
+  Features are standardised over the unlabelled sample and clipped at
+  ``CLIP`` deviations, so no feature decides alone far off the sample.
 * *Sample.*  ``max_positive`` positives and ``max_unlabelled`` documents on
   average, taken by a hash of the id, are all that fitting looks at: the
   fit's size doesn't grow with the corpus.  Scores cover every row.
 * *Class prior* pi: a positive-against-unlabelled model is fitted on one half
-  of the sample; on the other half the share of unlabelled rows above a
+  of the sample (a row's own hash says which); on the other half the share of unlabelled rows above a
   threshold, divided by that of positives, is an upper bound of pi; the
   threshold whose bound (with its sampling error) is least gives the estimate.
-* *Risk* (logistic loss): ``pi * R+(P) + max(0, R-(U) - pi * R-(P))``.  While
-  the second part is below zero, the model is fitting noise in the positives,
-  and the step goes up its gradient instead.  Full batches from zero weights:
-  the same rows give the same model.
-
-Defined cases: NULL and empty texts have all-zero shares and get the score
-the model gives those; without positives or unlabelled rows nothing can be learned
-and every score is 0.5; a label row with a NULL id or mark counts for nothing
+* *Risk* (logistic loss): ``pi * R+(P) + max(0, R-(U) - pi * R-(P))`` plus a
+  ridge that shrinks with the sample.  While the second part is below zero the
+  model is fitting noise in the positives, and only the first part has a
+  gradient.  Full batches from zero weights at a falling rate, the weights of
+  the second half averaged: the same rows give the same model, and a few rows
+  more or less hardly move it.
+
+Defined cases: a text without a word (NULL, empty, white space) holds nothing
+to learn from: it is never in the sample, and its score is 0 whatever the model,
+so ``good_rows`` drops it; without positives or unlabelled rows nothing can be
+learned and every other score is 0.5; a label row with a NULL id or mark counts for nothing
 and a document with several label rows counts once, as positive if any row
 says 1; a document with a NULL id is scored but never learned from; other
 columns are ignored.
@@ -29,18 +35,26 @@ columns are ignored.
 from __future__ import annotations
 
 import operator
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import fold_of, per_text, table
+from lodging.llm.common import fold_of, named, per_text, spare, table
 
 MAX_POSITIVE = 12_000
 MAX_UNLABELLED = 24_000
 CUT = 0.3
 
+CLIP = 3.0
+LEAST_SCALE = 0.05  # a feature that hardly varies is not blown up
+WORD_BUCKETS = 256
+GRAM_BUCKETS = 256
+DECAY = 0.1  # over the square root of the number of unlabelled rows
+FEW_WORDS, FEW_BYTES = 20, 100  # added to a text's length in shares: a short one says little
+
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASSES = np.zeros((256, 6 + len(_PUNCTUATION)))
 _CLASSES[[*range(ord("a"), ord("z") + 1)], 0] = 1
@@ -51,31 +65,44 @@ _CLASSES[10, 4] = 1
 _CLASSES[128:, 5] = 1
 for _i, _b in enumerate(_PUNCTUATION):
     _CLASSES[_b, 6 + _i] = 1
-N_FEATURES = _CLASSES.shape[1] + 6
+N_SHAPE = _CLASSES.shape[1] + 6
+N_FEATURES = N_SHAPE + WORD_BUCKETS + GRAM_BUCKETS
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def grams(text: bytes) -> np.ndarray:
+    """How many character trigrams of a text fall in each bucket."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(GRAM_BUCKETS, np.int64)
+    mixed = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(0x9E3779B1)
+    return np.bincount((mixed >> np.uint32(16)) % np.uint32(GRAM_BUCKETS), minlength=GRAM_BUCKETS)
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Features of a UTF-8 text; shares enter as square roots, so that small ones show."""
+    """Features of a UTF-8 text; shares enter as square roots, so that small ones show.  All zero without a word."""
     text = text or b""
     words = text.split()
     n = len(words)
-    out = np.zeros(N_FEATURES)
+    out = np.zeros(N_FEATURES, np.float32)
+    if not n:
+        return out
     k = _CLASSES.shape[1]
-    out[:k] = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASSES / max(1, len(text))
-    if n:
-        out[k] = sum(map(operator.eq, words, words[1:])) / n
-        distinct = set(words)
-        out[k + 1] = 1.0 - len(distinct) / n  # grows with the length of any text
-        out[k + 2] = 1.0 if len(distinct) * 4 < n else 0.0
-        out[k + 3] = sum(w.isascii() and not any(map(_LETTERS.__contains__, w)) for w in distinct) / len(distinct)
-        out[k + 4] = min(1.0, (sum(map(len, words)) / n / 20.0) ** 2)
-        out[k + 5] = min(1.0, (np.log1p(n) / 16.0) ** 2)
+    out[:k] = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASSES / (len(text) + FEW_BYTES)
+    out[k] = sum(map(operator.eq, words, words[1:])) / (n + FEW_WORDS)
+    distinct = set(words)
+    out[k + 1] = 1.0 - len(distinct) / n  # grows with the length of any text
+    out[k + 2] = 1.0 if len(distinct) * 4 < n else 0.0
+    out[k + 3] = sum(w.isascii() and not any(map(_LETTERS.__contains__, w)) for w in distinct) / (len(distinct) + FEW_WORDS)
+    out[k + 4] = min(1.0, (sum(map(len, words)) / n / 20.0) ** 2)
+    out[k + 5] = min(1.0, (np.log1p(n) / 16.0) ** 2)
+    lower = text.lower()
+    hashed = np.fromiter(map(zlib.crc32, lower.split()), np.uint32, n) % np.uint32(WORD_BUCKETS)
+    out[N_SHAPE : N_SHAPE + WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / (n + FEW_WORDS)
+    out[N_SHAPE + WORD_BUCKETS :] = grams(lower) / (len(text) + FEW_BYTES)
     return np.sqrt(out)
 
 
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-
 def _log1pexp(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -96,36 +123,59 @@ class _Adam:
         return w - self.rate * m / (np.sqrt(v) + 1e-8)
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the bias) that minimise the non-negative PU risk."""
-    pos, unl = (np.hstack([x, np.ones((len(x), 1))]) for x in (pos, unl))
-    w, adam = np.zeros(pos.shape[1]), _Adam(pos.shape[1], rate)
-    for _ in range(steps):
+def _steps(grad, size: int, kind, steps: int, rate: float) -> np.ndarray:
+    """Adam from zero weights with a falling rate; the mean of the second half of the steps."""
+    w, adam, mean = np.zeros(size, kind), _Adam(size, rate), np.zeros(size)
+    for k in range(steps):
+        adam.rate = rate * (1.0 - k / steps)
+        w = adam.step(w, grad(w)).astype(kind)
+        if 2 * k >= steps:
+            mean += w
+    return mean / (steps - (steps + 1) // 2)
+
+
+def _with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), x.dtype)])
+
+
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float | None = None) -> np.ndarray:
+    """Weights (the last is the bias) that minimise the non-negative PU risk and ``decay`` times half their squares."""
+    decay = DECAY / np.sqrt(len(unl)) if decay is None else decay
+    pos, unl = _with_bias(pos), _with_bias(unl)
+
+    def grad(w: np.ndarray) -> np.ndarray:
         zp, zu = pos @ w, unl @ w
-        plus = -prior * _sigmoid(-zp) @ pos / len(pos)
-        minus = _sigmoid(zu) @ unl / len(unl) - prior * _sigmoid(zp) @ pos / len(pos)
-        risk = _log1pexp(zu).mean() - prior * _log1pexp(zp).mean()
-        shrink = decay * np.append(w[:-1], 0.0)
-        w = adam.step(w, plus + minus + shrink if risk >= 0 else -minus + shrink)
-    return w
+        out = decay * np.append(w[:-1], 0.0) - prior * _sigmoid(-zp) @ pos / len(pos)
+        if _log1pexp(zu).mean() >= prior * _log1pexp(zp).mean():
+            out += _sigmoid(zu) @ unl / len(unl) - prior * _sigmoid(zp) @ pos / len(pos)
+        return out
 
+    return _steps(grad, pos.shape[1], pos.dtype, steps, rate)
 
-def fit_against(pos: np.ndarray, unl: np.ndarray, steps: int = 300, rate: float = 0.05) -> np.ndarray:
+
+def fit_against(pos: np.ndarray, unl: np.ndarray, steps: int = 200, rate: float = 0.05) -> np.ndarray:
     """Weights of a logistic model that tells positives from unlabelled rows."""
-    pos, unl = (np.hstack([x, np.ones((len(x), 1))]) for x in (pos, unl))
-    w, adam = np.zeros(pos.shape[1]), _Adam(pos.shape[1], rate)
-    for _ in range(steps):
-        grad = _sigmoid(unl @ w) @ unl / len(unl) - _sigmoid(-(pos @ w)) @ pos / len(pos)
-        w = adam.step(w, grad + 1e-4 * np.append(w[:-1], 0.0))
-    return w
+    pos, unl = _with_bias(pos), _with_bias(unl)
+
+    def grad(w: np.ndarray) -> np.ndarray:
+        out = _sigmoid(unl @ w) @ unl / len(unl) - _sigmoid(-(pos @ w)) @ pos / len(pos)
+        return out + 0.01 * np.append(w[:-1], 0.0)
 
+    return _steps(grad, pos.shape[1], pos.dtype, steps, rate)
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+
+def halves(rows: np.ndarray) -> np.ndarray:
+    """Which rows are of the first half: decided by each row alone, whatever other rows there are."""
+    return np.array([zlib.crc32(r.tobytes()) & 1 for r in rows], np.int64) == 0
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1, first: tuple[np.ndarray, np.ndarray] | None = None) -> float:
     """The share of positives among unlabelled rows, by the best bound over thresholds."""
-    if len(pos) < 4 or len(unl) < 4:
+    p, u = first or (halves(pos), halves(unl))
+    if min(p.sum(), (~p).sum(), u.sum(), (~u).sum()) < 2:
         return 0.5
-    w = fit_against(pos[::2], unl[::2])
-    sp, su = (np.sort(x[1::2] @ w[:-1] + w[-1]) for x in (pos, unl))
+    w = fit_against(pos[p], unl[u])
+    sp, su = (np.sort(x @ w[:-1] + w[-1]) for x in (pos[~p], unl[~u]))
     cuts = np.unique(np.concatenate([sp, su]))
     qp = 1.0 - np.searchsorted(sp, cuts) / len(sp)
     qu = 1.0 - np.searchsorted(su, cuts) / len(su)
@@ -143,19 +193,26 @@ class Model:
     scale: np.ndarray | None = None
     prior: float = 0.5
 
+    def scaled(self, rows: np.ndarray) -> np.ndarray:
+        return np.clip((rows - self.mean) / self.scale, -CLIP, CLIP)
+
     def score(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of feature rows; 0 for a row of a text without a word."""
+        said = rows.any(axis=1)
         if self.weights is None:
-            return np.full(len(rows), 0.5)
-        return _sigmoid(((rows - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1])
+            return np.where(said, 0.5, 0.0)
+        return np.where(said, _sigmoid(self.scaled(rows) @ self.weights[:-1] + self.weights[-1]), 0.0)
 
 
 def fit_rows(pos: np.ndarray, unl: np.ndarray) -> Model:
+    pos, unl = (x[x.any(axis=1)].astype(np.float32) for x in (pos, unl))
     if not len(pos) or not len(unl):
         return Model(None)
+    first = halves(pos), halves(unl)
     mean = unl.mean(axis=0)
-    scale = np.maximum(unl.std(axis=0), 0.02)
-    pos, unl = (pos - mean) / scale, (unl - mean) / scale
-    prior = estimate_prior(pos, unl)
+    scale = np.maximum(unl.std(axis=0), LEAST_SCALE)
+    pos, unl = (np.clip((x - mean) / scale, -CLIP, CLIP) for x in (pos, unl))
+    prior = estimate_prior(pos, unl, first=first)
     return Model(fit_nnpu(pos, unl, prior), mean, scale, prior)
 
 
@@ -184,27 +241,31 @@ def fit(
     near = near.where(F.col("chance") < max(share_p, share_u))
     positive = trusted.where(_chance("id") < share_p).withColumn("trusted", F.lit(True))
     near = near.join(positive, "id", "left").where((F.col("chance") < share_u) | F.col("trusted"))
+    near = near.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0)
 
     def make():
-        return lambda texts: [[features(t).tolist() for t in texts]]
+        return lambda texts: [[features(t).tobytes() for t in texts]]
 
-    told = per_text(near.withColumn("text", F.col("text").cast("binary")), make, "f array<double>", keep_text=False)
-    found = told.select("f", "trusted", (F.col("chance") < share_u).alias("web")).toPandas()
-    x = np.array(found["f"].tolist()).reshape(len(found), N_FEATURES)
-    order = np.lexsort(x.T)  # the same rows in the same order, however Spark returns them
-    trusted_rows, web = found["trusted"].eq(True).to_numpy(), found["web"].to_numpy(dtype=bool)
-    return fit_rows(x[order][trusted_rows[order]], x[order][web[order]])
+    told = per_text(near.withColumn("text", F.col("text").cast("binary")), make, "f binary", keep_text=False)
+    found = told.select("f", "trusted", (F.col("chance") < share_u).alias("web")).toArrow()
+    packed = found.column("f").to_pylist()
+    x = np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), N_FEATURES)
+    # The same rows in the same order, however Spark returns them.
+    order = np.array(sorted(range(len(packed)), key=packed.__getitem__), np.int64)
+    trusted_rows = np.array([t is True for t in found.column("trusted").to_pylist()], bool)[order]
+    web = np.array(found.column("web").to_pylist(), bool)[order]
+    return fit_rows(x[order[trusted_rows]], x[order[web]])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` plus the score of each whole text, 0 to 1."""
 
     def make():
-        return lambda texts: [model.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES))]
+        return lambda texts: [model.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)).astype(np.float64)]
 
     kind = docs.schema[text].dataType
-    scored = per_text(docs.withColumn(text, F.col(text).cast("binary")), make, f"{column} double", text)
-    return scored.withColumn(text, F.col(text).cast(kind))
+    scored = per_text(docs.withColumn(text, named(text).cast("binary")), make, f"`{column}` double", text)
+    return scored.withColumn(text, named(text).cast(kind))
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
@@ -213,7 +274,8 @@ def good_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     Learns from the rows of ``docs`` whose fold is not held out (see ``op2_quality``).
     """
     model = fit(docs.where(~_held_out(id)), labels, id, text)
-    return score(docs, model, text, "__score").where(F.col("__score") >= cut).drop("__score")
+    (column,) = spare(docs, "score")
+    return score(docs, model, text, column).where(F.col(column) >= cut).drop(column)
 
 
 def _held_out(id: str) -> F.Column:

@@ -69,5 +69,13 @@ def test_run_equals_its_stages_and_odd_rows_pass(spark, tmp_path):
     for _, step in C.STAGES:
         empty = step(spark, docs.limit(0), SF)
         assert empty.count() == 0
-    by = {r.doc_id for r in got}
-    assert by & {10_000_001, 10_000_002}  # a NULL and an empty text are one group: one of them stays
+    # A text without a word scores 0, so the first stage drops it; the others follow their scores.
+    kept = {r.doc_id for r in C.keep_good(spark, docs, SF).collect()}
+    assert not kept & {10_000_001, 10_000_002}
+    assert {r.doc_id for r in got} <= kept
+    # The later stages take such rows: a NULL and an empty text are one group, and one of them stays to the end.
+    late = odd.withColumn("doc_id", odd["doc_id"] + 10_000_000).unionByName(docs.limit(20))
+    for name, step in C.STAGES[1:]:
+        late = step(spark, late, SF)
+    ids = [r.doc_id for r in late.collect()]
+    assert 10_000_001 in ids and 10_000_002 not in ids and 10_000_003 in ids and None in ids

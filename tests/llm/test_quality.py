@@ -36,8 +36,47 @@ def test_prior_and_risk_on_known_data():
         assert ok[:n].mean() > 0.93 and ok[n:].mean() < 0.07
 
 
-def test_nothing_to_learn_from_gives_one_half():
-    assert Q.fit_rows(np.zeros((0, Q.N_FEATURES)), np.ones((5, Q.N_FEATURES))).score(np.ones((2, Q.N_FEATURES))).tolist() == [0.5, 0.5]
+def test_nothing_to_learn_from_gives_one_half_and_no_word_gives_zero():
+    blank = Q.fit_rows(np.zeros((0, Q.N_FEATURES)), np.ones((5, Q.N_FEATURES)))
+    assert blank.score(np.vstack([np.ones((2, Q.N_FEATURES)), np.zeros((1, Q.N_FEATURES))])).tolist() == [0.5, 0.5, 0.0]
+    r = np.random.default_rng(1)
+    fitted = Q.fit_rows(r.random((50, Q.N_FEATURES)), r.random((80, Q.N_FEATURES)))
+    assert fitted.score(np.array([Q.features(t) for t in (None, b"", b" \n\t ")])).tolist() == [0.0, 0.0, 0.0]
+
+
+def sample(spark, sf):
+    """(features, quality or -1, held out) of all documents."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", "quality").collect()
+    x = np.array([Q.features((r.text or "").encode()) for r in docs])
+    marks = np.array([-1 if r.quality is None else r.quality for r in docs])
+    return x, marks, np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs])
+
+
+def test_content_features_alone_classify_and_scores_are_stable(spark):
+    """Held-out accuracy without the shape features; decisions on perturbed samples."""
+    x, marks, held = sample(spark, SF)
+    content = x[:, Q.N_SHAPE :]
+    told = Q.fit_rows(content[(marks == 1) & ~held], content[~held]).score(content) >= Q.CUT
+    seen = held & (marks >= 0)
+    assert (told == (marks == 1))[seen].mean() >= 0.9
+    before = Q.fit_rows(x[(marks == 1) & ~held], x[~held]).score(x)
+    for seed in range(3):
+        some = np.random.default_rng(seed).random(len(x)) < 0.8
+        after = Q.fit_rows(x[(marks == 1) & ~held & some], x[~held & some]).score(x)
+        assert ((before >= Q.CUT) != (after >= Q.CUT)).mean() <= 0.02 and abs(before - after).mean() <= 0.05
+
+
+def test_odd_rows_leave_other_decisions_unchanged(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    odd = spark.createDataFrame(
+        [(1, None, None, None, None), (2, "", "en", None, 0), (None, "Some words of no id at all.", None, "s", 27), (2, "", "en", None, 0), (3, "token = abcdefgh1", "en", "s", 17)],
+        docs.schema,
+    )
+    more = docs.unionByName(odd.withColumn("doc_id", odd["doc_id"] + 10_000_000))
+    before = {r.doc_id for r in Q.good_rows(docs, labels).select("doc_id").collect()}
+    after = {r.doc_id for r in Q.good_rows(more, labels).select("doc_id").collect()}
+    assert {i for i in after if i is not None and i < 10_000_000} == before
+    assert not after & {10_000_001, 10_000_002}  # no word: score 0
 
 
 def test_the_sample_is_bounded_and_zero_marks_are_never_read(spark):
@@ -61,6 +100,7 @@ def test_odd_rows_and_kept_rows(spark, tmp_path):
     kept = Q.good_rows(docs, labels)
     assert kept.columns == docs.columns
     assert kept.where("doc_id = -3").count() == 0
+    assert kept.where("doc_id IN (-1, -2)").count() == 0
     truth = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     left = {r.doc_id for r in kept.select("doc_id").collect()}
     assert sum(q == 1 and i not in left for i, q in truth.items()) <= 2
