@@ -31,6 +31,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import zlib
@@ -68,6 +69,35 @@ def _byte_level() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# What the shortcut below was written for: any other file's texts go through its tokenizer whole.  Fixed values.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def word_by_word(file: dict) -> bool:
+    """Whether a tokenizer file's texts are the sum of their words, as ``Encoder`` takes them."""
+    model = file.get("model") or {}
+    plain = all(not t.get(k) for t in file.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    plain &= all(not any(c.isspace() for c in t["content"]) for t in file.get("added_tokens") or [])
+    return (
+        file.get("normalizer") == _NORMALIZER
+        and file.get("pre_tokenizer") == _PRE_TOKENIZER
+        and file.get("truncation") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and plain
+    )
+
+
 _ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -77,7 +107,9 @@ class Encoder:
     White space ends a word for this tokenizer, so a text's ids are those of
     its words put together.  A word of Latin letters is one unit of the BPE
     model, and so are the marks that follow it; any other word goes through
-    the whole tokenizer.
+    the whole tokenizer.  What is remembered never changes an id: a word's ids
+    are the same in a fresh worker.  Of a file for which this doesn't hold
+    (``word_by_word``) each whole text goes through the tokenizer.
     """
 
     MARKS = b".,!?;:"
@@ -87,14 +119,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_word = word_by_word(json.load(file))
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = _byte_level()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
 
+    def encode(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return b"".join([self.packed[i] for i in ids])
+
     def whole(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return self.remember(word, b"".join([self.packed[i] for i in ids]))
+        return self.remember(word, self.encode(word))
 
     def remember(self, word: bytes, ids: bytes) -> bytes:
         if len(self.words) >= WORD_CACHE:
@@ -125,8 +164,9 @@ class Encoder:
             return self.letters(word) or self.whole(word)
         if not head:
             return self.whole(word)
-        ids = self.words.get(head) if self.letter_end(head) else None
-        ids = ids or self.letters(head)
+        if not self.letter_end(head):
+            return self.whole(word)
+        ids = self.words.get(head) or self.letters(head)
         if ids is None:
             return self.whole(word)
         tail = word[len(head) :]
@@ -134,12 +174,14 @@ class Encoder:
 
     @staticmethod
     def letter_end(word: bytes) -> bool:
-        """Marks after this word start a unit of their own."""
+        """Marks after this word start a unit of their own: as the model sees it, in small letters, it ends in a letter or digit."""
         last = word[-1]
-        return last in _ALNUM if last < 128 else word.decode()[-1].isalpha()
+        return last in _ALNUM if last < 128 else word.decode()[-1].lower()[-1].isalpha()
 
     def __call__(self, text: bytes | None) -> bytes:
         text = text or b""
+        if not self.by_word:
+            return self.encode(text)
         if b"\xcc" not in text and b"\xcd" not in text:  # no combining marks: small letters first change nothing
             text = text.lower()
         words = text.split()

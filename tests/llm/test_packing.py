@@ -146,3 +146,36 @@ def test_packings_survive_migration():
     q = K._as_packing(row["bins"], row["sizes"])
     assert [sorted(b) for b in q.bins] == [sorted(b) for b in p.bins] and q.loads == p.loads
     assert K._as_packing(np.zeros(0, np.int32), np.zeros(0, np.int64)).bins == []
+
+
+def test_ids_never_depend_on_what_was_seen_before():
+    """Letters whose small form is several characters, and many others, before marks: fresh and warm memories alike."""
+    tokenizer = Tokenizer.from_file(K.word_bpe())
+    several = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and len(chr(i).lower()) > 1]
+    assert "\u0130" in several
+    rng = random.Random(5)
+    letters = several * 30 + [chr(i) for i in range(0x41, 0x250) if chr(i).isalpha()] + list("\u03a3\u0391\u0300\u0307'1-_\u00b5\u1e9e\ufb01\u212b\u0149")
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    marked = [w + "".join(rng.choice(".,!?;:") for _ in range(rng.randint(0, 3))) for w in words for _ in range(2)]
+    texts = ["BELED\u0130YES\u0130, TAKS\u0130.", *(" ".join(rng.sample(marked, 4)) for _ in range(1500))]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    warm = K.Encoder(K.word_bpe())
+    for t in ["BELED\u0130YES\u0130 TAKS\u0130", *words, *marked]:
+        warm(t.encode())
+    assert [warm(t.encode()) for t in texts] == want
+    assert len(np.frombuffer(want[0], "<u4")) == 14
+    for t, ids in list(zip(texts, want))[:60]:
+        fresh = K.Encoder.__new__(K.Encoder)
+        fresh.__dict__.update({**warm.__dict__, "words": {}})
+        assert fresh(t.encode()) == ids
+
+
+def test_another_tokenizer_file_gives_its_own_ids():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    encode = K.Encoder(path)
+    assert not encode.by_word and K.Encoder(K.word_bpe()).by_word
+    for t in filter(None, ODD):
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
