@@ -1,6 +1,9 @@
 """Encoding, decoding and counting against the sentencepiece library and brute force."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -183,3 +186,45 @@ def test_queries_on_odd_and_whole_tables(spark, tmp_path, codec):
     assert all(r.decoded == (r.text or "") for r in back.collect() if "▁" not in (r.text or ""))
     docs.limit(0).write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert C.op8_sentencepiece(spark, str(tmp_path / "e")).count() == N.op4_token_counts(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_the_trie_shares_prefixes_and_takes_long_runs_in_parts(codec, monkeypatch):
+    rng = random.Random(4)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(9000))
+    texts = [" " + run, " " + run[:5000] + "xyz", " " + run[:5000], " " + run[5:], " é" * 40, " a", " ab", " abc", " abd", " b"]
+    counter = N.Counter(codec.vocabulary)
+    root = counter.insert(texts)
+    nodes, todo = [], [root]
+    while todo:
+        nodes.append(todo.pop())
+        todo += nodes[-1].below
+    assert len(nodes) <= 2 * len(texts) + 1
+    want = {t: len(codec.viterbi(t.replace(" ", "▁").encode())) for t in texts}
+    assert dict(counter.walk(root)) == want
+    for run_length in (1, 7, 4999):
+        monkeypatch.setattr(N, "_RUN", run_length)
+        assert dict(counter.walk(counter.insert(texts))) == want
+    steps = []
+    plain = counter.forward
+    monkeypatch.setattr(counter, "forward", lambda tail, part, *a: steps.append(len(part)) or plain(tail, part, *a))
+    dict(counter.walk(counter.insert([" " + run, " " + run[:8999]])))
+    assert sum(steps) == 9001  # one step a shared prefix
+
+
+def test_a_long_run_without_spaces_needs_little_memory():
+    """Beyond the text itself: some bytes a character would be 20 MB and more here."""
+    code = (
+        "import random, resource\n"
+        "from lodging.llm import token_counts as N\n"
+        "from lodging.llm.pieces import piece_model, read\n"
+        "c = N.Counter(read(piece_model()))\n"
+        "t = ''.join(random.Random(1).choices('abcdefghijklmnopqrstuvwxyz', k=1_000_000))\n"
+        "c(['warm up ' + t[:1000]])\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "c([t])\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, sum(map(len, c.known)))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": root})
+    grown, remembered = map(int, out.stdout.split())
+    assert grown < 40 and remembered < 1000
