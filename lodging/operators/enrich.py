@@ -1,8 +1,9 @@
 """Row-level enrichment: rooms sold, revenue and the five categories.
 
 All of it is narrow: after the two broadcast lookup joins each output row
-depends on one booking only, so the whole enrichment is one stage with no
-shuffle, fused by whole-stage codegen.
+depends on one booking only, so the whole enrichment runs in one stage with no
+shuffle.  The wide export's rules get a generated method of their own
+(``own_method``), apart from the joins'.
 """
 
 from __future__ import annotations
@@ -17,6 +18,22 @@ from lodging.schema import BOOKING_COLUMNS, DERIVED_COLUMNS
 MONEY_COLUMNS = ("adr", "Discount", "Cost", "revenue")
 
 
+ALL_PARTITIONS = 2**31 - 1
+
+
+def own_method(df: DataFrame) -> DataFrame:
+    """What follows is computed in a generated method of its own.
+
+    Whole-stage codegen fuses narrow operators into one method.  HotSpot
+    doesn't compile a method of over 8,000 bytes of bytecode (or, told to,
+    compiles it badly), and the joins with the 41-column export make one of up
+    to 13,000.  ``coalesce`` to more partitions than there can be moves no row
+    and merges none (where blocks have preferred hosts it may pair up a few),
+    lets filters and column pruning through, and ends the method.
+    """
+    return df.coalesce(ALL_PARTITIONS)
+
+
 def with_rooms(df: DataFrame, as_written: bool = False) -> DataFrame:
     rooms = rules.rooms_sold_as_written() if as_written else rules.rooms_sold()
     return df.withColumn("Number_of_Rooms_Sold", rooms)
@@ -63,7 +80,8 @@ def enrich(bookings: DataFrame, segments: DataFrame, meals: DataFrame, as_writte
     """
     joined = with_lookups(bookings, segments, meals)
     return (
-        joined.transform(with_rooms)
+        joined.transform(own_method)
+        .transform(with_rooms)
         .transform(with_revenue)
         .transform(with_categories)
         .select(*_export_columns(as_written))

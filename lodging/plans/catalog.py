@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodging.plans import questions, statements
+from lodging.plans import questions, roundtrips, statements
 from lodging.plans.inputs import Inputs, from_testdata
 
 # The original's yearly tables.
@@ -83,6 +83,16 @@ def analyses(years: Iterable[int] = YEARS) -> dict[str, Callable[[Inputs], DataF
     return out
 
 
+#: Ways in and out, over what Spark wrote from ``orders``.
+ROUND_TRIPS: dict[str, Query] = {
+    "csv_sheets_ingested": roundtrips.csv_sheets_ingested,
+    "lookup_sheets_joined": roundtrips.lookup_sheets_joined,
+    "named_tables_joined": roundtrips.named_tables_joined,
+    "export_written": roundtrips.export_written,
+    "export_streamed": roundtrips.export_streamed,
+}
+
+
 def queries() -> dict[str, Query]:
-    """Every analysis bound to the booking tables derived under ``sf_dir``."""
-    return {name: _on_testdata(fn) for name, fn in analyses().items()}
+    """Every analysis bound to the booking tables derived under ``sf_dir``, and the round trips."""
+    return {name: _on_testdata(fn) for name, fn in analyses().items()} | ROUND_TRIPS

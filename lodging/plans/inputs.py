@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.operators.consolidate import with_lookups
+from lodging.operators.consolidate import consolidate, with_lookups
 from lodging.operators.enrich import enrich, with_revenue, with_rooms
 from lodging.schema import MARKET_SEGMENT, MEAL_COST
 from lodging.sources import files, testdata
@@ -34,10 +34,12 @@ class Inputs:
         years: Callable[[], list[int | None]],
         year_table: Callable[[int | None], DataFrame],
         without_segment: Callable[[], DataFrame] | None = None,
+        consolidated: Callable[[list[int | None]], DataFrame] | None = None,
     ) -> None:
         self._bookings, self._segments, self._meals = bookings, segments, meals
         self._years = years
         self._without_segment = without_segment or (lambda: self.bookings)
+        self._consolidated = consolidated or (lambda years: consolidate(self.yearly().values()))
         self.year_table = year_table  # one yearly table
 
     @cached_property
@@ -60,6 +62,11 @@ class Inputs:
         """Bookings for analyses that don't use the market segment, which may cost a join to get."""
         return self._without_segment()
 
+    @cached_property
+    def consolidated(self) -> DataFrame:
+        """UNION ALL of the yearly tables."""
+        return self._consolidated(self.years)
+
     @cached_property
     def years(self) -> list[int | None]:
         """Arrival years there are tables for; None stands for bookings without a year."""
@@ -117,6 +124,7 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Inputs:
         years=lambda: testdata.years(spark, sf_dir),
         year_table=lambda y: testdata.bookings_of(spark, sf_dir, y),
         without_segment=lambda: testdata.bookings_without_segment(spark, sf_dir),
+        consolidated=lambda years: testdata.bookings_of_years(spark, sf_dir, years),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodging.functions import rules
 from lodging.operators.aggregates import sum_by, window_total
-from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY, consolidate
+from lodging.operators.consolidate import MEAL_KEY, SEGMENT_KEY
 from lodging.operators.enrich import money_as_double, with_rooms
 from lodging.plans.inputs import Inputs
 from lodging.schema import BOOKING_COLUMNS
@@ -63,7 +63,7 @@ def scan_bookings(inp: Inputs, year: int) -> DataFrame:
 
 def union_bookings(inp: Inputs) -> DataFrame:
     """UNION ALL of the yearly tables."""
-    return money_as_double(consolidate(inp.yearly().values()))
+    return money_as_double(inp.consolidated)
 
 
 def baseline_join(inp: Inputs) -> DataFrame:

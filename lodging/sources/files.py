@@ -59,15 +59,21 @@ def typed_from_text(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, same_header: bool = False) -> DataFrame:
     """Header CSV, columns matched by each file's own header, every value read as
     text and then typed by ``schema``.  Column order may differ from file to
     file, extra columns are ignored, and a missing column fails the read.
 
     Spark reads a list or folder of CSV files by the first file's header, so
     files are read in groups of equal headers (one look at each file's first
-    line: sheets are few) and the groups are united by name.
+    line: sheets are few) and the groups are united by name.  For folders of many
+    files that one job wrote, ``same_header=True`` looks at none from the driver:
+    every file must list the columns of ``schema`` in order, and each task checks
+    the header of the file it reads.
     """
+    if same_header:
+        raw = spark.read.schema(text_schema(schema)).option("header", True).option("enforceSchema", False)
+        return typed_from_text(raw.csv(path if isinstance(path, str) else list(path)), schema)
     paths = [path] if isinstance(path, str) else list(path)
     groups: dict[tuple[str, ...], list[str]] = {}
     for file in sorted(f for p in paths for f in spark.read.text(p).inputFiles()):
@@ -89,9 +95,11 @@ def _named(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_yearly_csv(spark: SparkSession, paths: Mapping[int, str | Sequence[str]]) -> dict[int, DataFrame]:
-    """One booking table per year, e.g. ``{2018: '.../2018.csv', 2019: ['a.csv', 'b.csv']}``."""
-    return {year: read_csv(spark, path, BOOKINGS) for year, path in paths.items()}
+def read_yearly_csv(
+    spark: SparkSession, paths: Mapping[int, str | Sequence[str]], same_header: bool = False
+) -> dict[int, DataFrame]:
+    """One booking table per year, e.g. ``{2018: '.../2018.csv', 2019: ['a.csv', 'b.csv']}``; see ``read_csv``."""
+    return {year: read_csv(spark, path, BOOKINGS, same_header) for year, path in paths.items()}
 
 
 def check_years(tables: Mapping[int, DataFrame]) -> None:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodging.functions.rules import MONTH_NAMES, reused
+from lodging.operators.consolidate import consolidate
 from lodging.sources.fixture_values import (
     CHANNELS,
     COUNTRIES,
@@ -163,6 +164,19 @@ def bookings_of(spark: SparkSession, sf_dir: str, year: int | None) -> DataFrame
     return bookings_from(of_year(_orders(spark, sf_dir), year), _customers(spark, sf_dir))
 
 
+def bookings_of_years(spark: SparkSession, sf_dir: str, years: list[int | None]) -> DataFrame:
+    """UNION ALL of the yearly booking tables.
+
+    The orders of the years are united first and joined with ``customer`` once:
+    a union of joins with the same table is the join of the union, row by row,
+    and reads ``customer`` once instead of once a year.
+    """
+    orders = _orders(spark, sf_dir)
+    parts = [of_year(orders, y) for y in years]
+    united = consolidate(parts) if parts else orders.limit(0)
+    return bookings_from(united, _customers(spark, sf_dir))
+
+
 def bookings_without_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bookings without their market segment: no join with ``customer`` (whose key is unique)."""
     columns = [c for c, name in zip(_booking_columns(), BOOKING_COLUMNS) if name != "market_segment"]

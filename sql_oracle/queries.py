@@ -269,4 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "100.0 * CAST(bookings_with_parking AS DOUBLE) / CAST(count_of_reservations_made AS DOUBLE) END "
         "AS parking_percentage FROM counts"
     )
+    # Ways in and out give back what went in; bookings without a date are on no yearly sheet.
+    q["csv_sheets_ingested"] = _q(f"SELECT {BOOKING_COLS} FROM bookings WHERE arrival_date_year IS NOT NULL")
+    q["lookup_sheets_joined"] = q["named_tables_joined"] = q["baseline_join"]
+    q["export_written"] = q["export_streamed"] = q["bookings_enriched"]
     return q

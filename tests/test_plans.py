@@ -8,6 +8,7 @@ import io
 import pytest
 from conftest import SF_CHECK
 
+from lodging.operators.enrich import own_method
 from lodging.plans import catalog
 from lodging.plans.inputs import from_parquet, from_table, from_testdata
 from lodging.plans.statements import revenue_by_year
@@ -196,3 +197,46 @@ def test_hot_customer_key_is_split_by_skew_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def method_sizes(spark, df) -> list[int]:
+    """Bytes of bytecode of the largest method of each code-generation stage of a plan."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+
+
+@pytest.fixture
+def static_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_every_generated_method_is_small_enough_to_be_compiled(spark, table, static_plans):
+    """HotSpot compiles no method over 8000 bytes (without a flag that clusters may not have)."""
+    for name, fn in A.items():
+        for inputs in (from_testdata(spark, SF_CHECK), table):
+            sizes = method_sizes(spark, fn(inputs))
+            assert sizes and max(sizes) < 8000, (name, sizes)
+
+
+def test_the_export_stage_moves_no_row_and_reads_only_what_is_used(spark):
+    enriched = from_testdata(spark, SF_CHECK).enriched
+    assert "Exchange hashpartitioning" not in formatted(enriched) and "RoundRobin" not in formatted(enriched)
+    assert "ReadSchema: struct<o_custkey:bigint" in formatted(enriched.select("country", "region"))
+    assert "o_totalprice" not in formatted(enriched.select("country", "region")).split("ReadSchema")[1].split("\n")[0]
+    spread = testdata.bookings(spark, SF_CHECK).repartition(7)
+    assert own_method(spread).rdd.getNumPartitions() == 7
+
+
+def test_filters_pass_the_export_stage(table):
+    text = formatted(table.enriched.where("arrival_date_year = 2018 AND is_canceled = 1"))
+    assert "PartitionFilters: [isnotnull(arrival_date_year" in text
+    assert "PushedFilters: [IsNotNull(is_canceled), EqualTo(is_canceled,1)" in text
+
+
+def test_the_union_of_the_years_reads_customer_once(spark):
+    text = formatted(Q["union_bookings"](spark, SF_CHECK)).split("(1) Scan")[1]
+    assert text.count("customer.parquet") == 1
+    assert text.count("orders.parquet") == len(from_testdata(spark, SF_CHECK).years)
