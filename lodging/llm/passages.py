@@ -7,13 +7,16 @@ in a document with a smaller id; windows are judged on the input.
 1. *Copies.*  Documents with the same whole word sequence are one class; all
    but the one with the smallest id lose every word (if they have a window at
    all), and only that one goes on.
-2. *First length* ``min_words / 2**levels``.  Windows of this length are
-   hashed, and in every window of the next length the one with the smallest
-   hash is an anchor: equal windows have equal anchors, so looking at anchors
-   alone (about one word in thirteen) misses nothing.
+2. *First length* (``min_words`` halved ``levels`` times).  In every window of
+   ``min_words`` words the short window with the smallest hash is its anchor: equal
+   windows have equal anchors, so counting anchors alone (about one word in
+   twenty) misses nothing.
 3. *Doubling.*  Windows that repeat in another document at one length alone are
-   extended to twice that length, hashed anew (128 bits), and counted again;
-   the rest are out.  It ends at ``min_words`` or when no candidate survives.
+   extended to twice that length (to the right, or as far left as the window of
+   ``min_words`` words that they belong to needs), hashed anew (128 bits), and
+   counted again; the rest are out.  So every window that is counted at one
+   length holds one that repeated at the length before.  It ends at
+   ``min_words`` or when no candidate survives.
 4. Windows of the last length whose smallest document differs from their own
    mark the words to remove.
 
@@ -40,10 +43,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import discard, per_text, ship, stage, table
+from lodging.llm.common import discard, named, per_text, ship, spare, stage, table
 
 MIN_WORDS = 50
-LEVELS = 1
+LEVELS = 2
 
 # Odd multipliers of the two window hashes.  Fixed values.
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -95,23 +98,34 @@ def lengths(min_words: int, levels: int) -> list[int]:
     return [-(-min_words // 2**k) for k in range(levels, -1, -1)]
 
 
-def candidates(hashes: np.ndarray, short: int, long: int, marks: np.ndarray, anchored: bool) -> np.ndarray:
-    """Starts of the windows of ``long`` words whose ``short`` windows (anchored: whose anchor) repeat.
+def chain(hashes: np.ndarray, steps: list[int], level: int) -> np.ndarray:
+    """For each window of the last length: where the window of length ``steps[level]`` starts that it grew from.
 
-    ``marks`` are positions of short windows that repeat (one for each of
-    equal ones); ``anchored``: only anchors were looked at.
+    The first is its anchor; each next one holds the one before, and all lie in
+    the window itself, so equal windows have equal chains.
     """
-    if len(hashes) < long:
+    whole = steps[-1]
+    n = len(hashes) - whole + 1
+    if n < 1:
         return np.zeros(0, np.int64)
-    h = window_hashes(hashes, short)
-    known = h[marks]
-    n, extra = len(hashes) - long + 1, long - short
-    if not anchored:
-        repeated = np.isin(h, known)
-        return np.flatnonzero(repeated[:n] & repeated[extra : extra + n])
-    # A window's own anchor: other anchors in it may owe their place to words around the window.
-    own = sliding_window_view(h, extra + 1).argmin(axis=1) + np.arange(n)
-    return np.flatnonzero(np.isin(h[own], known))
+    at = np.arange(n)
+    start = sliding_window_view(window_hashes(hashes, steps[0]), whole - steps[0] + 1).argmin(axis=1) + at
+    for length in steps[1 : level + 1]:
+        start = np.minimum(start, at + whole - length)
+    return start
+
+
+def extended(hashes: np.ndarray, steps: list[int], level: int, marks: np.ndarray) -> np.ndarray:
+    """Starts of the windows of the next length that grow from windows of length ``steps[level]`` that repeat.
+
+    ``marks`` are positions of those (one for each of equal ones).
+    """
+    start = chain(hashes, steps, level)
+    if not len(start):
+        return start
+    h = window_hashes(hashes, steps[level])
+    alive = np.isin(h[start], h[marks])
+    return np.unique(chain(hashes, steps, level + 1)[alive])
 
 
 def remove(words: list[bytes], length: int, marks: np.ndarray) -> list[bytes]:
@@ -125,7 +139,7 @@ def remove(words: list[bytes], length: int, marks: np.ndarray) -> list[bytes]:
     return [w for w, c in zip(words, covered.tolist()) if not c]
 
 
-def _first(min_words: int, short: int, long: int):
+def _first(min_words: int, short: int):
     """Per text: its number of words, digests of its word sequence, and its anchors."""
 
     def make():
@@ -143,7 +157,7 @@ def _first(min_words: int, short: int, long: int):
                     found.append(None)
                     continue
                 h = window_hashes(word_hashes(words), short)
-                at = anchors(h, long - short + 1)
+                at = anchors(h, min_words - short + 1)
                 values, first = np.unique(h[at], return_index=True)
                 found.append([{"h": a, "at": b} for a, b in zip(values.view(np.int64).tolist(), at[first].tolist())])
             return [count, s1, s2, sha, found]
@@ -153,8 +167,9 @@ def _first(min_words: int, short: int, long: int):
     return make
 
 
-def _windows(carried: DataFrame, short: int, long: int, anchored: bool) -> DataFrame:
-    """(id, key, text, marks) -> one row (h1, h2, id, key, at) per distinct candidate window of a document."""
+def _windows(carried: DataFrame, steps: list[int], level: int) -> DataFrame:
+    """(id, key, text, marks) -> one row (h1, h2, id, key, at) per distinct window of a document that grows from a marked one."""
+    long = steps[level + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
@@ -162,7 +177,7 @@ def _windows(carried: DataFrame, short: int, long: int, anchored: bool) -> DataF
             rows, h1, h2, places = [], [], [], []
             for i, (t, m) in enumerate(zip(texts, marks)):
                 hashes = word_hashes(t.split())
-                at = candidates(hashes, short, long, np.array(m, np.int64), anchored)
+                at = extended(hashes, steps, level, np.array(m, np.int64))
                 a, first = np.unique(window_hashes(hashes, long)[at], return_index=True)
                 places.append(at[first])
                 h1.append(a)
@@ -196,7 +211,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LEVELS) -
     steps = lengths(min_words, levels)
     keyed = docs.select("id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     first = "n_words long, s1 long, s2 long, sha string, anchors array<struct<h:long,at:int>>"
-    told, _ = stage(per_text(keyed, _first(min_words, steps[0], steps[1]), first, keep_text=False), "words")
+    told, _ = stage(per_text(keyed, _first(min_words, steps[0]), first, keep_text=False), "words")
 
     sequence = ["s1", "s2", "n_words"]
     long_enough = told.where((F.col("n_words") >= min_words) & F.col("id").isNotNull())
@@ -212,8 +227,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LEVELS) -
     repeated = seen.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
     marks = seen.join(repeated, "h").groupBy("id", "key").agg(F.collect_list("at").alias("marks"))
     carried, path = stage(keyed.join(marks, ["id", "key"]).dropDuplicates(["id", "key"]), "carried")
-    for k, (short, long) in enumerate(zip(steps, steps[1:])):
-        windows, used = stage(_windows(carried, short, long, k == 0), "windows")
+    for level, long in enumerate(steps[1:]):
+        windows, used = stage(_windows(carried, steps, level), "windows")
         counted = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
         hits = windows.join(counted, ["h1", "h2"])
         if long == min_words:
@@ -252,14 +267,15 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     empty text if none is left); any other text, NULL too, stays as it is.
     Rows, columns and their order stay.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(named(id).cast("long").alias("id"), named(text).alias("text"))
     documents, changed = repeats(rows, min_words)
     copied = documents.where("copied").select("id", "key", F.lit("").alias("kept"))
     new = changed.select("id", "key", F.col("kept").cast("string").alias("kept")).unionByName(copied.distinct())
-    new = new.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    same = (F.col(id).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key"))
-    out = docs.join(new, same, "left").withColumn(text, F.coalesce("__kept", F.col(text)))
-    return out.drop("__id", "__key", "__kept")
+    i, k, t = spare(docs, "id", "key", "kept")
+    new = new.select(F.col("id").alias(i), F.col("key").alias(k), F.col("kept").alias(t))
+    same = (named(id).cast("long") == F.col(i)) & (F.xxhash64(named(text)) == F.col(k))
+    out = docs.join(new, same, "left")
+    return out.select(*(F.coalesce(F.col(t), named(c)).alias(c) if c == text else named(c) for c in docs.columns))
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,10 +62,26 @@ def test_windows_and_anchors():
         assert len(set(got.tolist())) == len(set(keys)) == len(set(zip(got.tolist(), keys)))
     at = P.anchors(h, 26)
     assert all(any(s <= a < s + 26 for a in at) for s in range(len(h) - 25))
-    assert P.lengths(50, 1) == [25, 50] and P.lengths(50, 2) == [13, 25, 50]
-
-
-@pytest.mark.parametrize("levels", [1, 2])
+    assert P.lengths(50, 1) == [25, 50] and P.lengths(50, P.LEVELS) == [13, 25, 50] and P.lengths(50, 3) == [7, 13, 25, 50]
+
+
+def test_every_window_grows_from_a_repeated_one_within_the_same_window():
+    r = np.random.default_rng(2)
+    h, steps = r.integers(0, 9, 500).astype(np.uint64), [7, 13, 25, 50]
+    chains = [P.chain(h, steps, k) for k in range(4)]
+    assert (chains[3] == np.arange(451)).all()
+    for (a, b), (m, n) in zip(zip(chains, chains[1:]), zip(steps, steps[1:])):
+        assert (b <= a).all() and (a + m <= b + n).all()  # the longer one holds the shorter one
+    by = {}
+    for w in range(451):  # equal windows have equal chains
+        assert by.setdefault(h[w : w + 50].tobytes(), tuple(int(c[w]) - w for c in chains)) == tuple(int(c[w]) - w for c in chains)
+    marks = chains[1][[3, 200]]
+    again = np.isin(P.window_hashes(h, 13)[chains[1]], P.window_hashes(h, 13)[marks])
+    assert P.extended(h, steps, 1, marks).tolist() == sorted(set(chains[2][again].tolist()))
+    assert len(P.extended(h, steps, 1, np.zeros(0, np.int64))) == 0
+
+
+@pytest.mark.parametrize("levels", [1, P.LEVELS, 3])
 def test_repeats_equal_brute_force(spark, levels):
     rows = corpus()
     want = brute(rows)
@@ -99,6 +115,17 @@ def test_without_repeats_keeps_rows_and_columns(spark):
     assert P.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_other_columns_may_have_any_name(spark):
+    rows = corpus(seed=9, n=20)
+    docs = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], "text string, doc_id long, id string, Kept int")
+    docs = docs.selectExpr("*", "1 AS __key", "2 AS __kept", "3 AS `a.b`", "4 AS key", "5 AS __id")
+    out = P.without_repeats(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    plain = P.without_repeats(docs.select("doc_id", "text")).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, out.select("doc_id", "text").collect()))
+    assert {(r["a.b"], r["__key"]) for r in out.collect()} == {(3, 1)}
+
+
 def test_op5_whole_table(spark):
     docs = [(d.doc_id, d.text) for d in table(spark, SF, "documents").select("doc_id", "text").collect()]
     want = brute(docs)
