@@ -12,12 +12,15 @@ word; a text's language is the one with the largest mean probability over its
 words, and that mean is the score.
 
 Fitting maximises the conditional likelihood by full-batch gradient steps on
-a bounded sample: ``MAX_ROWS`` rows of each language on average, by a hash of
-the id, and of each row at most ``SEGMENTS`` segments of ``SEGMENT`` words,
-spread over the whole text.  Some training sequences join segments of two
-languages, so that the step weights learn how rare a switch is instead of
-never seeing one.  The lexicon of a language holds the words that at least
-``LEXICON_SHARE`` of its sampled rows use, which bounds it.
+the whole texts of a bounded sample: ``max_rows`` rows of each language on
+average, by a hash of the id, and nothing else bounds it.  A text enters as
+consecutive sequences of ``LENGTH`` words, the last one shorter, so no word is left out.
+Some further sequences join parts of two languages, so that the step weights
+learn how rare a switch is instead of never seeing one.  The lexicon of a
+language holds the words that at least ``LEXICON_SHARE`` of its sampled rows
+use, which bounds it.  Of more than ``max_labels`` languages those with the most
+rows (of equal ones the first by name) are learned, so that a column of dirty
+names can't outgrow the driver.
 
 Scoring covers whole texts of any length and needs no shuffle: a batch's texts
 go through forward-backward side by side, and a worker remembers the scores of
@@ -25,7 +28,7 @@ at most ``REMEMBERED`` words.
 
 Defined cases: a NULL text, and one without letters, is ``und`` with score 0,
 and so is every text if there is no labelled row to learn from; rows with a
-NULL language, text or id are never learned from; repeated rows get equal
+NULL language, text or id are never learned from; a very long text is read whole, in the sample too; repeated rows get equal
 results; other columns are ignored.
 """
 
@@ -40,10 +43,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import fold_of, per_text, table
+from lodging.llm.common import fold_of, named, per_text, table
 
-MAX_ROWS = 500
-SEGMENTS, SEGMENT = 4, 24
+MAX_ROWS = 200
+MAX_LABELS = 200
+LENGTH = 64
 LEXICON_SHARE = 0.05
 BUCKETS = 1 << 16
 REMEMBERED = 300_000
@@ -212,40 +216,41 @@ def _training(samples: list[tuple[int, list[list[str]]]], n_labels: int) -> tupl
     return sequences, tags
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> Model:
+def fit(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    max_rows: int = MAX_ROWS,
+    max_labels: int = MAX_LABELS,
+) -> Model:
     """A model from the rows of ``docs`` (all of which may be learned from)."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(named(id).alias("id"), named(text).alias("text"), named(lang).alias("lang"))
     rows = rows.where("id is not null and text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels)
+    sizes = {r.lang: r["count"] for r in largest.collect()}
     labels = tuple(sorted(sizes))
     if not labels:
         return Model(())
     chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, max_rows / sizes[k]))])
-    sample = rows.where(chance < F.element_at(share, F.col("lang")))
+    sample = rows.where(chance < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
 
     def make():
-        def cut(texts):
-            out = []
-            for t in texts:
-                words = words_of(t)
-                at = sorted({int(x) for x in np.linspace(0, max(0, len(words) - SEGMENT), SEGMENTS)})
-                out.append([words[a : a + SEGMENT] for a in at])
-            return [out]
-
-        return cut
-
-    found = per_text(sample, make, "parts array<array<string>>", keep_text=False).select("lang", "parts").collect()
-    samples = sorted((labels.index(r.lang), [list(p) for p in r.parts]) for r in found)
+        return lambda texts: [[words_of(t) for t in texts]]
+
+    found = per_text(sample, make, "words array<string>", keep_text=False).select("lang", "words").collect()
+    samples = sorted((labels.index(r.lang), r.words) for r in found)
     lexicons = []
     for i in range(len(labels)):
-        own = [{w for p in parts for w in p} for tag, parts in samples if tag == i]
+        own = [set(words) for tag, words in samples if tag == i]
         uses: dict[str, int] = {}
         for s in own:
             for w in s:
                 uses[w] = uses.get(w, 0) + 1
         lexicons.append(frozenset(w for w, c in uses.items() if c >= max(2, LEXICON_SHARE * len(own))))
-    sequences, tags = _training(samples, len(labels))
+    parts = [(tag, [words[a : a + LENGTH] for a in range(0, len(words), LENGTH)]) for tag, words in samples]
+    sequences, tags = _training(parts, len(labels))
     if not sequences:
         return Model(())
     return fit_sequences(sequences, tags, labels, tuple(lexicons))

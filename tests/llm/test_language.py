@@ -132,3 +132,20 @@ def test_every_letter_of_long_runs_counts():
     assert tagger([run("x", 40) + run("y", 200)])[0] == ["y"]
     switched = [t for _, t, _ in tagger.tag(run("x", 80) + run("y", 80))]
     assert switched == ["x"] * 10 + ["y"] * 10
+
+
+def test_fitting_reads_whole_texts_and_bounds_rows_and_labels(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(L, "fit_sequences", lambda sequences, tags, labels, lexicons: seen.update(s=sequences, t=tags, l=labels, x=lexicons) or L.Model(()))
+    texts = {0: " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(700)), 1: "one two three", 2: "un deux"}
+    rows = [(i, t, ("de", "en", "fr")[i]) for i, t in texts.items()] + [(9, "rest", None), (None, "kein", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS words", "2 AS `a.b`")
+    L.fit(df)
+    assert seen["l"] == ("de", "en", "fr")
+    alone = [(int(t[0]), w) for s, t in zip(seen["s"], seen["t"]) if len(set(t)) == 1 for w in s]
+    for i, t in texts.items():
+        assert [w for tag, w in alone if tag == i][: len(L.words_of(t))] == L.words_of(t)  # to the last word
+    assert max(map(len, seen["s"])) <= 2 * L.LENGTH
+    many = spark.range(3000).selectExpr("id AS doc_id", "'some words' AS text", "CASE WHEN id < 100 THEN 'xx' ELSE concat('l', id) END AS lang")
+    L.fit(many, max_rows=30, max_labels=5)
+    assert len(seen["l"]) == 5 and "xx" in seen["l"] and 5 < len(seen["s"]) < 100
