@@ -38,7 +38,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import per_text, table
+from lodging.llm.common import named, per_text, spare, table
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -198,7 +198,7 @@ def find_secrets(
     allow: Sequence[str] = ALLOW,
     column: str = "secrets",
 ) -> DataFrame:
-    """``docs`` plus ``column``: array<struct<kind, start, end>> of every span."""
+    """``docs`` plus ``column``: array<struct<kind, start, end>> of every span; an error if there is such a column."""
     return per_text(docs, _make(classes, allow), f"{column} array<struct<kind:string,start:long,end:long>>", text)
 
 
@@ -225,8 +225,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", allow: S
 
         return lambda texts: [[clean(t) for t in texts]]
 
-    marked = per_text(docs, make, "__redacted string", text)
-    return marked.select(*[F.col("__redacted").alias(c) if c == text else F.col(f"`{c}`") for c in order])
+    (new,) = spare(docs, "redacted")
+    marked = per_text(docs, make, f"{new} string", text)
+    return marked.select(*[F.col(new).alias(c) if c == text else named(c) for c in order])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,16 @@ def test_op1_whole_table(spark, sf):
     for d in docs:
         base = brute_base(d.text or "")
         assert rows[d.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+
+
+def test_other_columns_may_have_any_name(spark):
+    text = "password = hunter22 and more"
+    df = spark.createDataFrame([(1, text, 2, 3, 4), (2, None, 2, 3, 4)], "doc_id long, text string, `a.b` int, Redacted int, __redacted int")
+    out = S.redact(df)
+    assert out.columns == df.columns and [r["a.b"] for r in out.collect()] == [2, 2]
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "[SECRET] and more"]
+    found = S.find_secrets(df)
+    assert found.columns == [*df.columns, "secrets"] and found.where("size(secrets) = 1").count() == 1
+    with pytest.raises(ValueError, match="secrets"):
+        S.find_secrets(df.withColumnRenamed("Redacted", "Secrets"))
+    assert S.find_secrets(df.withColumnRenamed("Redacted", "secrets"), column="spans").columns[-1] == "spans"
