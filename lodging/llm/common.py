@@ -82,6 +82,12 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns that can be hashed, in their order: tells rows apart that are equal in some."""
+    plain = [named(f.name) for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def must_be_free(df: DataFrame, *new: str) -> None:
     """A clear error on the driver where an output column would clash with one of ``df``."""
     clash = {c.lower() for c in df.columns} & {c.lower() for c in new}

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodging.llm.common import discard, join_groups, map_arrow, named, ship, spare, stage, table
+from lodging.llm.common import discard, join_groups, map_arrow, named, row_hash, ship, spare, stage, table
 
 CELLS_PER_ROW = 12
 MAX_CELLS = 1 << 28
@@ -152,7 +152,7 @@ def exact_groups(
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, keep_id, group_size, kept, text_sha256``."""
     ship(docs.sparkSession)
-    rows = docs.select(named(id).alias("id"), _tie(docs).alias("tie"), digest_of(named(text)).alias("digest"))
+    rows = docs.select(named(id).alias("id"), row_hash(docs).alias("tie"), digest_of(named(text)).alias("digest"))
     rows, path = stage(rows.withColumn("at", F.monotonically_increasing_id()), "digests")
     flagged = _may_repeat(rows, cells_per_row, max_cells, probes)
     discard(docs.sparkSession, path)
@@ -168,12 +168,6 @@ def exact_groups(
     return alone.unionByName(met).select(F.col("id").alias(id), "keep_id", "group_size", "kept", sha)
 
 
-def _tie(docs: DataFrame) -> Column:
-    """A hash over all columns that can be hashed, in their order."""
-    plain = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
-
-
 def drop_copies(
     docs: DataFrame,
     id: str = "doc_id",
@@ -190,7 +184,7 @@ def drop_copies(
     ship(docs.sparkSession)
     columns = docs.columns
     digest, tie, maybe, n, best = spare(docs, "digest", "tie", "maybe", "n", "best")
-    keyed = docs.withColumns({tie: _tie(docs), digest: digest_of(named(text))})
+    keyed = docs.withColumns({tie: row_hash(docs), digest: digest_of(named(text))})
     digests, path = stage(keyed.select(F.col(digest).alias("digest")), "digests")
     cells, slices = filter_size(digests.count(), cells_per_row, max_cells)
     out = None

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import per_text, ship, stage, table
+from lodging.llm.common import named, per_text, row_hash, ship, spare, stage, table
 from lodging.llm.components import components
 
 SHINGLE = 3
@@ -219,7 +219,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, b
             parts.append(dealt)
             break
         parts.append(dealt.join(large, "key", "left_anti"))
-        open_rows = dealt.join(large, "key", "left_semi").select("fp", "key", "path")
+        # Staged, so that deeper levels don't deal the rows of earlier ones again.
+        open_rows, _ = stage(dealt.join(large, "key", "left_semi").select("fp", "key", "path"), "open")
     found = [_link(p.repartition("key").sortWithinPartitions("key"), max_bits, pivots) for p in parts]
     out = found[0]
     for f in found[1:]:
@@ -255,18 +256,20 @@ def _components(prints: DataFrame, id: str, max_bits: int, pivots: int, bucket:
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id.
 
-    Where several rows of a group share that id, the row whose text hash is
-    smallest stays, and one of rows equal in both; a group whose ids are all
+    Where several rows of a group share that id, the one with the smallest text
+    hash stays, of rows equal in both the one with the smallest hash over all
+    columns, and any one of rows equal throughout; a group whose ids are all
     NULL keeps one row likewise.  Columns and their order stay.
     """
-    keyed = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("text"))
+    keyed = docs.select(named(id).alias("id"), named(text).alias("text"), row_hash(docs).alias("whole")).withColumn("row", F.xxhash64("text"))
     prints, _ = stage(fingerprints(keyed, "text", shingle), "fingerprints")
     group = _components(prints, "id", max_bits, PIVOTS, BUCKET)
-    # Of a group's rows, those that hold its smallest id; of those, the smallest text hash.
+    # Of a group's rows, those that hold its smallest id; of those, the smallest hashes.
     first = prints.join(group, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root", "id").agg(F.min("row").alias("__row")).select(F.col("id").alias("__id"), "__row")
-    same = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__row"))
-    return docs.join(kept, same).dropDuplicates(["__id", "__row"]).drop("__id", "__row")
+    i, best = spare(docs, "id", "best")
+    kept = first.groupBy("root", "id").agg(F.min(F.struct("row", "whole")).alias(best)).select(F.col("id").alias(i), best)
+    same = named(id).eqNullSafe(F.col(i)) & (F.xxhash64(named(text)) == F.col(f"{best}.row")) & (row_hash(docs) == F.col(f"{best}.whole"))
+    return docs.join(kept, same).dropDuplicates([i, best]).select(*map(named, docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

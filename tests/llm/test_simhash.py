@@ -106,3 +106,14 @@ def test_op9_whole_table(spark):
     want = brute_components([d.doc_id for d in docs], fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op9_simhash(spark, SF).collect()}
     assert got == {d.doc_id: (f"{f:016x}", c) for d, f, c in zip(docs, fps, want)}
+
+
+def test_ties_and_names_of_other_columns_in_keep_one(spark):
+    rows = [(1, "same words here", k, k % 2) for k in range(6)] + [(None, "no id", 1, 1), (None, "no id", 2, 1), (3, "other words there now", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __row int").selectExpr("*", "1 AS row", "2 AS ID", "3 AS best")
+    once = S.keep_one(df)
+    assert once.columns == df.columns
+    want = sorted(map(str, once.collect()))
+    assert len(want) == 3
+    for n in (1, 5):
+        assert sorted(map(str, S.keep_one(df.orderBy(df.ID, df["`a.b`"].desc()).repartition(n)).collect())) == want
