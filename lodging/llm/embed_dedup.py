@@ -12,9 +12,9 @@ more, in double precision.  On unit vectors that is a range join of radius
   ``d(y, a) - d(y, b) <= 2 * eps``, and only if y is within ``eps`` of the
   plane halfway between the pivots.  Where both hold y is replicated to a, for
   a < b alone, so each pair meets in exactly one cell.
-* Cells join independently.  A cell of over ``block`` rows is dealt into
-  chunks, each pair of chunks being one task's work: exact at any cell size,
-  with memory bounded by two chunks.  A task returns each vector's number of
+* Cells join independently.  A cell of over ``block`` rows (``block_bytes`` of
+  vectors, if that is more) is dealt into chunks, each pair of chunks being one
+  task's work: exact at any cell size, with memory bounded by two chunks.  A task returns each vector's number of
   links and a spanning set of links, never the pairs.
 
 Pivots decide the cost, never the result.  Defined cases: a vector that is
@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodging.llm.common import schema_of, ship, stage, table
+from lodging.llm.common import named, schema_of, ship, stage, table
 from lodging.llm.components import components
 
 THRESHOLD = 0.93
 CELL = 2000  # classes of a label up to which one cell is enough
 MAX_PIVOTS = 4096  # over all labels: the pivots' size is bounded, whatever the data
-BLOCK = 2000  # rows of a chunk
+BLOCK = 1000  # rows of a chunk, at least
+BLOCK_BYTES = 4 << 20  # of vectors in a chunk: short vectors make larger chunks, so a row meets fewer of them
 SLACK = 1e-9  # over the rounding of distances
 
 
@@ -182,11 +183,12 @@ def near_duplicates(
     cell: int = CELL,
     max_pivots: int = MAX_PIVOTS,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per vector: ``id, n_links, component_id, kept``."""
     ship(vectors.sparkSession)
     eps = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("raw"), F.col(label).alias("label"))
+    rows = vectors.select(named(id).alias("id"), named(vector).alias("raw"), named(label).alias("label"))
     rows = rows.withColumn("ok", _usable("raw", "label"))
     grouped = rows.where("ok").groupBy("label", "raw").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     classes, _ = stage(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -195,7 +197,8 @@ def near_duplicates(
 
     place = ["label", "dim", "cell"]
     members = members.withColumn("dim", F.size("vector"))
-    sizes = members.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("chunks"))
+    rows_of = F.greatest(F.lit(block), F.floor(F.lit(block_bytes) / (F.col("dim") * 8)))
+    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / rows_of)).drop("n")
     dealt = members.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     pairs = dealt.withColumn("other", other).select(

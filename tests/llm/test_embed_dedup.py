@@ -62,7 +62,7 @@ def test_all_settings_give_the_brute_force_result(spark):
     rows = clustered() + ODD
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
     want = brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], l) for i, v, l in rows])
-    for kw in ({}, {"cell": 10, "block": 15}, {"cell": 1, "max_pivots": 7, "block": 1000}):
+    for kw in ({}, {"cell": 10, "block": 15, "block_bytes": 0}, {"cell": 1, "max_pivots": 7, "block": 1000, "block_bytes": 0}):
         assert result(E.near_duplicates(df, **kw)) == want, kw
 
 
