@@ -79,13 +79,18 @@ def words_of(text: str | None) -> list[str]:
 def word_features(word: str, lexicons: tuple[frozenset, ...]) -> list[int]:
     """Feature numbers: hashed ones below BUCKETS, then one per lexicon that has the word."""
     n = len(word)
-    edges = f"^{word}$"
-    found = {"=" + word}
-    found.update(edges[: k + 1] for k in range(1, min(n, 4) + 1))
-    found.update(edges[-k - 1 :] for k in range(1, min(n, 4) + 1))
-    found.update(word[i : i + 2] for i in range(n - 1))
-    found.update(word[i : i + 3] for i in range(n - 2))
-    ids = [zlib.crc32(f.encode()) % BUCKETS for f in sorted(found)]
+    ascii_ = word.isascii()
+    edges = f"^{word}$".encode() if ascii_ else f"^{word}$"  # a character is a byte: cut the bytes
+    inner = edges[1:-1]
+    most = min(n, 4)
+    found = [(b"=" if ascii_ else "=") + inner]
+    found += [edges[: k + 1] for k in range(1, most + 1)]
+    found += [edges[-k - 1 :] for k in range(1, most + 1)]
+    found += [inner[i : i + 2] for i in range(n - 1)]
+    found += [inner[i : i + 3] for i in range(n - 2)]
+    crc = zlib.crc32
+    distinct = dict.fromkeys(found)
+    ids = [crc(f) % BUCKETS for f in distinct] if ascii_ else [crc(f.encode()) % BUCKETS for f in distinct]
     return ids + [BUCKETS + i for i, x in enumerate(lexicons) if word in x]
 
 
