@@ -8,8 +8,10 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept.  All but the last return the columns of ``documents``; the last returns
-a row per piece of a document with its sequence and place in it.  NULL texts
-pass through the first four stages like empty ones and stay NULL.
+a row per piece of a document with its sequence and place in it.  A text without
+a word (NULL, empty, white space) scores 0, so stage 1 drops it; given to a
+later stage it passes like an empty one, and a NULL text stays NULL.  The tables
+between the stages go once the next stage's is written.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodging.llm import packing, passages, quality, secrets, simhash
-from lodging.llm.common import stage, table
+from lodging.llm.common import discard, stage, table
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -63,7 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs, _ = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
