@@ -11,7 +11,10 @@ share of equal samples estimates it without bias.
 
 A sample is a ``min_by`` over a text's words, with map-side combine, whose
 value is 16 bits of a hash of (k, t): four hex digits of the fingerprint.  Two
-different samples agree by accident once in 65,536.
+different samples agree by accident once in 65,536.  Samples are taken
+``BLOCK`` at a time: each counted word becomes a row per block, and the block's
+number enters the hashes, so the generated method holds ``BLOCK`` samples
+whatever their number, which is small enough for HotSpot to compile well.
 
 Everything runs in generated JVM code.  Texts are shuffled once by document;
 words are exploded, counted and reduced to ``samples`` numbers in the same
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from lodging.llm.common import stage, table
 
-SAMPLES = 32
+SAMPLES = 64
+BLOCK = 8
 DIGITS = 4
 _NO_ID = -(1 << 63)  # what a NULL id counts as
 # A document's id loses so many low bits at each level when neighbours are looked up.
@@ -44,9 +48,9 @@ def _unit(bits: Column, width: int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def sample(term: Column, weight: Column, i: int) -> tuple[Column, Column]:
-    """Sample i of a term of a weight: its ``a`` and its name, 16 bits of a hash of (term, t)."""
-    h = F.xxhash64(term, F.lit(i))
+def sample(term: Column, weight: Column, i: Column) -> tuple[Column, Column]:
+    """Sample i (an INT) of a term of a weight: its ``a`` and its name, 16 bits of a hash of (term, t)."""
+    h = F.xxhash64(term, i)
     g = F.xxhash64(h)
     low = F.lit((1 << 21) - 1).cast("long")
     b = _unit(F.shiftrightunsigned(h, 43), 21)
@@ -67,12 +71,17 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: i
     word = F.explode_outer(F.split(F.col(text), "[\\x20\\x09-\\x0D]+")).alias("word")
     words = texts.select(*keys, word).select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
     counted = words.groupBy(*keys, "term").agg(F.count("term").cast("double").alias("weight"))
-    taken = [sample(F.col("term"), F.col("weight"), i) for i in range(samples)]
+    starts = range(0, samples, BLOCK)
+    blocks = counted.select("*", F.explode(F.array(*[F.lit(b) for b in starts])).alias("block"))
+    taken = [sample(F.col("term"), F.col("weight"), F.col("block") + F.lit(j)) for j in range(min(BLOCK, samples))]
     # A row without a word has weight 0, whose logarithm is NULL: it gives no sample.
-    sampled = counted.groupBy(*keys).agg(*[F.min_by(name, a).alias(f"s{i}") for i, (a, name) in enumerate(taken)])
+    sampled = blocks.groupBy(*keys, "block").agg(*[F.min_by(name, a).alias(f"s{j}") for j, (a, name) in enumerate(taken)])
     none = "-" * DIGITS
-    digits = [F.coalesce(F.lpad(F.hex(F.col(f"s{i}")), DIGITS, "0"), F.lit(none)) for i in range(samples)]
-    return sampled.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
+    digits = [F.coalesce(F.lpad(F.hex(F.col(f"s{j}")), DIGITS, "0"), F.lit(none)) for j in range(len(taken))]
+    parts = sampled.select(*keys, "block", F.lower(F.concat(*digits)).alias("part"))
+    wide = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("block") == b, F.col("part"))).alias(f"p{b}") for b in starts])
+    whole = F.concat(*[F.col(f"p{b}") for b in starts])
+    return wide.select(*keys, F.substring(whole, 1, DIGITS * samples).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -150,7 +159,8 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     told = both.select("key", "hash", F.sha2("edited", 256).alias("edited_sha256"))
     forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text"))))
     texts = both.select("key", "hash", forms.alias("x")).select("key", "hash", "x.form", "x.text")
-    signed = signatures(texts, ["key", "hash", "form"], samples=samples)
+    # Until the last step a fingerprint is its bytes, half as long as its digits; an empty text's is NULL.
+    signed = signatures(texts, ["key", "hash", "form"], samples=samples).withColumn("fingerprint", F.unhex("fingerprint"))
     wide = signed.groupBy("key", "hash").agg(
         F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
@@ -160,6 +170,9 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     of_next = made.groupBy(F.col("key").alias("next")).agg(F.min_by("fingerprint", "hash").alias("next_fingerprint"))
     near = following.join(of_next, "next").select("key", "next_fingerprint")
     out = made.join(near, "key").join(sizes, ["key", "hash"])
+    empty = F.lit("-" * DIGITS * samples)
+    for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
+        out = out.withColumn(name, F.coalesce(F.lower(F.hex(name)), empty))
     out = out.select(
         F.when(F.col("key") != _NO_ID, F.col("key")).alias(id),
         "n_chars",

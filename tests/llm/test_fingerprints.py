@@ -80,6 +80,15 @@ def test_odd_rows_equal_the_restatement(spark, tmp_path):
     assert result(P.fingerprint_documents(one)) == expected([(4, "a b c d")])
 
 
+def test_any_number_of_samples(spark):
+    """A block may be cut or left partly unused; more samples only add digits."""
+    rows = [(1, "one two three two"), (2, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 5, P.BLOCK, P.BLOCK + 3):
+        got = {r.doc_id: r.fingerprint for r in P.fingerprint_documents(docs, samples=n).collect()}
+        assert got == {i: brute(t)[: 4 * n] for i, t in rows}
+
+
 def test_next_lower_over_gaps(spark):
     r = random.Random(2)
     ids = {r.randrange(-(1 << b), 1 << b) for b in (3, 8, 14, 30, 45, 62) for _ in range(150)}
