@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lodging.llm.common import stage, table
 
 SAMPLES = 64
-BLOCK = 8
+BLOCK = 4
 DIGITS = 4
 _NO_ID = -(1 << 63)  # what a NULL id counts as
 # A document's id loses so many low bits at each level when neighbours are looked up.
