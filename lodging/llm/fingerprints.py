@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodging.llm.common import stage, table
 
-SAMPLES = 64
+SAMPLES = 32
 BLOCK = 4
 DIGITS = 4
 _NO_ID = -(1 << 63)  # what a NULL id counts as
