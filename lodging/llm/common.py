@@ -52,10 +52,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` under the shared folder; the table read back, and its path."""
+    """Write ``df`` under the shared folder; the table read back, and its path.
+
+    Without the marker ``_SUCCESS``, which nobody reads: on a local disk the driver would start ``chmod`` for it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, f"lodging-llm-{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

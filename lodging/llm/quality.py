@@ -11,7 +11,8 @@ rows marked 0 are unlabelled text like any other.
   ``CLIP`` deviations, so no feature decides alone far off the sample.
 * *Sample.*  ``max_positive`` positives and ``max_unlabelled`` documents on
   average, taken by a hash of the id, are all that fitting looks at: the
-  fit's size doesn't grow with the corpus.  Scores cover every row.
+  fit's size doesn't grow with the corpus.  Scores cover every row.  The driver
+  holds the sample's features (about 2 kB a row) no more than twice at a time.
 * *Class prior* pi: a positive-against-unlabelled model is fitted on one half
   of the sample (a row's own hash says which); on the other half the share of unlabelled rows above a
   threshold, divided by that of positives, is an upper bound of pi; the
@@ -39,6 +40,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,13 +207,18 @@ class Model:
 
 
 def fit_rows(pos: np.ndarray, unl: np.ndarray) -> Model:
-    pos, unl = (x[x.any(axis=1)].astype(np.float32) for x in (pos, unl))
+    # Copies, so what follows may write over them; one at a time, so that no more than one is there twice.
+    pos = pos[pos.any(axis=1)].astype(np.float32, copy=False)
+    unl = unl[unl.any(axis=1)].astype(np.float32, copy=False)
     if not len(pos) or not len(unl):
         return Model(None)
     first = halves(pos), halves(unl)
     mean = unl.mean(axis=0)
     scale = np.maximum(unl.std(axis=0), LEAST_SCALE)
-    pos, unl = (np.clip((x - mean) / scale, -CLIP, CLIP) for x in (pos, unl))
+    for x in (pos, unl):
+        x -= mean
+        x /= scale
+        np.clip(x, -CLIP, CLIP, out=x)
     prior = estimate_prior(pos, unl, first=first)
     return Model(fit_nnpu(pos, unl, prior), mean, scale, prior)
 
@@ -221,6 +228,18 @@ def _chance(id: str) -> F.Column:
     return F.pmod(F.xxhash64(id, F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Feature rows sent as bytes, copied once and without an object per row."""
+    out, at = np.empty((len(column), N_FEATURES), np.float32), 0
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            values = memoryview(chunk.buffers()[2])[ends[0] : ends[-1]]
+            out[at : at + len(chunk)] = np.frombuffer(values, np.float32).reshape(-1, N_FEATURES)
+            at += len(chunk)
+    return out
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -248,13 +267,15 @@ def fit(
 
     told = per_text(near.withColumn("text", F.col("text").cast("binary")), make, "f binary", keep_text=False)
     found = told.select("f", "trusted", (F.col("chance") < share_u).alias("web")).toArrow()
-    packed = found.column("f").to_pylist()
-    x = np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), N_FEATURES)
+    x = _matrix(found.column("f"))
+    trusted_rows = np.array([t is True for t in found.column("trusted").to_pylist()], bool)
+    web = np.array(found.column("web").to_pylist(), bool)
+    del found
     # The same rows in the same order, however Spark returns them.
-    order = np.array(sorted(range(len(packed)), key=packed.__getitem__), np.int64)
-    trusted_rows = np.array([t is True for t in found.column("trusted").to_pylist()], bool)[order]
-    web = np.array(found.column("web").to_pylist(), bool)[order]
-    return fit_rows(x[order[trusted_rows]], x[order[web]])
+    order = np.argsort(x.view(f"S{x.itemsize * N_FEATURES}").ravel(), kind="stable")
+    sample = [x[order[web[order]]], x[order[trusted_rows[order]]]]
+    del x
+    return fit_rows(sample.pop(), sample.pop())  # no other name keeps the sample, so fitting can let go of it
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

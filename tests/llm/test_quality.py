@@ -1,12 +1,16 @@
 """The PU quality classifier: held-out accuracy, its prior, odd rows."""
 
+import gc
+import glob
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodging.llm import quality as Q
-from lodging.llm.common import table
+from lodging.llm.common import discard, stage, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -116,3 +120,48 @@ def test_odd_rows_and_kept_rows(spark, tmp_path):
 def test_features_are_finite(text):
     f = Q.features(text)
     assert f.shape == (Q.N_FEATURES,) and np.isfinite(f).all() and (f >= 0).all() and (f <= 1).all()
+
+
+def test_the_driver_holds_the_sample_twice_at_most(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', sha1(string(id)), 'word', id, sha1(string(id + 1))) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS quality")
+    x = np.array([Q.features(r.text.encode()) for r in docs.orderBy("doc_id").collect()])
+    Q.fit(docs, labels)  # code is shipped, modules are loaded
+    peaks = []
+    for run in (lambda: Q.fit(docs, labels), lambda: Q.fit_rows(x[::3], x)):
+        gc.collect()
+        tracemalloc.start()
+        fitted = run()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert fitted.weights is not None
+    sample = x.nbytes * 4 / 3  # every row is in the web sample, every third one is trusted too
+    assert max(peaks) < 2.4 * sample, [p / sample for p in peaks]
+
+
+def test_the_sample_reaches_the_fit_in_the_order_of_its_bytes(spark):
+    """Features from several Arrow chunks, ascending by their bytes, and the caller's arrays as they were."""
+    r = np.random.default_rng(5)
+    x = r.random((90, Q.N_FEATURES)).astype(np.float32)
+    x[::4, :3] = 0
+    rows = [v.tobytes() for v in x]
+    chunks = pa.chunked_array([pa.array(rows[:40], pa.binary())[7:], pa.array([], pa.binary()), pa.array(rows[40:], pa.binary())])
+    assert np.array_equal(Q._matrix(chunks), x[7:])
+    assert Q._matrix(pa.chunked_array([], pa.binary())).shape == (0, Q.N_FEATURES)
+    before = x.copy()
+    Q.fit_rows(x[::3], x)
+    assert np.array_equal(x, before)
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', sha1(string(id))) AS text").repartition(5)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS quality")
+    told = sorted((Q.features(d.text.encode()).tobytes(), d.doc_id % 3 == 0) for d in docs.collect())
+    sample = np.frombuffer(b"".join(t for t, _ in told), np.float32).reshape(-1, Q.N_FEATURES)
+    want = Q.fit_rows(sample[[p for _, p in told]], sample)
+    got = Q.fit(docs, labels)
+    assert np.array_equal(got.weights, want.weights) and got.prior == want.prior
+
+
+def test_scratch_tables_have_no_marker_file(spark):
+    out, path = stage(spark.range(10), "marker")
+    assert out.count() == 10 and glob.glob(f"{path}/part-*") and not glob.glob(f"{path}/_SUCCESS")
+    discard(spark, path)
