@@ -7,6 +7,8 @@
   whatever folder the driver was started from.
 * ``spare`` and ``named`` keep working columns apart from a caller's columns,
   whatever those are called.
+* ``few`` keeps small scratch tables in few files, however many shuffle partitions
+  there are.
 * ``join_groups`` joins rows to a fact about their group, however large a group is.
 """
 
@@ -54,7 +56,7 @@ def ship(spark: SparkSession) -> None:
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` under the shared folder; the table read back, and its path.
 
-    Without the marker ``_SUCCESS``, which nobody reads: on a local disk the driver would start ``chmod`` for it.
+    Without the marker ``_SUCCESS``, which nobody reads: the driver would start processes for it (see ``few``).
     """
     spark = df.sparkSession
     path = shared_dir(spark, f"lodging-llm-{name}-{uuid.uuid4().hex[:12]}")
@@ -62,6 +64,19 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+FILE_ROWS = 10_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in a partition per ``FILE_ROWS`` of ``rows``, where it has more: a small table is not many files.
+
+    A file costs a request in an object store.  On a local disk Hadoop starts
+    ``chmod`` for it and its checksum, and until a started process loads its own
+    program it shares, and counts like, all of the JVM's memory.
+    """
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     for path in paths:

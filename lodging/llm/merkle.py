@@ -25,8 +25,9 @@ hashes to the left and to the right) is joined to the run below it, once per run
 and not once per row.  A row's proof and its folded root are folds over its
 path, in SQL functions alone.
 
-Each level is written to the shared folder, which ends lineage.  Only the root
-and the sizes of the largest tree reach the driver.  Nothing is broadcast.
+Each level is written to the shared folder, which ends lineage, in a file per
+10,000 leaves at most and not in one per shuffle partition.  Only the root, the
+number of leaves and the sizes of the largest tree reach the driver.  Nothing is broadcast.
 
 Defined cases: NULL ids come first in their group; rows equal in group and id
 are ordered by their leaf, and rows equal in that too have the same leaf and are
@@ -41,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodging.llm.common import discard, named, stage, table
+from lodging.llm.common import discard, few, named, stage, table
 
 ARITY = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -59,18 +60,18 @@ def leaf_of(values: list[Column]) -> Column:
     return F.sha2(F.concat(*map(field, values)), 256)
 
 
-def _placed(rows: DataFrame, tree: str, order: list[str], name: str) -> tuple[DataFrame, list[str]]:
+def _placed(rows: DataFrame, tree: str, order: list[str], name: str, most: int) -> tuple[DataFrame, list[str]]:
     """``rows`` plus ``place`` in its tree (by ``order``), ``n`` of its tree, and ``rank`` of the tree; and scratch paths."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, tree, *order).sortWithinPartitions(tree, *order)
-    ranged, path = stage(ranged.withColumn("at", F.monotonically_increasing_id()), f"{name}-ordered")
+    ranged, path = stage(few(ranged.withColumn("at", F.monotonically_increasing_id()), most), f"{name}-ordered")
     ranged = ranged.withColumn("part", F.shiftright("at", 33))
     sizes = ranged.groupBy(tree, "part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
     # A window over parts of trees: a row per tree and partition, never per node.
     before = "coalesce(sum(size) over (partition by {t} order by part rows between unbounded preceding and 1 preceding), 0)".format(t=tree)
     sizes = sizes.select(tree, "part", F.expr(f"{before} - first").alias("shift"), F.expr(f"sum(size) over (partition by {tree})").alias("n"))
-    sizes, path2 = stage(sizes, f"{name}-parts")
+    sizes, path2 = stage(few(sizes, most), f"{name}-parts")
     out = ranged.join(sizes, [tree, "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "shift")
     return out, [path, path2]
 
@@ -111,23 +112,23 @@ def _members(runs: DataFrame, above: DataFrame) -> DataFrame:
 _PATH = "array<struct<left:string,right:string>>"
 
 
-def _climb(nodes: DataFrame, arity: int, name: str) -> tuple[list[DataFrame], DataFrame, list[str]]:
+def _climb(nodes: DataFrame, arity: int, name: str, most: int) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """Runs of each level from the lowest up, the last node of every tree (``tree, level, node``), scratch paths."""
     levels, tops, paths = [], None, []
-    nodes, path = stage(nodes, f"{name}-nodes")
+    nodes, path = stage(few(nodes, most), f"{name}-nodes")
     paths.append(path)
     while True:
         done = nodes.where("n = 1").select("tree", F.lit(len(levels)).alias("level"), "node.hash")
         tops = done if tops is None else tops.unionByName(done)
         if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
             return levels, tops, paths
-        runs, path = stage(_runs(nodes.where("n > 1"), arity), f"{name}-level-{len(levels)}")
+        runs, path = stage(few(_runs(nodes.where("n > 1"), arity), most), f"{name}-level-{len(levels)}")
         levels.append(runs)
-        nodes, path2 = stage(_parents(runs, arity), f"{name}-nodes")
+        nodes, path2 = stage(few(_parents(runs, arity), most), f"{name}-nodes")
         paths += [path, path2]
 
 
-def _descend(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
+def _descend(levels: list[DataFrame], tops: DataFrame, arity: int, most: int) -> DataFrame:
     """Paths of the leaves: ``tree, place, node, path, subroot``; ``tops(tree, level, hash, path)``.
 
     ``node`` is NULL for trees that are a single leaf.
@@ -140,7 +141,8 @@ def _descend(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
     for level in range(len(levels) - 1, 0, -1):
         below = _members(levels[level], above)
         place = (F.col("run") * arity + F.col("slot")).alias("place")
-        above, _ = stage(below.select("tree", place, "path", "subroot").unionByName(ending(level)), "merkle-paths")
+        below = below.select("tree", place, "path", "subroot").unionByName(ending(level))
+        above, _ = stage(few(below, most), "merkle-paths")
     return _members(levels[0], above) if levels else above
 
 
@@ -168,34 +170,35 @@ def manifest(
         F.when(given, leaf_of(changed)).alias("shown"),
     )
     leaves, path = stage(leaves, "merkle-leaves")
-    placed, paths = _placed(leaves, "tree", ["id", "hash"], "merkle")
+    most = leaves.count()  # rows of the largest table; levels and subroots have fewer
+    placed, paths = _placed(leaves, "tree", ["id", "hash"], "merkle", most)
     nodes = placed.select("tree", "place", "n", F.struct("hash", "id", "shown").alias("node"))
-    levels, tops, more = _climb(nodes, arity, "merkle")
+    levels, tops, more = _climb(nodes, arity, "merkle", most)
     spark = docs.sparkSession
     single = spark.read.parquet(more[0]).where("n = 1")
-    subroots, path2 = stage(tops, "merkle-subroots")
+    subroots, path2 = stage(few(tops, most), "merkle-subroots")
     discard(spark, path, *paths)
 
     # The tree over the subroots: one tree, whose leaves are the groups in order.
-    ordered, paths2 = _placed(subroots.select("tree", "level", "hash", F.lit("").alias("all")), "all", ["tree"], "merkle-top")
+    ordered, paths2 = _placed(subroots.select("tree", "level", "hash", F.lit("").alias("all")), "all", ["tree"], "merkle-top", most)
     top_nodes = ordered.select(F.col("all").alias("tree"), "place", "n", F.struct("hash", F.col("tree").alias("of"), "level").alias("node"))
-    top_levels, last, paths3 = _climb(top_nodes, arity, "merkle-top")
+    top_levels, last, paths3 = _climb(top_nodes, arity, "merkle-top", most)
     row = last.first()
     root = row["hash"] if row else None
     empty = F.array().cast(_PATH)
     if top_levels:
-        of = _descend(top_levels, last.withColumn("path", empty), arity)
+        of = _descend(top_levels, last.withColumn("path", empty), arity, most)
         of = of.select(F.col("node.of").alias("tree"), F.col("node.level").alias("level"), F.col("node.hash").alias("hash"), "path")
     else:
         of = subroots.select("tree", "level", "hash", empty.alias("path"))
-    of, path3 = stage(of, "merkle-tops")
+    of, path3 = stage(few(of, most), "merkle-tops")
     discard(spark, path2, *paths2, *paths3)
 
     # Down to the leaves.
     alone = single.join(of.where("level = 0").select("tree", "path", F.col("hash").alias("subroot")), "tree").select("node", "path", "subroot")
     out = alone
     if levels:
-        out = _descend(levels, of, arity).select("node", "path", "subroot").unionByName(alone)
+        out = _descend(levels, of, arity, most).select("node", "path", "subroot").unionByName(alone)
     siblings = F.array_join(F.transform("path", lambda x: F.concat(x["left"], x["right"])), "")
     shown = F.coalesce("node.shown", "node.hash")
     folded = F.aggregate("path", shown, lambda h, x: F.sha2(F.concat(x["left"], h, x["right"]), 256))
@@ -203,7 +206,7 @@ def manifest(
         F.col("node.id").alias(id), F.col("node.hash").alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"),
         F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root"),
     )
-    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+    return few(out.withColumn("verified", F.col("folded_root") == F.col("root")), most)
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

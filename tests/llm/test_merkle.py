@@ -1,11 +1,13 @@
 """The manifest against a recomputation in plain Python."""
 
+import glob
 import hashlib
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodging.llm import common
 from lodging.llm import merkle as M
 from lodging.llm.common import table
 
@@ -101,3 +103,28 @@ def test_any_change_shows(spark):
     before = M.manifest(spark.createDataFrame(rows, SCHEMA)).first().root
     rows[50] = (*rows[50][:4], rows[50][4] + " ")
     assert M.manifest(spark.createDataFrame(rows, SCHEMA)).first().root != before
+
+
+@pytest.mark.parametrize("rows_a_file", [None, 40])
+def test_scratch_tables_are_few_files_however_many_partitions_shuffles_have(spark, monkeypatch, rows_a_file):
+    files = {}
+
+    def counted(df, name):
+        out, path = common.stage(df, name)
+        files[name] = max(files.get(name, 0), len(glob.glob(f"{path}/part-*")))
+        return out, path
+
+    monkeypatch.setattr(M, "stage", counted)
+    monkeypatch.setattr(common, "FILE_ROWS", rows_a_file or common.FILE_ROWS)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(made(), SCHEMA).repartition(3)
+        out = M.manifest(df, tamper=tamper())
+        most = -(-len(made()) // common.FILE_ROWS)
+        assert result(out) == brute(made()) and out.rdd.getNumPartitions() <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 8 and max(n for name, n in files.items() if name != "merkle-leaves") <= most, files
