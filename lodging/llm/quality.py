@@ -143,7 +143,8 @@ def _with_bias(x: np.ndarray) -> np.ndarray:
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float | None = None) -> np.ndarray:
     """Weights (the last is the bias) that minimise the non-negative PU risk and ``decay`` times half their squares."""
     decay = DECAY / np.sqrt(len(unl)) if decay is None else decay
-    pos, unl = _with_bias(pos), _with_bias(unl)
+    pos = _with_bias(pos)
+    unl = _with_bias(unl)
 
     def grad(w: np.ndarray) -> np.ndarray:
         zp, zu = pos @ w, unl @ w
@@ -206,6 +207,12 @@ class Model:
         return np.where(said, _sigmoid(self.scaled(rows) @ self.weights[:-1] + self.weights[-1]), 0.0)
 
 
+def _scale_in_place(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> None:
+    x -= mean
+    x /= scale
+    np.clip(x, -CLIP, CLIP, out=x)
+
+
 def fit_rows(pos: np.ndarray, unl: np.ndarray) -> Model:
     # Copies, so what follows may write over them; one at a time, so that no more than one is there twice.
     pos = pos[pos.any(axis=1)].astype(np.float32, copy=False)
@@ -215,12 +222,12 @@ def fit_rows(pos: np.ndarray, unl: np.ndarray) -> Model:
     first = halves(pos), halves(unl)
     mean = unl.mean(axis=0)
     scale = np.maximum(unl.std(axis=0), LEAST_SCALE)
-    for x in (pos, unl):
-        x -= mean
-        x /= scale
-        np.clip(x, -CLIP, CLIP, out=x)
+    _scale_in_place(pos, mean, scale)
+    _scale_in_place(unl, mean, scale)
     prior = estimate_prior(pos, unl, first=first)
-    return Model(fit_nnpu(pos, unl, prior), mean, scale, prior)
+    both = [unl, pos]
+    del pos, unl  # fit_nnpu lets go of each as it copies it
+    return Model(fit_nnpu(both.pop(), both.pop(), prior), mean, scale, prior)
 
 
 def _chance(id: str) -> F.Column:
@@ -229,14 +236,10 @@ def _chance(id: str) -> F.Column:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Feature rows sent as bytes, copied once and without an object per row."""
-    out, at = np.empty((len(column), N_FEATURES), np.float32), 0
-    for chunk in column.chunks:
-        if len(chunk):
-            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-            values = memoryview(chunk.buffers()[2])[ends[0] : ends[-1]]
-            out[at : at + len(chunk)] = np.frombuffer(values, np.float32).reshape(-1, N_FEATURES)
-            at += len(chunk)
+    """Feature rows that were sent compressed (most shares are zero)."""
+    out = np.empty((len(column), N_FEATURES), np.float32)
+    for i, row in enumerate(column):
+        out[i] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float32)
     return out
 
 
@@ -263,7 +266,7 @@ def fit(
     near = near.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0)
 
     def make():
-        return lambda texts: [[features(t).tobytes() for t in texts]]
+        return lambda texts: [[zlib.compress(features(t).tobytes(), 1) for t in texts]]
 
     told = per_text(near.withColumn("text", F.col("text").cast("binary")), make, "f binary", keep_text=False)
     found = told.select("f", "trusted", (F.col("chance") < share_u).alias("web")).toArrow()
